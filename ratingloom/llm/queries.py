@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules
+from . import license_scan, packing, quality_rules, secret_scan
 from .common import read_table
 
 
@@ -25,6 +25,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op6_quality_rules)}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+    spans, base = F.col("secret_spans"), [r.kind for r in secret_scan.RULES if r.base]
+    count = lambda i: F.size(F.filter(spans, lambda s: s["rule"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(base)]
+    base_text = secret_scan.span_text(F.filter(spans, lambda s: s["rule"] < len(base)))
+    return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), secret_scan.span_text(spans).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_license_scan, op6_quality_rules, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
