@@ -1,7 +1,8 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word (an anchor) spots the next content words after it; anchor and chain hash to one signature, and the
-sorted set of a text's signatures is its fingerprint. Texts too short for chains, or with hardly any, use character grams instead. Sets are
+sorted set of a text's signatures is its fingerprint. In a stretch without common words every word is an anchor; texts too short for chains
+use character grams instead. Sets are
 compared by Jaccard likeness, pruned where their sizes alone rule a pair out; near_pairs() partitions by set size, so
 that only neighbouring partitions can hold a match, and looks up each set's rarest signatures in an inverted index.
 
@@ -37,8 +38,8 @@ CHAIN = 3
 GRAM = 5
 #: Texts of fewer code points are described by character grams.
 SHORT = 200
-#: So are texts with no more than one chain in so many words.
-SPARSE = 8
+#: After so many words without an anchor, every word is one until the next.
+STRETCH = 8
 #: Likeness below this is reported as 0 where set sizes alone prove it.
 FLOOR = 0.05
 ROWS_PER_RANGE = 20_000
@@ -56,9 +57,12 @@ def signature_keys(texts: list[str]) -> np.ndarray:
     start, end = word_spans(buf, WORD)
     words = span_hash(prefix, start, end)
     is_anchor = np.isin(words, anchor_hashes())
-    content, anchors = np.flatnonzero(~is_anchor), np.flatnonzero(is_anchor)
     owner = np.searchsorted(bounds, start, "right") - 1
-    follow = np.searchsorted(content, anchors)
+    place = np.arange(len(words))
+    last = np.maximum.accumulate(np.where(is_anchor, place, 0)) if len(words) else place
+    last = np.maximum(last, np.searchsorted(start, bounds)[owner])
+    content, anchors = np.flatnonzero(~is_anchor), np.flatnonzero(is_anchor | (place - last >= STRETCH))
+    follow = np.searchsorted(content, anchors, "right")
     fits = follow + CHAIN <= len(content)
     anchors, follow = anchors[fits], follow[fits]
     if len(anchors):
@@ -70,8 +74,7 @@ def signature_keys(texts: list[str]) -> np.ndarray:
     chains = np.unique((owner[anchors].astype(U64) << U64(32)) | (value >> U64(32)))
     of = (chains >> U64(32)).astype(np.int64)
     n = len(texts)
-    sparse = SPARSE * np.bincount(of, minlength=n) <= np.bincount(owner, minlength=n)
-    grams = sparse | np.array([len(t) < SHORT for t in texts], bool)
+    grams = (np.bincount(of, minlength=n) == 0) | np.array([len(t) < SHORT for t in texts], bool)
     keys = [chains[~grams[of]] if n else chains]
     if grams.any():
         # Code points begin at bytes that continue none; a gram is the span of GRAM of them, or the whole shorter text.
