@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_rules, secret_scan, spotsigs
+from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs
 from .common import read_table
 
 
@@ -33,6 +33,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
     spans, base = F.col("secret_spans"), [r.kind for r in secret_scan.RULES if r.base]
@@ -42,6 +46,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), secret_scan.span_text(spans).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op9_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op8_minhash, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
