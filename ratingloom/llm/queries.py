@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs
+from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs, suffix_dedup
 from .common import read_table
 
 
@@ -46,6 +46,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), secret_scan.span_text(spans).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op8_minhash, op9_secret_scan)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
