@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs, suffix_dedup
+from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -33,6 +33,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train_in_parts(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    held_out = F.coalesce(toxicity.remainder("doc_id") == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "hit_weight", "inexact_weight", "quoted_hits")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
