@@ -5,10 +5,9 @@ has a signature of 128 minima; 32 bands of four find candidates: two sets with l
 probability 5e-6. A candidate's signatures are compared 16 at a time, and it is given up as soon as the posterior
 probability of a likeness of 0.75 falls below the chosen miss probability. What survives is verified on full sets.
 
-No bucket's pairs are all emitted. First every member meets the least member of its bucket. Only buckets that still
-hold several components are joined with themselves, and there only members outside the bucket's largest component meet
-the others, behind conditions on set sizes and a 128-bit sketch. Texts are read again, once, for classes that have a
-candidate at all.
+No bucket's pairs are ever rows. First every member meets the least member of its bucket. Buckets that still hold
+several components are dealt into blocks; two blocks meet in a task, which returns one link at most for any two
+components. Texts are read again, once, for classes that have a candidate at all.
 
 Defined cases: a null, empty or white-space-only text has no shingles and is linked with nothing; with one to four
 words the whole sequence is the one shingle; texts are read whole; repeated rows of one id are one document; rows with a
@@ -33,8 +32,8 @@ THRESHOLD = 75  # in hundredths
 HASHES, BAND = 128, 4
 BATCH = 16
 MISS = 1e-6
-#: Differing bits of two 128-bit sketches: sets with likeness 0.75 differ in 16 on average, in more than this with probability below 1e-6.
-SKETCH_BITS = 38
+#: Members of a bucket in one block; two blocks meet in a task.
+BLOCK = 256
 #: Ids up to which a set of documents to read again is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -57,7 +56,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """row_id, n (set size), set_key, sig, and the sketch's halves."""
+    """row_id, n (set size), set_key and sig."""
 
     def kernel(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
         values, bounds = shingle_sets(texts, SHINGLE)
@@ -65,11 +64,9 @@ def describe(docs: DataFrame) -> DataFrame:
         # Sums of two mixes over the set tell sets apart whatever their order.
         sums = [np.concatenate(([U64(0)], np.cumsum(mix(values + U64(s)))))[bounds] for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         keys = np.stack([s[1:] - s[:-1] for s in sums], axis=1)
-        bits = np.packbits((mix(sig.astype(U64)) >> U64(63)).astype(np.uint8), axis=1)
-        half = bits.view(">i8").astype(np.int64)
-        return {"row_id": batch.column(0), "n": np.diff(bounds), "set_key": [k.tobytes() for k in keys], "sig": [s.tobytes() for s in sig], "bits_a": half[:, 0], "bits_b": half[:, 1]}
+        return {"row_id": batch.column(0), "n": np.diff(bounds), "set_key": [k.tobytes() for k in keys], "sig": [s.tobytes() for s in sig]}
 
-    return map_texts(docs, "body", "row_id long,n long,set_key binary,sig binary,bits_a long,bits_b long", kernel)
+    return map_texts(docs, "body", "row_id long,n long,set_key binary,sig binary", kernel)
 
 
 def least_matches() -> dict[int, int]:
@@ -120,19 +117,20 @@ def shingle_tables(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFra
     return scratch.keep(map_texts(chosen, "body", "row_id long,shingles binary", kernel).dropDuplicates(["row_id"]) if not few else map_texts(chosen, "body", "row_id long,shingles binary", kernel), "sets", "lz4")
 
 
+def linked(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= THRESHOLD * (len(x) + len(y) - shared)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v of the pairs (a, b) whose full sets reach the threshold."""
     side = lambda c: sets.select(F.col("row_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
-    def linked(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-        if not len(x) or not len(y):
-            return False
-        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-        shared = int((x[at] == y).sum())
-        return 100 * shared >= THRESHOLD * (len(x) + len(y) - shared)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array([linked(x, y) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())], pa.bool_())
@@ -141,6 +139,70 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def meet_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links u, v between components inside buckets; `members` has bucket, x, part_x, and `top` and `all`, the bucket's largest component and its size.
+
+    A bucket's members are dealt into blocks, those of the largest component apart from the others, and two blocks meet
+    in one task unless both are of that component. A task compares signatures, confirms on full sets and returns one
+    link at most for any two components, so a group of any size adds no more rows than it has components.
+    """
+    in_main = F.col("part_x") == F.col("top.part_x")
+    main_blocks = F.ceil(F.col("top.size") / BLOCK).cast("int")
+    side_blocks = F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int")
+    own = F.when(in_main, F.pmod(F.xxhash64("x"), main_blocks)).otherwise(main_blocks + F.pmod(F.xxhash64("x"), side_blocks)).cast("int")
+    others = F.when(in_main, F.sequence(main_blocks, main_blocks + side_blocks - 1)).otherwise(F.sequence(F.lit(0), main_blocks + side_blocks - 1))
+    dealt = members.select("bucket", "x", "part_x", own.alias("own"), F.explode(others).alias("other"))
+    dealt = dealt.select("bucket", "x", "part_x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    traits = classes.select(F.col("row_id").alias("x"), "n", "sig").join(sets.select(F.col("row_id").alias("x"), "shingles"), "x")
+    ready = dealt.join(traits, "x").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    least = least_matches()
+
+    def links_of(ids: list, parts: list, owns: list, sizes: list, sigs: list, shingles: list) -> list[tuple]:
+        sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
+        part, own, size = np.array(parts), np.array(owns), np.array(sizes)
+        split = own.min() != own.max()
+        left, right = np.nonzero(own[:, None] < own[None, :]) if split else np.triu_indices(len(ids), 1)
+        fits = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= THRESHOLD * np.maximum(size[left], size[right]))
+        left, right = left[fits], right[fits]
+        matches = np.zeros(len(left), np.int64)
+        for n in range(BATCH, HASHES + 1, BATCH):
+            matches += (sig[left, n - BATCH : n] == sig[right, n - BATCH : n]).sum(axis=1)
+            go = matches >= least[n]
+            left, right, matches = left[go], right[go], matches[go]
+        order = np.argsort(-matches, kind="stable")
+        root = {p: p for p in parts}
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        out = []
+        for a, b in zip(left[order].tolist(), right[order].tolist()):
+            x, y = top(parts[a]), top(parts[b])
+            if x != y and linked(shingles[a], shingles[b]):
+                root[x] = y
+                out.append((ids[a], ids[b]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], []
+        names = ("x", "part_x", "own", "n", "sig", "shingles")
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names))):
+                if k != key and rows:
+                    found += links_of(*map(list, zip(*rows)))
+                    rows = []
+                key = k
+                rows.append(row)
+        if rows:
+            found += links_of(*map(list, zip(*rows)))
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+    return ready.mapInArrow(run, "u long, v long").distinct()
+
+
 def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For every row: id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -149,7 +211,7 @@ def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     # Classes of one set each, named by their smallest id.
     real = described.filter("n > 0 and row_id is not null")
-    best = real.groupBy("set_key").agg(F.min(F.struct("row_id", "n", "sig", "bits_a", "bits_b")).alias("r"))
+    best = real.groupBy("set_key").agg(F.min(F.struct("row_id", "n", "sig")).alias("r"))
     classes = scratch.keep(best.select("set_key", "r.*"), "classes")
 
     # Buckets with two members or more.
@@ -171,18 +233,11 @@ def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     links = scratch.keep(links.union(confirm(apart, sets)), "links")
     parts = scratch.keep(connected_components(links, scratch), "parts")
 
-    # Buckets that still hold several components.
-    placed = with_part(buckets.select("bucket", F.col("row_id").alias("x")), parts, "x")
-    sizes = placed.groupBy("bucket", "part_x").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "part_x")).alias("top")).filter("parts > 1").select("bucket", F.col("top.part_x").alias("main"))
-    traits = classes.select(F.col("row_id").alias("x"), "n", "bits_a", "bits_b")
-    open_rows = scratch.keep(placed.join(mixed, "bucket").join(traits, "x"), "open")
-    outside = open_rows.filter("part_x <> main").select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("x", "part_x", "n", "bits_a", "bits_b", "main")])
-    differing = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("o_bits_a"))) + F.bit_count(F.col("bits_b").bitwiseXOR(F.col("o_bits_b")))
-    once = (F.col("part_x") == F.col("o_main")) | (F.col("x") < F.col("o_x"))
-    meets = open_rows.join(outside, "bucket").filter((F.col("part_x") != F.col("o_part_x")) & once & sizes_allow(F.col("n"), F.col("o_n")) & (differing <= SKETCH_BITS))
-    rest = meets.select(F.least("x", "o_x").alias("a"), F.greatest("x", "o_x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    late = scratch.keep(confirm(verify_by_signature(rest, classes), sets), "late")
+    # Buckets whose members, leader aside, are still in several components: what these have in common was never compared.
+    placed = with_part(buckets.select("bucket", "leader", F.col("row_id").alias("x")), parts, "x")
+    followers = placed.filter("x <> leader").groupBy("bucket", "part_x").agg(F.count("*").alias("size"))
+    mixed = followers.groupBy("bucket").agg(F.max(F.struct("size", "part_x")).alias("top"), F.sum("size").alias("all")).filter("all > top.size")
+    late = scratch.keep(meet_in_blocks(placed.filter("x <> leader").join(mixed, "bucket"), classes, sets), "late")
     if late.isEmpty():
         final = parts
     else:
