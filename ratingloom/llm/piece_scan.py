@@ -21,6 +21,7 @@ each; an empty table gives no rows; decoding gives back every text, with U+2581
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,6 +64,8 @@ class Vocabulary:
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         #: Prefixes of pieces: a start whose next characters are no prefix is done.
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        #: Score of a piece, None for what only begins one.
+        self.steps: dict[str, int | None] = dict.fromkeys(self.prefixes) | self.score
         splits = not any(b == SPACE and a != SPACE for a, b in self.pairs) and not any("\n" in p for p in self.pairs)
         #: Runs that no piece leaves; they follow from the vocabulary, and without such runs the text is one.
         self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if splits else "(?s:.+)").findall
@@ -96,15 +99,38 @@ class Vocabulary:
         out = []
         while before[end] >= 0:
             piece = text[before[end] : end]
-            out += reversed([self.id[piece]] if piece in self.id else [self.bytes_id[b] for b in piece.encode("utf-8")])
+            out += [self.id[piece]] if piece in self.id else [self.bytes_id[b] for b in reversed(piece.encode("utf-8"))]
             end = before[end]
         return out[::-1]
 
     def run(self, text: str) -> tuple[int, bytes]:
-        """Score and ids, as little-endian 32-bit bytes, of a run on its own."""
+        """Score and ids, as little-endian 32-bit bytes, of a run on its own: forward() from its start to its end, without the boundary states."""
         if (found := self.known.get(text)) is None:
-            best, before = self.forward(text, {0: 0}, len(text))
-            found = best[len(text)], np.array(self.ids_of(text, before, len(text)), "<i4").tobytes()
+            steps, n, unknown = self.steps, len(text), self.unknown
+            best: list = [None] * (n + 1)
+            before, best[0] = [0] * (n + 1), 0
+            for i in range(n):
+                here, single = best[i], False
+                for j in range(i + 1, min(i + self.longest, n) + 1):
+                    s = steps.get(text[i:j], NEVER)
+                    if s == NEVER:
+                        break
+                    if s is not None:
+                        single = single or j == i + 1
+                        if best[j] is None or here + s > best[j]:
+                            best[j], before[j] = here + s, i
+                if not single and (best[i + 1] is None or here + unknown > best[i + 1]):
+                    best[i + 1], before[i + 1] = here + unknown, i
+            ids, end = [], n
+            while end:
+                piece = text[before[end] : end]
+                if (one := self.id.get(piece)) is not None:
+                    ids.append(one)
+                else:
+                    ids += [self.bytes_id[b] for b in reversed(piece.encode("utf-8"))]
+                end = before[end]
+            ids.reverse()
+            found = best[n], array("i", ids).tobytes()
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[text] = found

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, near_dedup, packing, quality_rules, secret_scan, spotsigs, suffix_dedup, toxicity
+from . import license_scan, near_dedup, packing, piece_scan, quality_rules, secret_scan, spotsigs, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -29,6 +29,12 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_scan.encode(read_table(spark, sf_dir, "documents"), keep_text=True)
+    round_trip = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), piece_scan.SPACE, " ")
+    return piece_scan.decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", round_trip.alias("round_trip"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op4_license_scan, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
