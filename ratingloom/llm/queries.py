@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, near_dedup, packing, piece_scan, quality_rules, secret_scan, spotsigs, suffix_dedup, toxicity
-from .common import read_table
+from . import license_scan, near_dedup, packing, piece_scan, quality_rules, secret_scan, sharding, spotsigs, suffix_dedup, toxicity
+from .common import Scratch, read_table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.ShardStore(spark, Scratch(spark, "shards").root)
+    store.append(read_table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return sharding.placements(store)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.measure_quality(read_table(spark, sf_dir, "documents"))
     return ledger.select(
@@ -64,6 +72,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op5_sharding, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -359,3 +359,16 @@ def remainder(column: Column | str) -> Column:
 
 def train_in_parts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     return train(docs, labels, remainder("row_id") == 0, remainder("row_id") == 2, id_column)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = PREDICT_AT) -> DataFrame:
+    """The rows of docs, all their columns as they are, that score below the threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, text_column):
+            raw = features([t.decode("utf-8") for t in texts], held.value.automaton)
+            p = 1 / (1 + np.exp(-np.clip(design(raw) @ held.value.beta, -30, 30)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
