@@ -1,10 +1,6 @@
 """Every registered query of the engine and, where SQL can express it, its SQL."""
 
-from __future__ import annotations
+from .plans import aggregates, joins, pages, quality, report, scalars, streams, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
