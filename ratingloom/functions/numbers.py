@@ -21,7 +21,7 @@ def rating_to_five(value: Column, scale: Column) -> Column:
 def rating_text(value: Column) -> Column:
     """As many places as the value has, at most two, with a comma; a dash for null."""
     text = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value.cast("double")), "0+$", ""), r"\.$", "")
-    return F.coalesce(F.replace(text, F.lit("."), F.lit(",")), F.lit("—"))
+    return F.when(value.isNull(), "—").otherwise(F.replace(text, F.lit("."), F.lit(",")))
 
 
 def plain_number(text: Column) -> Column:
