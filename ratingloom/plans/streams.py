@@ -1,0 +1,95 @@
+"""Queries of the stateful behaviours: streamed where the result is the same at every pace, in batch else."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import windows as W
+from ..registry import query
+from ..streaming import events as E
+from .bindings import table
+
+
+def events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream(spark, d):
+    return E.open_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+
+
+def folder(spark) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def seconds(column: str):
+    return F.unix_timestamp(column).alias(column)
+
+
+CENTS = "CASE WHEN event_type = 'error' THEN -CAST(round(value * 100) AS BIGINT) ELSE CAST(round(value * 100) AS BIGINT) END"
+BUCKETS = f"b AS (SELECT CAST(floor(epoch(ts) / 1800) * 1800 AS BIGINT) AS start, CAST(sum({CENTS}) AS BIGINT) AS cents, count(*) AS n FROM events GROUP BY 1)"
+
+
+@query("str01_latest_state", "SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS n FROM events GROUP BY 1")
+def str01(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("n"))
+
+
+@query("str02_pending_after_checkpoint", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
+def str02(spark, d):
+    done = events(spark, d).filter("event_type = 'purchase'").select("event_id")
+    return events(spark, d).select("event_id").join(done, "event_id", "left_anti")
+
+
+@query("str03_activity_trace", "WITH s AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2) SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'warning' ELSE 'done' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM s) WHERE n <= 64")
+def str03(spark, d):
+    last = events(spark, d).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    return W.last_n(last, ["user_id"], ["event_id"], 64).select("user_id", "event_id", F.when(F.col("event_type") == "error", "warning").otherwise("done").alias("status"))
+
+
+@query("str04_stalled_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3900000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def str04(spark, d):
+    return E.stalled_sessions(events(spark, d)).select("user_id", seconds("start"), "n")
+
+
+@query("str05_quota_buckets", f"WITH {BUCKETS} SELECT start, cents, n FROM b")
+def str05(spark, d):
+    """Streamed in full: the complete table after the last file."""
+    done = E.run_to_end(E.quota_buckets(stream(spark, d), late=None), f"quota_{uuid.uuid4().hex}", "complete", folder(spark))
+    return done.select(seconds("start"), "cents", "n")
+
+
+@query("str05_quota_pairs", f"WITH {BUCKETS} SELECT b.start, b.cents, b.cents + coalesce(p.cents, 0) AS counted, b.cents + coalesce(p.cents, 0) > 45000 AS over FROM b LEFT JOIN b p ON p.start = b.start - 1800")
+def str05_pairs(spark, d):
+    return E.quota_pairs(events(spark, d), cap=45_000).select(seconds("start"), "cents", "counted", "over")
+
+
+@query("str06_lease_slots", "SELECT event_id, CAST(floor(epoch(ts) / 600) AS BIGINT) AS slot, CAST(floor(epoch(ts) / 600) AS BIGINT) - 1 AS adjacent FROM events")
+def str06(spark, d):
+    slot = F.floor(F.unix_timestamp("ts") / 600)
+    return events(spark, d).select("event_id", slot.alias("slot"), (slot - 1).alias("adjacent"))
+
+
+@query("str07_unexpired_evidence", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
+def str07(spark, d):
+    from ..sources.sinks import unexpired
+
+    return unexpired(events(spark, d), "ts", "2024-04-19 00:00:00", 90).select("event_id")
+
+
+@query("str08_imports_without_replays", "SELECT DISTINCT user_id, event_type FROM events")
+def str08(spark, d):
+    return E.first_imports(events(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
+
+
+@query("str08_import_window", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 09:55:00' AND TIMESTAMP '2024-01-10 10:35:00'")
+def str08_window(spark, d):
+    return E.in_session(events(spark, d), "2024-01-10 10:00:00").select("event_id")
+
+
+@query("str09_publications", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT props) AS published FROM events GROUP BY 1, 2")
+def str09(spark, d):
+    return events(spark, d).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_distinct("props").alias("published"))
