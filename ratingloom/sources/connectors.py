@@ -59,11 +59,12 @@ class Connectors:
             rows = READERS[reader](open_)
             found = rows if found is None else with_fallback(found, rows, ["page_id"], F.lit(True))
         counted = found.groupBy("page_id").agg(F.count("*").alias("n"), F.max_by(F.struct("name", "sku", "url", "rating", "best", "reviews", "ratings"), F.struct(F.col("url").isNotNull(), F.col("ratings"))).alias("p"), F.count_if(F.col("url").isNotNull()).alias("bound"))
-        rows = open_.join(counted, "page_id", "left")
+        rows = pages.join(counted, "page_id", "left")
         clear = (F.col("n") == 1) | (F.col("bound") == 1)
         scale = F.coalesce("p.best", F.lit(5.0))
         count = F.greatest("p.reviews", "p.ratings")
-        status = F.when(F.col("n").isNull(), "not_found").when(~clear, "needs_review").when(count > 0, "ok").when(count == 0, "no_reviews").otherwise("needs_review")
+        shut = F.col("domain").isin(blocked) if blocked else F.lit(False)
+        status = F.when(shut, "blocked").when(F.col("n").isNull(), "not_found").when(~clear, "needs_review").when(count > 0, "ok").when(count == 0, "no_reviews").otherwise("needs_review")
         return rows.select(
             "page_id", "domain", F.coalesce("p.sku", listing_id(F.col("url"))).alias("listing_id"), canonical_url(F.col("url")).alias("canonical_url"), F.when(clear, F.col("p.name")).alias("product"),
             F.when(clear, F.col("p.reviews")).alias("reviews"), F.when(clear, F.col("p.ratings")).alias("rating_count"), F.when(clear, F.col("p.rating")).alias("raw_rating"), F.when(clear, scale).alias("raw_rating_scale"),
