@@ -223,6 +223,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     narrow = keyed(docs, id_column, text_column)
     _, spans = repeated_spans(narrow, length, scratch)
     key = F.xxhash64(F.col(id_column), F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    lost = cut(narrow, spans).select(F.col("row_key").alias("_key"), "kept_text").dropDuplicates(["_key"])
-    joined_ = docs.withColumn("_row_key", key).join(lost.withColumnRenamed("kept_text", "_kept_text"), F.col("_row_key") == F.col("_key"), "left")
-    return joined_.withColumn(text_column, F.coalesce("_kept_text", text_column)).select(*docs.columns)
+    lost = cut(narrow, spans).select("row_key", "kept_text").dropDuplicates(["row_key"])
+    whole = docs.select(F.struct("*").alias("row"), key.alias("row_key")).join(lost, "row_key", "left")
+    field = lambda c: F.coalesce("kept_text", F.col("row")[c]).alias(c) if c == text_column else F.col("row")[c].alias(c)
+    return whole.select(*map(field, docs.columns))
