@@ -74,4 +74,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op5_sharding, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"[^\x20\x09-\x0D]+"
+
+QUALITY_SQL = rf"""WITH w AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS ls FROM documents),
+  g AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) u(i)),
+  c AS (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g),
+  r AS (SELECT k, count(DISTINCT i + j) AS n FROM c, unnest([0, 1, 2]) v(j) WHERE n > 1 GROUP BY k),
+  m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper,
+    len(list_filter(ws, lambda x: regexp_full_match(x, '[\x00-\x2F:-@\x5B-\x60\x7B-\x7F]+'))) AS n_bare_words, len(regexp_extract_all(t, '!!')) AS n_exclaimed FROM w LEFT JOIN r ON r.k = w.k),
+  b AS (SELECT *, CAST({" + ".join(f"CASE WHEN {test} THEN {quality_rules.BITS[name]} ELSE 0 END" for name, test in quality_rules.RULES.items())} AS BIGINT) AS fail_bits FROM m)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.BASE_POLICY.mask} <> 0 AS base_failed, fail_bits & {quality_rules.PRODUCTION_POLICY.mask} = 0 AS kept, fail_bits FROM b"""
+
+NEAR_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) u(i) WHERE len(ws) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+  f AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+  r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, f.y FROM r JOIN f ON f.x = r.reach),
+  k AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1)
+  SELECT k.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, k.doc_id = component_id AS kept FROM k LEFT JOIN n ON n.doc_id = k.doc_id"""
+
+
+def secret_sql() -> str:
+    """Places follow from cutting each text at its matches, rule by rule."""
+    spans = []
+    for i, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        spans.append(
+            f"SELECT doc_id, {i} AS rule, '{rule.kind}' AS kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n, length(v[i]) AS least "
+            f"FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS v FROM documents WHERE regexp_matches(text, '{pattern}')), unnest(range(1, len(m) + 1)) u(i) WHERE length(v[i]) >= {rule.least}"
+        )
+    base = [r.kind for r in secret_scan.RULES if r.base]
+    text = "kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + n AS BIGINT) AS VARCHAR)"
+    return (
+        f"WITH s AS ({' UNION ALL '.join(spans)}), g AS (SELECT doc_id, {', '.join(f'count(*) FILTER (rule = {i}) AS n_{k}' for i, k in enumerate(base))}, string_agg({text}, ',' ORDER BY a, rule) FILTER (rule < {len(base)}) AS base, string_agg({text}, ',' ORDER BY a, rule) AS spans FROM s GROUP BY 1) "
+        f"SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"
+    )
+
+
+#: The others are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op8_minhash": NEAR_SQL, "op9_secret_scan": secret_sql()}
