@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if hasattr(value, "item"):
         value = value.item()
