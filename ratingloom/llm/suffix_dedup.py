@@ -139,20 +139,22 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
     """Facts of every row (row_id, row_key, n_bytes, sha), and per row_key the byte spans that repeated windows cover."""
     parsed = scratch.keep(parse(docs, length), "parsed", "lz4")
     facts = scratch.keep(parsed.select("row_id", "row_key", "n_bytes", "sha"), "facts")
-    again = parsed.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    # Written first: a join of two tables can split a hot core (periodic text has one), one with an aggregate cannot.
+    again = scratch.keep(parsed.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "again", "lz4")
     rows = parsed.select("row_key", F.explode(F.arrays_zip("lo", "width", "core", "content")).alias("p")).select("row_key", "p.*")
     places = scratch.keep(rows.join(again, "core"), "places", "lz4")
     scratch.drop(parsed)
 
     entries = places.groupBy("core", "content").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "lo", "width")).alias("copy"))
     dictionary = scratch.keep(entries, "dictionary", "lz4")
+    scratch.drop(again)
     shared = dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
     whole = places.join(dictionary.filter("n > 1").select("core", "content"), ["core", "content"], "left_semi")
     whole = whole.select("row_key", F.col("lo").alias("a"), (F.col("lo") + F.col("width") + length).alias("b"))
 
     edges = dictionary.join(shared, "core").select("copy.row_key", "copy.lo", (F.col("copy.lo") + F.col("copy.width")).alias("hi"), (F.col("n") == 1).alias("alone"))
     windows = scratch.keep(edge_windows(docs, edges, length), "windows", "lz4")
-    twice = windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    twice = scratch.keep(windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "twice", "lz4")
     single = windows.filter("row_key is not null").join(twice, "mark", "left_semi")
     # Windows of one row in a row are one span already.
     single = single.groupBy("row_key").agg(F.array_sort(F.collect_list("at")).alias("at")).select("row_key", F.explode(runs_of("at")).alias("r"))
