@@ -27,7 +27,7 @@ from .hashing import LOWER_TABLE
 
 PIECES = "row_id long,start long,length long,ids_crc32 long,doc_tokens long"
 #: Pieces of one length that a task numbers at a time.
-RANK_GROUP = 512
+RANK_GROUP = 128
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 1_000_000
 
