@@ -33,6 +33,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: set[str] = set()
         atexit.register(self.close)
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -41,11 +42,19 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
+        self.live.add(path)
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             delete_path(self.spark, table._scratch_path)
+            self.live.discard(table._scratch_path)
+
+    def drop_others(self, *tables: DataFrame) -> None:
+        """Removes all but these tables, once nothing else is read any more."""
+        for path in self.live - {t._scratch_path for t in tables}:
+            delete_path(self.spark, path)
+            self.live.discard(path)
 
     def close(self) -> None:
         try:

@@ -247,7 +247,10 @@ def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     named = with_part(named, final, "x").select("set_key", "part_x")
     out = described.select("row_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.when(F.col("row_id").isNotNull(), F.coalesce("part_x", "row_id"))
-    return out.select(F.col("row_id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("row_id").isNull() | (F.col("row_id") == component)).alias("kept"))
+    groups = out.select(F.col("row_id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("row_id").isNull() | (F.col("row_id") == component)).alias("kept"))
+    groups = scratch.keep(groups, "groups")
+    scratch.drop_others(groups)
+    return groups
 
 
 def with_part(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:

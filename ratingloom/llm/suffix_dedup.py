@@ -160,7 +160,9 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
     single = single.groupBy("row_key").agg(F.array_sort(F.collect_list("at")).alias("at")).select("row_key", F.explode(runs_of("at")).alias("r"))
     single = single.select("row_key", F.col("r.a").alias("a"), (F.col("r.b") + length).alias("b"))
     spans = whole.union(single).groupBy("row_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return facts, scratch.keep(spans, "spans", "lz4")
+    spans = scratch.keep(spans, "spans", "lz4")
+    scratch.drop_others(facts, spans)
+    return facts, spans
 
 
 def runs_of(column: str):
