@@ -128,3 +128,29 @@ def safe_cell(text: Column) -> Column:
     """Clipboard cell: no formula may start it, quotes are doubled where quoting is needed."""
     guarded = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
     return F.when(guarded.rlike('["\t\n\r]'), F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(guarded)
+
+
+def cleaned(text: Column, limit: int = 500) -> Column:
+    """Evidence text: compatibility forms folded but for the number sign, single spaces, bounded."""
+    kept = F.replace(nfkc(F.replace(text, F.lit("№"), F.lit("\ue000"))), F.lit("\ue000"), F.lit("№"))
+    return F.substring(F.trim(F.regexp_replace(kept, r"\s+", " ")), 1, limit)
+
+
+def without_words(text: Column, words: list[str]) -> Column:
+    """The text without the given names, longest first, where they stand as whole words."""
+    import re
+
+    for word in sorted(words, key=lambda w: (-len(w), w)):
+        body = r"[\s‐‑‒–—−-]*".join(re.escape(p) for p in re.split(r"[\s‐‑‒–—−-]+", word) if p)
+        text = F.regexp_replace(text, r"(?iu)(^|[^\p{L}\p{N}])" + body + r"(?=$|[^\p{L}\p{N}])", "$1")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def fuller_title(first: Column, second: Column) -> Column:
+    """Of two titles the one that states a pack, else the one that is not cut short, else the longer."""
+    pack = lambda t: t.rlike(r"(?iu)(№|\d+\s*(шт|таб|капс))")
+    cut = lambda t: t.rlike(r"(…|\.\.\.)\s*$")
+    longer = F.when(F.length(first) >= F.length(second), first).otherwise(second)
+    told = F.when(pack(first) & ~pack(second), first).when(pack(second) & ~pack(first), second)
+    whole = F.when(cut(second) & ~cut(first), first).when(cut(first) & ~cut(second), second)
+    return F.coalesce(told, whole, longer, first, second)

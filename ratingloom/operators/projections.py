@@ -95,3 +95,39 @@ def narrow(rows: DataFrame, key: str, fits: Column) -> DataFrame:
     """Of a key's candidates, if there are several and some fit, only those."""
     seen = rows.groupBy(key).agg(F.count("*").alias("_n"), F.bool_or(fits).alias("_any"))
     return rows.join(seen, key).filter((F.col("_n") == 1) | ~F.col("_any") | fits).drop("_n", "_any")
+
+
+def accepts_itself(rows: DataFrame) -> Column:
+    """A listing whose own page proves its counters needs no person: read, identified exactly, with an identifier of its site."""
+    proven = F.exists("identifiers", lambda i: i["type"].isin("sku", "listing"))
+    return (F.col("status").isin("ok", "no_reviews")) & (F.col("granularity") == "variant") & (F.col("confidence") == "exact") & proven
+
+
+def status_after_identity(status: Column, granularity: Column) -> Column:
+    """A listing that is no product goes; one that cannot be told apart waits for a person."""
+    return F.when(granularity == "not_product", "not_found").when((status == "ok") & (granularity == "unresolved"), "needs_review").otherwise(status)
+
+
+def settle_not_found(rows: DataFrame, registry: DataFrame, key: list[str]) -> DataFrame:
+    """Listings that were not found: known ones stay as history with empty metrics, those said to be gone go, the rest wait."""
+    known = registry.select(*key).distinct().withColumn("_known", F.lit(True))
+    joined = rows.join(known, key, "left")
+    lost = F.col("status") == "not_found"
+    historical = lost & F.coalesce("_known", F.lit(False))
+    kept = joined.filter(~(lost & ~historical & F.col("explicitly_missing")))
+    return kept.withColumns({
+        "reviews": F.when(historical, None).otherwise(F.col("reviews")),
+        "historical": historical,
+        "status": F.when(lost & ~historical, "needs_review").otherwise(F.col("status")),
+    }).drop("_known")
+
+
+def a_person_can_confirm(status: Column, reviews: Column, problem: Column) -> Column:
+    return (status == "needs_review") & reviews.isNotNull() & (reviews >= 0) & ~F.coalesce(problem.isin("blocked", "quota_exceeded", "parser_changed"), F.lit(False))
+
+
+def ready_to_publish(rows: DataFrame, group: str) -> DataFrame:
+    """For each group: cards read, cards that wait, and whether it may be published."""
+    read = F.count_if(F.col("status").isin("ok", "no_reviews", "not_found"))
+    waits = F.count_if(F.col("status") == "needs_review")
+    return rows.groupBy(group).agg(read.alias("read"), waits.alias("waiting"), (F.count("*") == read).alias("ready"))

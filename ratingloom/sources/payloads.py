@@ -211,3 +211,28 @@ def robots_allowed(robots: Column, path: Column) -> Column:
     scored = F.transform(rules, lambda r: F.struct(F.length(F.regexp_extract(r, r":\s*(\S+)", 1)).alias("n"), r.rlike(r"(?i)^\s*allow").alias("ok"), F.startswith(path, F.regexp_extract(r, r":\s*(\S+)", 1)).alias("hit")))
     best = F.array_max(F.filter(scored, lambda s: s["hit"]))
     return F.coalesce(best["ok"], F.lit(True))
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """A page's link as an address of its own site; null for others and for what is no https address."""
+    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    made = F.when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(origin, href)).when(href.rlike("^[A-Za-z0-9._~-]"), F.concat(folder, F.lit("/"), href))
+    site = lambda u: F.regexp_extract(u, r"^https?://(?:www\.)?([^/?#:]+)", 1)
+    return F.when(site(made) == site(base), F.regexp_replace(F.regexp_replace(made, "#.*$", ""), "^http:", "https:"))
+
+
+def next_pages(payloads: DataFrame, key: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
+    """key and the addresses, distinct and of the same site, of links that lead to a next page."""
+    found = anchors(payloads, key, body).join(payloads.select(key, url), key)
+    leads = F.col("href").rlike(r"[?&](page|p|PAGEN_\d+)=\d+") | F.lower("text").isin("next", "далее", "следующая", "›", "»")
+    return found.filter(leads).select(key, absolute(F.col("href"), F.col(url)).alias("next")).filter("next is not null").distinct()
+
+
+#: Names of attributes that tell products apart, and of those that never do.
+TELLING = r"(?iu)форма|дозиров|фасов|количеств|объ[её]м|концентрац|упаков|form|dose|pack|volume"
+IDLE = r"(?iu)отзыв|рейтинг|цена|доставк|review|rating|price"
+
+
+def telling_attributes(pairs: DataFrame, name: str = "name") -> DataFrame:
+    return pairs.filter(F.col(name).rlike(TELLING) & ~F.col(name).rlike(IDLE))
