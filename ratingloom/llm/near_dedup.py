@@ -114,7 +114,8 @@ def shingle_tables(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFra
         values, bounds = shingle_sets(texts, SHINGLE)
         return {"row_id": batch.column(0), "shingles": [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]}
 
-    return scratch.keep(map_texts(chosen, "body", "row_id long,shingles binary", kernel).dropDuplicates(["row_id"]) if not few else map_texts(chosen, "body", "row_id long,shingles binary", kernel), "sets", "lz4")
+    made = map_texts(chosen, "body", "row_id long,shingles binary", kernel)
+    return scratch.keep(made if few else made.dropDuplicates(["row_id"]), "sets", "lz4")
 
 
 def linked(x: bytes, y: bytes) -> bool:
