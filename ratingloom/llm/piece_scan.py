@@ -28,14 +28,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_chunks, vocabulary_file
 
 CHUNK = 32_768
 BLOCK = 256
-REMEMBERED = 1_000_000
+#: Runs remembered in each of two generations, and their greatest length: a worker's memory is bounded by both.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
 SPACE = "▁"
 NEVER = -(1 << 60)
 
@@ -60,6 +61,10 @@ class Vocabulary:
                 self.score[piece], self.id[piece] = int(model.get_score(i)), i
                 self.raw.append(piece.replace(SPACE, " ").encode("utf-8"))
         self.unknown = min(self.score.values()) - 10
+        #: Score of each id; an unknown character counts once, at its first byte.
+        self.id_score = np.zeros(len(self.raw), np.int64)
+        self.id_score[list(self.id.values())] = [self.score[p] for p in self.id]
+        self.id_score[[i for b, i in self.bytes_id.items() if not 0x80 <= b < 0xC0]] = self.unknown
         self.longest = max(map(len, self.score))
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         #: Prefixes of pieces: a start whose next characters are no prefix is done.
@@ -69,7 +74,8 @@ class Vocabulary:
         splits = not any(b == SPACE and a != SPACE for a, b in self.pairs) and not any("\n" in p for p in self.pairs)
         #: Runs that no piece leaves; they follow from the vocabulary, and without such runs the text is one.
         self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if splits else "(?s:.+)").findall
-        self.known: dict[str, tuple[int, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def edges(self, text: str, i: int) -> list[tuple[int, int]]:
         """(end, score) of the pieces at i, an unknown character among them if there is no piece for it."""
@@ -103,9 +109,11 @@ class Vocabulary:
             end = before[end]
         return out[::-1]
 
-    def run(self, text: str) -> tuple[int, bytes]:
-        """Score and ids, as little-endian 32-bit bytes, of a run on its own: forward() from its start to its end, without the boundary states."""
+    def run(self, text: str) -> bytes:
+        """Ids, as little-endian 32-bit bytes, of a run on its own: forward() from its start to its end, without the boundary states."""
         if (found := self.known.get(text)) is None:
+            if (found := self.older.get(text)) is not None:
+                return self.remember(text, found)
             steps, n, unknown = self.steps, len(text), self.unknown
             best: list = [None] * (n + 1)
             before, best[0] = [0] * (n + 1), 0
@@ -130,17 +138,22 @@ class Vocabulary:
                     ids += [self.bytes_id[b] for b in reversed(piece.encode("utf-8"))]
                 end = before[end]
             ids.reverse()
-            found = best[n], array("i", ids).tobytes()
+            found = self.remember(text, array("i", ids).tobytes())
+        return found
+
+    def remember(self, text: str, found: bytes) -> bytes:
+        """Runs met again move to the younger generation; when that is full, the older one goes."""
+        if len(text) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        known, run = self.known, self.run
-        return b"".join([(known.get(r) or run(r))[1] for r in self.runs(prepared(text))])
+        run = self.run
+        return b"".join([self.known.get(r) or run(r) for r in self.runs(prepared(text))])
 
     def breaks(self, text: str, stop: int) -> tuple[int, int]:
         """First and last place within [0, stop] that no piece spans, or (-1, -1)."""
@@ -158,7 +171,7 @@ class Vocabulary:
             for k in range(min(m, size + 1)):
                 exits(self.forward(text, {k: 0}, size)[0], out[k], 0)
             return out
-        middle = sum(self.run(r)[0] for r in self.runs(text[first:last]))
+        middle = int(self.id_score[np.frombuffer(b"".join(map(self.run, self.runs(text[first:last]))), "<i4")].sum())
         ends = self.forward(text[last:], {0: 0}, size - last)[0]
         ends = {j + last: v for j, v in ends.items()}
         for k in range(min(m - 1, first) + 1):
@@ -195,7 +208,7 @@ class Vocabulary:
         head = np.array(self.ids_of(text[:first], before, first), "<i4").tobytes()
         tail = text[last:]
         _, before = self.forward(tail, {0: 0}, size - last)
-        return b"".join([head, *(self.run(r)[1] for r in self.runs(text[first:last])), np.array(self.ids_of(tail, before, len(tail)), "<i4").tobytes()])
+        return b"".join([head, *map(self.run, self.runs(text[first:last])), np.array(self.ids_of(tail, before, len(tail)), "<i4").tobytes()])
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -216,26 +229,27 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[..., :, None] + b).max(axis=-2), NEVER)
 
 
-def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = "piece_bpe_32k.model", chunk: int = CHUNK, keep_text: bool = False) -> DataFrame:
-    """id and ids of every row (and its text, if asked for)."""
+def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: str = "piece_bpe_32k.model", chunk: int = CHUNK, keep: Column | None = None) -> DataFrame:
+    """id and ids of every row, and the column `kept` if `keep` is given."""
     path = vocabulary_file(model)
     body = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_column).alias("row_id"), body.alias("body"), F.xxhash64(F.col(id_column), body).alias("row_key"))
+    keyed = docs.select(F.col(id_column).alias("row_id"), body.alias("body"), F.xxhash64(F.col(id_column), body).alias("row_key"), *([keep.alias("kept")] if keep is not None else []))
+    more = ["kept"] if keep is not None else []
     long_ = F.length("body") >= chunk
-    kind = dict(keyed.dtypes)["row_id"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch, texts in text_chunks(batches, "body"):
             ids = [np.frombuffer(words.encode(t.decode("utf-8")), "<i4") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), id_lists(ids), *([batch.column("body")] if keep_text else [])], names=["row_id", "ids", *(["body"] if keep_text else [])])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), id_lists(ids), *map(batch.column, more)], names=["row_id", "ids", *more])
 
-    schema = f"row_id {kind}, ids array<int>" + ", body string" * keep_text
-    short = keyed.filter(~long_).mapInArrow(whole, schema)
+    types = dict(keyed.dtypes)
+    schema = ", ".join([f"row_id {types['row_id']}", "ids array<int>", *(f"{c} {types[c]}" for c in more)])
+    short = keyed.filter(~long_).select("row_id", "body", *more).mapInArrow(whole, schema)
     giants = keyed.filter(long_)
     parts = encode_chunks(giants.select("row_key", "body"), path, chunk)
-    joined = giants.join(parts, "row_key").select("row_id", "ids", *(["body"] if keep_text else []))
-    return short.union(joined).withColumnsRenamed({"row_id": id_column, "body": text_column})
+    joined = giants.join(parts, "row_key").select("row_id", "ids", *more)
+    return short.union(joined).withColumnRenamed("row_id", id_column)
 
 
 def id_lists(ids: list[np.ndarray]) -> pa.Array:
@@ -321,6 +335,12 @@ def encode_chunks(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     return done.groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("nth", "ids"))).alias("parts")).select("row_key", F.flatten("parts.ids").alias("ids"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def decode(encoded: DataFrame, ids_column: str = "ids", model: str = "piece_bpe_32k.model", out_column: str = "decoded") -> DataFrame:
     """Adds the text that the ids spell."""
     path = vocabulary_file(model)
@@ -328,7 +348,7 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model: str = "piece_bpe_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(ids_column)
             texts = [words.decode(column[i].values.to_numpy()) if column[i].is_valid else None for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out_column])
