@@ -4,12 +4,13 @@ Every change is a new manifest: a small table of the live shards (file, rows, by
 aside and renamed to its version's name. The rename either happens whole or fails because another writer took that
 version, so readers always see one complete version, and files never change once written.
 
-Compaction takes shards below the target size, tier by tier (a tier spans one factor of FANOUT in bytes), and fills
+Compaction takes shards below half the target size, tier by tier (a tier spans one factor of FANOUT in bytes), and fills
 groups up to the target with neighbours in size; a group is merged if it has FANOUT shards or half the target. Each
-group is one task's rows, at most the target and one shard more, so no key or source can make one task large.
+group is one task's rows, at most the target and one shard more, so no key or source can make one task large. What a
+merge makes is most often beyond half the target and then stays: rows are rewritten once for each tier they climb.
 
-Only DataFrame functions touch the rows. The plan that is broadcast has at most SHARDS_PER_ROUND rows; compaction works
-in rounds of that many.
+Only DataFrame functions touch the rows. A round plans over the SHARDS_PER_ROUND smallest shards, which bounds what is
+numbered in one place and broadcast; rounds follow each other until no group is full.
 
 Defined cases: null ids and texts, empty and very long texts and repeated rows are kept as they are, each row once;
 an empty table adds a version without shards; all columns are kept whatever their names.
@@ -97,18 +98,21 @@ class ShardStore:
 
     def plan(self, version: int) -> DataFrame:
         """file and group of the shards that the next round merges."""
-        small = self.manifest(version).filter(F.col("n_bytes") < self.target)
+        small = self.manifest(version).filter(F.col("n_bytes") * 2 < self.target).orderBy("n_bytes", "file").limit(SHARDS_PER_ROUND)
         tier = F.floor(F.log(F.greatest(F.col("n_bytes"), F.lit(1)) / self.target) / F.log(F.lit(float(self.fanout))))
         in_size = Window.partitionBy("tier").orderBy("n_bytes", "file")
         before = F.coalesce(F.sum("n_bytes").over(in_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         grouped = small.withColumn("tier", tier).withColumn("run", F.floor(before / self.target))
         sums = grouped.groupBy("tier", "run").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
         full = sums.filter((F.col("n") >= self.fanout) | ((F.col("n") > 1) & (F.col("total") * 2 >= self.target)))
-        numbered = full.withColumn("group", F.row_number().over(Window.orderBy("tier", "run")) - 1).withColumn("upto", F.sum("n").over(Window.orderBy("tier", "run")))
-        return grouped.join(numbered.filter(F.col("upto") <= SHARDS_PER_ROUND + F.col("n")), ["tier", "run"]).select("file", "n_bytes", "group")
+        numbered = full.withColumn("group", F.row_number().over(Window.orderBy("tier", "run")) - 1)
+        return grouped.join(numbered, ["tier", "run"]).select("file", "n_bytes", "group")
 
-    def compact(self) -> int:
-        """Merges until no group is full; commits a version for each round and returns the last."""
+    def compact(self, keep_earlier: bool = True) -> int:
+        """Merges until no group is full; commits a version for each round and returns the last.
+
+        Without `keep_earlier`, what a round has replaced is deleted before the next one.
+        """
         while True:
             onto = self.latest()
             plan = self.plan(onto).cache()
@@ -126,6 +130,8 @@ class ShardStore:
             kept = self.manifest(onto).join(plan.select("file"), "file", "left_anti").select("file", "n_rows", "n_bytes", "added")
             self.commit(kept.union(self.describe(folder, onto + 1)), onto)
             plan.unpersist()
+            if not keep_earlier:
+                self.vacuum()
 
     def vacuum(self) -> int:
         """Deletes folders of which no file is in the latest version; earlier versions can then not be read. Returns how many."""
