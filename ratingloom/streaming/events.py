@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,13 +68,25 @@ def run_states(events: DataFrame, key: str = "user_id", state: str = "event_type
     return events.groupBy(key).applyInPandasWithState(advance, f"{key} long, state string, changes long", "place int, changes long", "update", "NoTimeout")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str, seconds: float = 120) -> DataFrame:
-    """Everything the stream gives for the input there is now, as a table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    until = time.time() + seconds
-    while q.isActive and time.time() < until:
-        q.awaitTermination(1)
-    if q.exception():
-        raise q.exception()
-    q.stop()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str, seconds: float | None = None) -> DataFrame:
+    """Everything the stream gives for the input there is now, as a table; Parquet beside the checkpoint.
+
+    A limit in seconds is an error when it passes, never a shorter table.
+    """
+    spark, root, written = stream.sparkSession, f"{checkpoint}-{name}", set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        # A complete batch replaces the one before it; a batch that runs again replaces itself.
+        path = root if mode == "complete" else f"{root}/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.add(path)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        if seconds is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(seconds):
+            raise TimeoutError(f"stream {name} has not come to its end in {seconds:g} s")
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(*sorted(written)) if written else spark.createDataFrame([], stream.schema)

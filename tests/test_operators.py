@@ -123,3 +123,14 @@ def test_streams_give_what_batches_give(spark, sf_dir, tmp_path):
     assert done.select("user_id", "event_type").distinct().count() == spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type").distinct().count()
     states = streams.run_to_end(streams.run_states(stream.select("ts", "user_id", F.lit("running").alias("event_type"))), "states", "update", f"{tmp_path}/c2")
     assert {(r.state, r.changes) for r in states.collect()} == {("running", 1)}
+
+
+def test_stream_is_read_to_its_end_or_fails(spark, tmp_path):
+    """More files than one trigger takes: all of them count, and a limit that passes gives no shorter table."""
+    rows = spark.range(4000).select((F.lit("2024-01-01").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, id)")).alias("ts"), F.lit("view").alias("event_type"), F.lit(0.01).alias("value"))
+    rows.repartition(20).write.parquet(f"{tmp_path}/events.parquet")
+    buckets = lambda: streams.quota_buckets(streams.open_stream(spark, f"{tmp_path}/events.parquet*", rows.schema, 1), late=None)
+    with pytest.raises(TimeoutError):
+        streams.run_to_end(buckets(), "cut", "complete", f"{tmp_path}/c1", seconds=0.5)
+    got = streams.run_to_end(buckets(), "whole", "complete", f"{tmp_path}/c2").collect()
+    assert sorted((r.cents, r.n) for r in got) == [(400, 400), (1800, 1800), (1800, 1800)]
