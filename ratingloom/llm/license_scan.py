@@ -1,9 +1,8 @@
 """License scan over a positional index of rare licence words.
 
-Every file's licence words (those of the templates that are not everyday words) become postings of (file, position,
-word). Their document frequencies over the whole corpus give each word its rarity; each file looks up its rarest
-licence words in the template postings, and hits that agree on where the template would begin are one alignment. An
-alignment counts once the template's mandatory key phrase stands, word for word, where the alignment says. Three base
+Every file's licence words (those of the templates that are not everyday words, so rare in other texts) become postings
+of (file, position, word). Each file looks up all of its licence words, whose number the templates bound, in the
+template postings, and hits that agree on where the template would begin are one alignment. An alignment counts once the template's mandatory key phrase stands, word for word, where the alignment says. Three base
 phrases are looked up at every place, whatever their words' rarity.
 
 Only DataFrame functions are used. Postings of licence words, the vocabulary and the templates are all that is joined;
@@ -16,7 +15,7 @@ are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -46,8 +45,6 @@ TEMPLATES = [
 
 #: Template words that every text has; they say nothing of a licence and have no postings.
 EVERYDAY = frozenset("a all an and any are as at by following for form free has in into is it made made of on or other possible required that the this to use under unless with without you can copy code source terms person law nc cc 0 4".split())
-#: Rarest licence words that each file looks up.
-LOOKED_UP = 24
 #: Share of a template's postings that an alignment must hit.
 LEAST_COVER = 0.3
 
@@ -95,16 +92,12 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     base = once.join(F.broadcast(phrases), "word").filter(here(F.col("pos"), F.size("phrase")) == F.col("phrase"))
     base = base.groupBy("row_key").agg(F.count("*").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), F.collect_set("label").alias("base_found"))
 
-    # Rarity over all files, then each file's rarest words.
-    seen = once.select("row_key", "word").distinct()
-    frequency = seen.groupBy("word").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("row_key").orderBy("df", "word")
-    asked = seen.join(F.broadcast(frequency), "word").withColumn("nth", F.row_number().over(rarest)).filter(F.col("nth") <= LOOKED_UP).select("row_key", "word")
+    # Every licence word of a file is looked up, so cover counts all that the file has of a template.
     templates = spark.createDataFrame(template_rows(), "template int, label string, word string, t_pos long, t_size long, key_at long, key array<string>")
     start = F.col("pos") - F.col("t_pos")
     key_start = start + F.col("key_at")
     verified = (key_start >= F.col("near_from")) & (here(F.greatest(key_start, F.col("near_from")), F.size("key")) == F.col("key"))
-    aligned = once.join(asked, ["row_key", "word"]).join(F.broadcast(templates), "word").filter(verified)
+    aligned = once.join(F.broadcast(templates), "word").filter(verified)
     aligned = aligned.groupBy("row_key", "template", "label", start.alias("start")).agg((F.count("*") / F.max("t_size")).alias("cover")).filter(F.col("cover") >= LEAST_COVER)
     found = aligned.groupBy("row_key").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
 

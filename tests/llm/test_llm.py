@@ -183,6 +183,17 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(empty).collect() == []
 
 
+def test_licenses_of_a_notice_with_all_templates(spark):
+    """Each template counts whole, however many licence words its file has."""
+    whole = " ".join(text for _, text, _ in license_scan.TEMPLATES)
+    notice = " ".join(text for label, text, _ in license_scan.TEMPLATES[:4]) + " and the mozilla public license, the eclipse public license"
+    rows = spark.createDataFrame([(0, whole), (1, notice)] + [(2 + i, t) for i, (_, t, _) in enumerate(license_scan.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(rows).collect()}
+    assert got[0].labels == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+    assert {"mpl", "epl"} < set(got[1].labels.split(","))
+    assert all(label in got[2 + i].labels.split(",") and got[2 + i].score == 1.0 for i, (label, _, _) in enumerate(license_scan.TEMPLATES))
+
+
 # 5
 
 
