@@ -261,6 +261,23 @@ def with_part(rows: DataFrame, parts: DataFrame, column: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group, the document with the smallest id, and rows without an id."""
+    """The rows of docs that stay: of each group, the document with the smallest id, and rows without an id; each text of a document once.
+
+    Rows that share id and text are one, and so are rows without an id that share their text; one without an id goes where
+    a document that stays has its text. Of rows that differ in other columns only, the least stays.
+    """
     gone = find_groups(docs, id_column, text_column).filter(~F.col("kept")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    stays = lambda rows: rows.join(gone, rows[id_column] == gone["_gone"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "copies")
+    digest = F.xxhash64(F.col(text_column))
+    digests = stays(docs.select(id_column, digest.alias("_digest"))).groupBy("_digest").agg(F.count("*").alias("_rows"))
+    repeated = scratch.keep(digests.filter("_rows > 1").select("_digest"), "repeated")
+
+    # Only rows whose digest repeats are shuffled; texts themselves are compared.
+    alike = stays(docs.join(repeated, digest == repeated["_digest"], "left_semi"))
+    alike = alike.groupBy(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    alike = scratch.keep(alike, "alike")
+    named = alike.filter("_id is not null")
+    nameless = alike.filter("_id is null").join(named.select(F.col("_text").alias("_known")), F.col("_text").eqNullSafe(F.col("_known")), "left_anti")
+    others = stays(docs.join(repeated, digest == repeated["_digest"], "left_anti"))
+    return others.union(named.select("_row.*")).union(nameless.select("_row.*"))

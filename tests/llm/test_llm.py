@@ -449,3 +449,16 @@ def test_pipeline_stages(spark, docs, sf_dir):
     want = Counter((i, r[3]) for (i, _), r in zip(kept, brute_cut(kept, 400)))
     assert Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows.collect()) == want
     assert corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).select("doc_id").distinct().count() == len({i for i, _ in kept})
+
+
+def test_pipeline_keeps_one_whole_copy(spark, sf_dir):
+    """Copies that share an id, or have none, leave one row, so no text is lost to the next stage."""
+    corpus_pipeline = importlib.import_module("corpus_pipeline")
+    texts = [" ".join(f"{c}{k * k % 997}" for k in range(120)) for c in "abcd"]
+    rows = [(1, texts[0], "x"), (1, texts[0], "w"), (None, texts[1], "x"), (None, texts[1], "y"), (2, texts[2], "x"), (None, texts[2], "x"), (3, texts[2], "x"), (3, texts[2], "x"), (4, texts[3], "x"), (4, "another text", "x"), (5, " ", "x"), (6, " ", "x"), (None, None, "x"), (7, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter([(1, texts[0], "w"), (None, texts[1], "x"), (2, texts[2], "x"), (4, texts[3], "x"), (4, "another text", "x"), (5, " ", "x"), (6, " ", "x"), (7, None, "x")])
+    stage = dict(corpus_pipeline.STAGES)
+    kept = Scratch(spark, "test").keep(stage["minhash"](spark, docs, sf_dir), "kept")
+    assert Counter(map(tuple, kept.collect())) == want
+    assert Counter((r.doc_id, r.text or "") for r in stage["repeats"](spark, kept, sf_dir).collect()) == Counter((i, t or "") for i, t, _ in want)
