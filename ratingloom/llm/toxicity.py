@@ -7,7 +7,7 @@ Each hit is weighed in its window: quotation marks and words of report around it
 A logistic model over a document's sums gives the score.
 
 Labels are read from two parts of the training rows, one for the lexicon and one for the model, so that the model sees
-the lexicon's hits as they are on rows that did not make it. Each part is bounded by TRAIN_ROWS, the lexicon by TERMS;
+the lexicon's hits as they are on rows that did not make it. Each part is bounded by TRAIN_ROWS, and so is the lexicon;
 everything else is done for every row in Spark.
 
 Defined cases: a null or empty text has no words and is scored from its zero counts; texts are read whole; repeated rows
@@ -31,8 +31,8 @@ from .common import arrow_schema, text_chunks
 
 #: Labelled rows that each of the two fits reads at most, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
-#: Terms of the learned lexicon, candidates counted among clean rows, and least toxic share and rows of a candidate.
-TERMS, CANDIDATES, LEAST_SHARE, LEAST_ROWS = 64, 20_000, 0.01, 3
+#: Least toxic share and rows of a candidate.
+LEAST_SHARE, LEAST_ROWS = 0.01, 3
 LEAST_LIFT = 4.0
 #: Chance alone reaches this in about one of ten thousand candidates.
 LEAST_EVIDENCE = 15.0
@@ -281,7 +281,7 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
     if not n_toxic or not n_clean:
         return Lexicon(terms, beginnings)
     least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * n_toxic))
-    toxic = {r[0]: r[1] for r in count_terms(training.filter("toxic = 1")).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    toxic = {r[0]: r[1] for r in count_terms(training.filter("toxic = 1")).filter(F.col("n") >= least).collect()}
     clean = {r[0]: r[1] for r in count_terms(training.filter("toxic = 0"), frozenset(toxic)).collect()}
     scored = []
     for term, n in toxic.items():
@@ -291,13 +291,11 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
     taken: list[str] = []
     for *_, term, weight in sorted(scored):
         body = term[1:]
-        # Beginnings of one another tell the same story once; a whole word is dropped where a beginning of it is known.
-        if any(body.startswith(t[1:]) or (t[1:].startswith(body) and term[0] == "^") for t in taken):
+        # Beginnings of one another tell the same story once; only a known beginning stands for the longer words.
+        if any((t[0] == "^" and body.startswith(t[1:])) or (t[1:].startswith(body) and term[0] == "^") for t in taken):
             continue
         taken.append(term)
         (terms if term[0] == "=" else beginnings)[body] = weight
-        if len(taken) == TERMS:
-            break
     return Lexicon(terms, beginnings)
 
 
@@ -326,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, for_lexicon: Column, for_model: Co
 
 def with_features(rows: DataFrame, automaton: Automaton, keep: list[str]) -> DataFrame:
     types = dict(rows.dtypes)
-    held = rows.sparkSession.sparkContext.broadcast(automaton)  # bounded by TERMS
+    held = rows.sparkSession.sparkContext.broadcast(automaton)  # bounded by TRAIN_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "body"):

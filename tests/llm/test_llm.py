@@ -296,6 +296,15 @@ def test_toxicity_cases(spark, docs, empty):
     assert toxicity.score(insult, model).first().score >= 0.7
 
 
+def test_lexicon_is_whole(spark):
+    """Every word with the evidence enters, and a whole word does not hide a longer one."""
+    words = [f"{a}{b}{a}{b}ule" for a in "bcdfghjklm" for b in "aeiouwxyzq"]
+    toxic = [(" ".join(words + ["zorg"] + ["zorgbag"] * (i % 2)), 1) for i in range(40)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(toxic + [("plain words stand here", 0)] * 40, "body string, toxic int"))
+    assert {*words, "zorg", "zorgbag"} <= set(lexicon.terms)
+    assert toxicity.features(["a zorgbag stood"], toxicity.Automaton(lexicon))[0][0] > 0
+
+
 # 8
 
 
