@@ -7,11 +7,13 @@ import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at once; bounds the memory of its temporaries.
-KERNEL_BYTES = 2 << 20
+KERNEL_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,23 +79,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about `limit` bytes of text (one row at least), and their texts as UTF-8; null is empty."""
     for batch in batches:
-        texts = [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            if size and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
-
-
-def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.RecordBatch, list[bytes]], dict]) -> DataFrame:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or b"" for t in part.column(column).cast(pa.large_binary()).to_pylist()]
+            start = stop
+
+
+def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.RecordBatch, list[bytes]], dict], limit: int = KERNEL_BYTES) -> DataFrame:
     """Runs `kernel` over text chunks and returns the columns it makes, typed by `schema`."""
 
     def run(batches):
         target = None
-        for batch, texts in text_chunks(batches, column):
+        for batch, texts in text_chunks(batches, column, limit):
             made = kernel(batch, texts)
             if target is None:
                 target = arrow_schema(schema)

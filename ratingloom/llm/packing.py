@@ -6,10 +6,12 @@ still has room, a whole count of equal packs at a time; what results is a table
 piece then finds its place by its rank among the pieces of its length.
 
 Ranks never need a whole length in one task: pieces of a length are dealt into as many salted groups as its count asks
-for, numbered within, and shifted by the running total of the groups before.
+for, numbered within, and shifted by the running total of the groups before, which is added up in blocks.
 
 Defined cases: a null or empty text is one piece that holds the end id alone; longer texts are cut at every `capacity`
-ids; repeated rows are packed once each; an empty table gives no sequences; a null id is kept as null.
+ids; repeated rows are packed once each; pieces of one length are told apart by id, start and checksum, and those that
+agree in all three may swap places; an empty table gives no sequences; a null id is kept as null; only the two named
+columns are read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,73 +21,84 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, vocabulary_file
-from .hashing import LOWER_TABLE
 
 PIECES = "row_id long,start long,length long,ids_crc32 long,doc_tokens long"
-#: Pieces of one length that a task numbers at a time.
-RANK_GROUP = 128
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 1_000_000
+#: Pieces of one length that a task numbers at a time, and groups of them whose totals a task adds up.
+RANK_GROUP, RANK_BLOCK = 128, 1024
+#: Bytes of text whose distinct words are encoded together.
+CHUNK_BYTES = 4 << 20
 
 
-class WordIds(dict):
-    """Ids of white-space-free words as little-endian 32-bit bytes.
+def byte_letters() -> dict[str, int]:
+    """The letters that the tokenizer's file writes bytes with: printable ones stand for themselves, others follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in turn. Words
-    not met before are encoded together: a word of letters alone is one run, whose last id is a word-ending one.
+
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes, by their distinct words.
+
+    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words in turn. Each
+    distinct word of a chunk is encoded once. A Latin letter run, with or without marks after it, is one or two runs of
+    the vocabulary, which are merged by rank; a line feed stands for the end of a run, where no word has one. All other
+    words go through the tokenizer itself.
     """
 
+    LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+
     def __init__(self, path: str):
         import json
-        import re
 
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ending[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.plain = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        marked = [(w, m) for w in words if (m := self.plain(w)) and b"<|" not in w]  # a letter run and marks after it share no token
-        parts = {g for _, m in marked for g in m.groups() if g not in self}
-        new = list((words - {w for w, _ in marked}) | parts)
-        texts = [w.decode("utf-8") for w in new]
-        runs = [i for i, t in enumerate(texts) if t.isalpha()]
-        if runs:
-            ids = self.encode([" ".join([texts[i] for i in runs])])[0]
-            ends = np.flatnonzero(self.ending[ids]) + 1 if len(ids) and ids.max() < len(self.ending) else []
-            if len(ends) == len(runs) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for i, end in zip(runs, (4 * ends).tolist()):
-                    self[new[i]] = raw[at:end]
-                    at = end
-        rest = [i for i, w in enumerate(new) if w not in self]
-        for i, ids in zip(rest, self.encode([texts[i] for i in rest])):
-            self[new[i]] = ids.tobytes()
-        for w, m in marked:
-            self[w] = self[m[1]] + self[m[2]]
+            spec = json.load(f)
+        special, byte_of, ranks = {t["content"] for t in spec["added_tokens"]}, byte_letters(), {}
+        for piece, i in spec["model"]["vocab"].items():
+            if piece not in special:
+                run = piece.removesuffix("</w>")
+                ranks[bytes(byte_of[c] for c in run) + b"\n" * (run != piece)] = i
+        self.ending = np.zeros(max(ranks.values()) + 1, bool)
+        self.ending[[i for run, i in ranks.items() if run.endswith(b"\n")]] = True
+        self.runs = tiktoken.Encoding("runs", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+        self.whole = Tokenizer.from_file(path)
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word."""
+        split = pc.extract_regex(words, f"^(?P<letters>[{self.LATIN}]+)(?P<marks>[{self.MARKS}]*)$")
+        plain = pc.and_(split.is_valid(), pc.invert(pc.match_substring(words, "<|")))  # which may begin a special token
+        letters, marks = (part.filter(plain) for part in split.flatten())
+        letters, alone = pc.utf8_lower(letters), pc.equal(marks, "")
+        lines = pc.if_else(alone, letters, pc.binary_join_element_wise(letters, marks, "\n"))
+        n = len(lines)
+        ids, ends = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if n:
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), lines), "\n")[0].as_py() + "\n"
+            ids = np.array(self.runs.encode_ordinary(text), "<u4")
+            last_run = np.cumsum(2 - alone.to_numpy(zero_copy_only=False).astype(np.int64)) - 1
+            ends = (np.flatnonzero(self.ending[ids]) + 1)[last_run]
+        merged = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int64)), pa.py_buffer(ids)])
+        others = self.whole.encode_batch_fast(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)
+        rest = pa.array([np.array(e.ids, "<u4").tobytes() for e in others], pa.large_binary())
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        at = np.where(is_plain, np.cumsum(is_plain) - 1, n + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([merged, rest]).take(pa.array(at))
 
     def of_texts(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        # ASCII upper case may go first unless a combining mark or a special token's string could notice.
-        split = [(t if b"\xcc" in t or b"\xcd" in t or b"<|" in t else t.translate(LOWER_TABLE)).split() for t in texts]
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = set().union(*split) - self.keys()
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.values.dictionary_encode()
+        ids = self.of_words(words.dictionary.cast(pa.string())).take(words.indices)
+        data = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        bounds = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 WORKER_IDS: dict[str, WordIds] = {}
@@ -114,7 +127,7 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, capacity: in
         return out
 
     narrow = docs.select(F.col(id_column).cast("long").alias("row_id"), F.col(text_column).cast("string").alias("body"))
-    return map_texts(narrow, "body", PIECES + ",ids array<long>" * with_ids, kernel)
+    return map_texts(narrow, "body", PIECES + ",ids array<long>" * with_ids, kernel, CHUNK_BYTES)
 
 
 def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -169,6 +182,19 @@ def slot_table(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, n
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
+def running_totals(groups: DataFrame) -> DataFrame:
+    """size_key, salt and shift: the rows of the groups (size_key, salt, n) with that size and lower salts.
+
+    Added up in blocks of salts and then over blocks, so that a length that most pieces have is no task of its own.
+    """
+    groups = groups.withColumn("block", F.floor(F.col("salt") / RANK_BLOCK))
+    earlier = lambda window, n: F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = groups.groupBy("size_key", "block").agg(F.sum("n").alias("all"))
+    blocks = blocks.select("size_key", "block", earlier(Window.partitionBy("size_key").orderBy("block"), "all").alias("before"))
+    within = groups.withColumn("inside", earlier(Window.partitionBy("size_key", "block").orderBy("salt"), "n"))
+    return within.join(blocks, ["size_key", "block"]).select("size_key", "salt", (F.col("before") + F.col("inside")).alias("shift"))
+
+
 def pack_pieces(pieces: DataFrame, capacity: int, order: list[str], length_column: str = "length") -> DataFrame:
     """Adds sequence_id and offset to every piece. `pieces` is read several times: give a written table."""
     counts = {r[0]: r[1] for r in pieces.groupBy(length_column).count().collect()}
@@ -178,8 +204,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, order: list[str], length_colum
     spark = pieces.sparkSession
     groups = spark.createDataFrame([(k, max(1, n // RANK_GROUP)) for k, n in counts.items()], "size_key long, n_groups long")
     salted = pieces.join(F.broadcast(groups), F.col(length_column) == F.col("size_key")).withColumn("salt", F.pmod(F.xxhash64(*order), "n_groups"))
-    before = Window.partitionBy("size_key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = salted.groupBy("size_key", "salt").count().select("size_key", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    shifts = running_totals(salted.groupBy("size_key", "salt").agg(F.count("*").alias("n")))
     within = Window.partitionBy("size_key", "salt").orderBy(*order)
     ranked = salted.withColumn("row_rank", F.row_number().over(within) - 1).join(shifts, ["size_key", "salt"]).withColumn("row_rank", F.col("row_rank") + F.col("shift")).select(*pieces.columns, "row_rank")
 
