@@ -1,26 +1,28 @@
 """SentencePiece encoding as a max-plus parallel scan, and decoding.
 
-A text's encoding is the best-scoring path through the lattice of vocabulary pieces (the unigram rule; of equal paths
-the one whose last piece is longest, then the one before, and so on). Long texts are cut into chunks. A chunk is a
-matrix over boundary states: entry k, column j hold the best score of a path that enters k characters after the chunk's
-start and leaves j characters after its end. These matrices combine associatively in max-plus algebra, block by block,
-which gives every chunk the scores it is entered with. Each chunk then maps exits to entries; composed from the text's
-end, these maps fix both ends of every chunk, and all chunks are backtraced independently of one another.
-
-Where no piece can span two characters, all paths meet; between such places a run's path depends on the run alone and
-is remembered by each worker.
-
-Scores are whole numbers, so sums are exact and chunking changes nothing. The model is read as a vocabulary with scores:
-the public file is a merge-ranked one, so ids are those of the unigram rule on its pieces and scores, not of its merges.
+The model ranks merges: of all neighbouring symbols that make a piece, those of the best piece are merged first. Merges on
+one side of a place where none happened do not depend on the other side. Hence a sequence of pieces is a text's encoding
+exactly if each two neighbours, taken alone, are encoded as these two. That makes the encoding a path through the lattice
+of pieces whose steps score their piece, and minus infinity where two neighbours would merge otherwise; and there is one
+such path.
+
+Long texts are cut into chunks. The state at a chunk's boundary is the piece that reaches or crosses it; a chunk is a
+matrix over the states at its two ends, with the score of the path from one to the other. These matrices combine
+associatively in max-plus algebra, block by block, which gives every chunk the scores it is entered with. Each chunk then
+maps exits to entries; composed from the text's end, these maps fix both ends of every chunk, and all chunks are
+backtraced independently of one another.
+
+Where no piece holds both of two neighbouring characters, all paths meet; between such places a run's pieces depend on the
+run alone, and each distinct run is encoded once. Scores are whole numbers, so sums are exact and chunking changes nothing.
 Characters without a piece become their bytes' pieces.
 
 Defined cases: a null or empty text has no ids; texts of any length are encoded whole; repeated rows are encoded once
-each; an empty table gives no rows; decoding gives back every text, with U+2581 read as a space.
+each; an empty table gives no rows; decoding gives back every text, with U+2581 read as a space; only the two named
+columns (and `keep`) are read, so further columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +38,22 @@ from .common import Scratch, text_chunks, vocabulary_file
 
 CHUNK = 32_768
 BLOCK = 256
-#: Runs remembered in each of two generations, and their greatest length: a worker's memory is bounded by both.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
+#: Pairs of pieces that a worker remembers.
+REMEMBERED = 100_000
+#: Runs of more bytes go through the lattice.
+SHORT_RUN = 64
+#: Bytes of text whose distinct runs are encoded together.
+CHUNK_BYTES = 4 << 20
+#: The byte, and its token, that ends runs where they are merged together.
+END = 0
 SPACE = "▁"
 NEVER = -(1 << 60)
 
 
+#: A piece's place in a text: its first character and the one after its last.
+Place = tuple[int, int]
+
+
 class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -69,146 +82,200 @@ class Vocabulary:
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         #: Prefixes of pieces: a start whose next characters are no prefix is done.
         self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
-        #: Score of a piece, None for what only begins one.
-        self.steps: dict[str, int | None] = dict.fromkeys(self.prefixes) | self.score
-        splits = not any(b == SPACE and a != SPACE for a, b in self.pairs) and not any("\n" in p for p in self.pairs)
-        #: Runs that no piece leaves; they follow from the vocabulary, and without such runs the text is one.
-        self.runs = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if splits else "(?s:.+)").findall
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def edges(self, text: str, i: int) -> list[tuple[int, int]]:
-        """(end, score) of the pieces at i, an unknown character among them if there is no piece for it."""
+        #: Whether runs may be cut before spaces and around line feeds; this follows from the vocabulary.
+        self.splits = not any(b == SPACE and a != SPACE for a, b in self.pairs) and not any("\n" in p for p in self.pairs)
+        self.fits: dict[tuple[str, str], bool] = {}
+        self.merges = self.byte_merges()
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces (or single unknown characters) of a short text: the best piece first, the leftmost of equals."""
+        score, parts = self.score.get, list(text)
+        while len(parts) > 1:
+            best, at = NEVER, -1
+            for i in range(len(parts) - 1):
+                if (s := score(parts[i] + parts[i + 1], NEVER)) > best:
+                    best, at = s, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def together(self, left: str, right: str) -> bool:
+        """Whether two pieces may be neighbours; left is empty where all paths meet."""
+        key = (left, right)
+        if (found := self.fits.get(key)) is None:
+            found = self.merged(left + right) == ([left, right] if left else [right])
+            if len(self.fits) >= REMEMBERED:
+                self.fits.clear()
+            self.fits[key] = found
+        return found
+
+    def ends(self, text: str, i: int) -> list[int]:
+        """Where the pieces that begin at i end; a character without a piece is one."""
         out = []
         for j in range(i + 1, min(i + self.longest, len(text)) + 1):
-            part = text[i:j]
-            if part not in self.prefixes:
+            if text[i:j] not in self.prefixes:
                 break
-            if part in self.score:
-                out.append((j, self.score[part]))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, (i + 1, self.unknown))
-        return out
-
-    def forward(self, text: str, enter: dict[int, int], stop: int) -> tuple[dict[int, int], dict[int, int]]:
-        """Best score of, and best place before, every node reached by pieces that start before `stop`; `enter` has the scores of nodes entered. Earlier starts win ties."""
-        best, before = dict(enter), dict.fromkeys(enter, -1)
-        for i in range(stop):
-            if i in best:
-                here = best[i]
-                for j, s in self.edges(text, i):
-                    if j not in best or here + s > best[j]:
-                        best[j], before[j] = here + s, i
+            if text[i:j] in self.score:
+                out.append(j)
+        return out if out and out[0] == i + 1 else [i + 1, *out]
+
+    def states(self, text: str, at: int) -> list[Place]:
+        """The pieces that reach or cross a boundary, wherever they lie in the text given; at its start, the empty one."""
+        if not at:
+            return [(0, 0)]
+        return [(i, j) for i in range(max(0, at - self.longest), at) for j in self.ends(text, i) if j >= at and self.together("", text[i:j])]
+
+    def forward(self, text: str, enter: dict[Place, np.ndarray], stop: int) -> tuple[dict[Place, np.ndarray], dict[Place, Place]]:
+        """Scores, one for each entry, of the pieces that paths from the entered ones take, as far as they start before `stop`; and the piece before each."""
+        best, before = dict(enter), {}
+        reached: dict[int, list[Place]] = {}
+        for place in enter:
+            reached.setdefault(place[1], []).append(place)
+        for i in range(min(reached), stop):
+            for j in self.ends(text, i) if i in reached else ():
+                for last in reached[i]:
+                    if self.together(text[last[0] : i], text[i:j]):
+                        scores = best[last] + self.score.get(text[i:j], self.unknown)
+                        if (i, j) in best:
+                            if (scores > best[i, j]).any():
+                                before[i, j] = last
+                            best[i, j] = np.maximum(best[i, j], scores)
+                        else:
+                            best[i, j], before[i, j] = scores, last
+                            reached.setdefault(j, []).append((i, j))
         return best, before
 
-    def ids_of(self, text: str, before: dict[int, int], end: int) -> list[int]:
-        out = []
-        while before[end] >= 0:
-            piece = text[before[end] : end]
-            out += [self.id[piece]] if piece in self.id else [self.bytes_id[b] for b in reversed(piece.encode("utf-8"))]
-            end = before[end]
-        return out[::-1]
-
-    def run(self, text: str) -> bytes:
-        """Ids, as little-endian 32-bit bytes, of a run on its own: forward() from its start to its end, without the boundary states."""
-        if (found := self.known.get(text)) is None:
-            if (found := self.older.get(text)) is not None:
-                return self.remember(text, found)
-            steps, n, unknown = self.steps, len(text), self.unknown
-            best: list = [None] * (n + 1)
-            before, best[0] = [0] * (n + 1), 0
-            for i in range(n):
-                here, single = best[i], False
-                for j in range(i + 1, min(i + self.longest, n) + 1):
-                    s = steps.get(text[i:j], NEVER)
-                    if s == NEVER:
-                        break
-                    if s is not None:
-                        single = single or j == i + 1
-                        if best[j] is None or here + s > best[j]:
-                            best[j], before[j] = here + s, i
-                if not single and (best[i + 1] is None or here + unknown > best[i + 1]):
-                    best[i + 1], before[i + 1] = here + unknown, i
-            ids, end = [], n
-            while end:
-                piece = text[before[end] : end]
-                if (one := self.id.get(piece)) is not None:
-                    ids.append(one)
-                else:
-                    ids += [self.bytes_id[b] for b in reversed(piece.encode("utf-8"))]
-                end = before[end]
-            ids.reverse()
-            found = self.remember(text, array("i", ids).tobytes())
-        return found
+    def breaks(self, text: str, start: int, stop: int) -> tuple[int, int]:
+        """First and last place within [start, stop) that no piece spans, or (-1, -1)."""
+        free = lambda p: not p or text[p - 1 : p + 1] not in self.pairs
+        first = next((p for p in range(start, stop) if free(p)), -1)
+        return first, next((p for p in range(stop - 1, start - 1, -1) if free(p)), -1) if first >= 0 else -1
+
+    def matrix(self, text: str, start: int, stop: int) -> np.ndarray:
+        """The chunk text[start:stop] over the states at its start (rows) and at its end (columns)."""
+        rows, columns = self.states(text, start), self.states(text, stop)
+        unit = np.full((len(rows), len(rows)), NEVER, np.int64)
+        np.fill_diagonal(unit, 0)
+        entered, never = dict(zip(rows, unit)), np.full(len(rows), NEVER, np.int64)
+        first, last = self.breaks(text, start, stop)
+        if first < 0:
+            best, _ = self.forward(text, entered, stop)
+            return np.maximum(np.stack([best.get(c, never) for c in columns], axis=1), NEVER)
+        best, _ = self.forward(text, entered, first)
+        head = np.max([v for place, v in best.items() if place[1] == first] or [never], axis=0)
+        best, _ = self.forward(text, {(last, last): np.zeros(1, np.int64)}, stop)
+        tail = np.array([best[c][0] if c in best else NEVER for c in columns], np.int64)
+        return np.maximum(head[:, None] + self.total(text[first:last]) + tail[None, :], NEVER)
+
+    def between(self, text: str, start: int, stop: int, enter: int, leave: int) -> bytes:
+        """Ids of the chunk text[start:stop] from after the piece of one entry to the piece of one exit."""
+        enter_at, leave_at, zero = self.states(text, start)[enter], self.states(text, stop)[leave], np.zeros(1, np.int64)
+        first, last = self.breaks(text, start, stop)
+        if first < 0:
+            return self.traced(text, self.forward(text, {enter_at: zero}, stop)[1], leave_at)
+        best, before = self.forward(text, {enter_at: zero}, first)
+        head = self.traced(text, before, next(place for place in best if place[1] == first))
+        tail = self.traced(text, self.forward(text, {(last, last): zero}, stop)[1], leave_at)
+        return b"".join([head, self.stretch(text[first:last]), tail])
+
+    def traced(self, text: str, before: dict[Place, Place], place: Place) -> bytes:
+        """Ids of the path that leads to a piece."""
+        parts = []
+        while place in before:
+            parts.append(text[place[0] : place[1]])
+            place = before[place]
+        return self.ids_of(parts[::-1])
+
+    def ids_of(self, parts: list[str]) -> bytes:
+        out = array("i")
+        for piece in parts:
+            if (one := self.id.get(piece)) is not None:
+                out.append(one)
+            else:
+                out.extend(self.bytes_id[b] for b in piece.encode("utf-8"))
+        return out.tobytes()
 
-    def remember(self, text: str, found: bytes) -> bytes:
-        """Runs met again move to the younger generation; when that is full, the older one goes."""
-        if len(text) <= REMEMBERED_LENGTH:
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
-            self.known[text] = found
-        return found
+    def total(self, text: str) -> int:
+        """Score of the path between two places where all paths meet."""
+        return int(self.id_score[np.frombuffer(self.stretch(text), "<i4")].sum())
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        run = self.run
-        return b"".join([self.known.get(r) or run(r) for r in self.runs(prepared(text))])
-
-    def breaks(self, text: str, stop: int) -> tuple[int, int]:
-        """First and last place within [0, stop] that no piece spans, or (-1, -1)."""
-        free = lambda p: text[p - 1 : p + 1] not in self.pairs
-        first = next((p for p in range(1, stop) if free(p)), -1)
-        return first, next((p for p in range(stop - 1, 0, -1) if free(p)), -1) if first >= 0 else -1
-
-    def matrix(self, text: str, size: int) -> np.ndarray:
-        """The chunk's first `size` characters as a max-plus matrix; the rest of `text` is what follows the chunk."""
-        m = self.longest
-        out = np.full((m, m), NEVER, np.int64)
-        first, last = self.breaks(text, size)
-        exits = lambda best, row, add: [row.__setitem__(j - size, max(row[j - size], v + add)) for j, v in best.items() if 0 <= j - size < m]
-        if first < 0:
-            for k in range(min(m, size + 1)):
-                exits(self.forward(text, {k: 0}, size)[0], out[k], 0)
-            return out
-        middle = int(self.id_score[np.frombuffer(b"".join(map(self.run, self.runs(text[first:last]))), "<i4")].sum())
-        ends = self.forward(text[last:], {0: 0}, size - last)[0]
-        ends = {j + last: v for j, v in ends.items()}
-        for k in range(min(m - 1, first) + 1):
-            head = self.forward(text[:first], {k: 0}, first)[0].get(first)
-            if head is not None:
-                exits(ends, out[k], head + middle)
-        return out
-
-    def entries(self, text: str, size: int, enter: np.ndarray) -> np.ndarray:
-        """For each exit, the entry that its best path comes from, given the scores of the entries (-1: none)."""
-        m = self.longest
-        given = {k: int(v) for k, v in enumerate(enter) if v > NEVER // 2}
-        first, _ = self.breaks(text, size)
-        stop = first if first >= 0 else size
-        best, before = self.forward(text[:stop] if first >= 0 else text, {k: v for k, v in given.items() if k <= stop or first < 0}, stop)
-
-        def origin(node: int) -> int:
-            while before[node] >= 0:
-                node = before[node]
-            return node
-
-        if first >= 0:
-            return np.full(m, origin(first), np.int64)
-        return np.array([origin(size + j) if size + j in before else -1 for j in range(m)], np.int64)
-
-    def between(self, text: str, size: int, enter: int, leave: int) -> bytes:
-        """Ids of the best path from one entry to one exit."""
-        text = text[: size + leave]
-        first, last = self.breaks(text, size)
-        if first < 0 or enter > first:
-            _, before = self.forward(text, {enter: 0}, size)
-            return np.array(self.ids_of(text, before, size + leave), "<i4").tobytes()
-        _, before = self.forward(text[:first], {enter: 0}, first)
-        head = np.array(self.ids_of(text[:first], before, first), "<i4").tobytes()
-        tail = text[last:]
-        _, before = self.forward(tail, {0: 0}, size - last)
-        return b"".join([head, *map(self.run, self.runs(text[first:last])), np.array(self.ids_of(tail, before, len(tail)), "<i4").tobytes()])
+    def run(self, text: str) -> bytes:
+        """Ids, as little-endian 32-bit bytes, of a run on its own, by the lattice: the work follows its length."""
+        best, before = self.forward(text, {(0, 0): np.zeros(1, np.int64)}, len(text))
+        return self.traced(text, before, next(place for place in best if place[1] == len(text) and place in before))
+
+    def byte_merges(self):
+        """The same merges over bytes, a space for U+2581: first those that make characters, then pieces, the best first.
+
+        A token of these is one id, or, if it is not a whole character's, one id a byte; the last token ends a run.
+        """
+        import tiktoken
+
+        raw = lambda text: text.replace(SPACE, " ").encode("utf-8")
+        ranks = {bytes([b]): b for b in range(256)}
+        for char in filter(lambda p: len(p) == 1, self.score):
+            for k in range(2, len(raw(char)) + 1):
+                ranks.setdefault(raw(char)[:k], len(ranks))
+        for piece in sorted(self.score, key=self.score.get, reverse=True):
+            if len(piece) > 1 and self.merged(piece) == [piece]:  # others are never made
+                ranks[raw(piece)] = len(ranks)
+        ids = {raw(p): [i] for p, i in self.id.items()}
+        each = [ids.get(token, [self.bytes_id[b] for b in token]) for token in ranks]
+        each[END] = []
+        self.token_size = np.array([len(e) for e in each])
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_ids = np.array([i for e in each for i in e], "<i4")
+        return tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def of_runs(self, runs: pa.Array) -> pa.Array:
+        """The ids of each distinct run; long ones, and those with the byte that ends runs, by the lattice."""
+        plain = pc.and_(pc.less_equal(pc.binary_length(runs), SHORT_RUN), pc.invert(pc.match_substring(runs, "\0")))
+        lines = runs.filter(plain)
+        n = len(lines)
+        ids, ends = np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        if n:
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), lines), "\0")[0].as_py() + "\0"
+            tokens = np.array(self.merges.encode_ordinary(text))
+            size = self.token_size[tokens]
+            past = np.cumsum(size)
+            within = np.arange(past[-1]) - np.repeat(past - size, size)
+            ids = self.token_ids[np.repeat(self.token_at[tokens], size) + within]
+            ends = past[tokens == END]
+        merged = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int64)), pa.py_buffer(ids)])
+        rest = pa.array([self.run(t.replace(" ", SPACE)) for t in runs.filter(pc.invert(plain)).to_pylist()], pa.large_binary())
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        at = np.where(is_plain, np.cumsum(is_plain) - 1, n + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([merged, rest]).take(pa.array(at))
+
+    def of_stretches(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text between places where all paths meet, spaces for U+2581; each distinct run is encoded once."""
+        if not any(texts):
+            return [b""] * len(texts)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=bounds[1:])
+        fresh = np.zeros(len(buf) + 1, bool)
+        fresh[bounds] = True
+        if self.splits:
+            space, feed = buf == 0x20, buf == 0x0A
+            fresh[:-1] |= feed
+            fresh[1:] |= feed
+            fresh[1:-1] |= space[1:] & ~space[:-1]
+        starts = np.flatnonzero(fresh)
+        runs = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(buf)).dictionary_encode()
+        ids = self.of_runs(runs.dictionary.cast(pa.string())).take(runs.indices)
+        data = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        cuts = np.frombuffer(ids.buffers()[1], np.int64)[np.searchsorted(starts, bounds)].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def stretch(self, text: str) -> bytes:
+        return self.of_stretches([text.replace(SPACE, " ").encode("utf-8")])[0]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts."""
+        mark = SPACE.encode()
+        return self.of_stretches([b" " + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -239,8 +306,8 @@ def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch, texts in text_chunks(batches, "body"):
-            ids = [np.frombuffer(words.encode(t.decode("utf-8")), "<i4") for t in texts]
+        for batch, texts in text_chunks(batches, "body", CHUNK_BYTES):
+            ids = [np.frombuffer(i, "<i4") for i in words.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), id_lists(ids), *map(batch.column, more)], names=["row_id", "ids", *more])
 
     types = dict(keyed.dtypes)
@@ -267,68 +334,67 @@ def encode_chunks(giants: DataFrame, path: str, chunk: int) -> DataFrame:
         for batch, texts in text_chunks(batches, "body"):
             for key, text in zip(batch.column("row_key").to_pylist(), texts):
                 text = prepared(text.decode("utf-8"))
-                # A last chunk shorter than a piece's reach joins the one before, so that an entry always lies in its chunk.
+                # A last chunk shorter than a piece's reach joins the one before, so that a piece crosses one boundary at most.
                 starts = list(range(0, max(len(text) - reach, 1), chunk))
                 for n, start in enumerate(starts):
                     end = starts[n + 1] if n + 1 < len(starts) else len(text)
-                    yield pa.RecordBatch.from_pydict({"row_key": [key], "nth": pa.array([n], pa.int32()), "size": pa.array([end - start], pa.int32()), "part": [text[start : end + reach - 1]]})
+                    lead = min(start, reach)
+                    yield pa.RecordBatch.from_pydict({"row_key": [key], "nth": pa.array([n], pa.int32()), "lead": pa.array([lead], pa.int32()), "size": pa.array([end - start], pa.int32()), "part": [text[start - lead : end + reach - 1]]})
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            made = [words.matrix(t, s).ravel() for t, s in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("nth"), pa.array(made, pa.list_(pa.int64()))], names=["row_key", "nth", "matrix"])
+            made = [words.matrix(t, lead, lead + size) for t, lead, size in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("nth"), pa.array([len(m) for m in made], pa.int32()), pa.array([m.ravel() for m in made], pa.list_(pa.int64()))], names=["row_key", "nth", "height", "matrix"])
 
-    chunks = scratch.keep(giants.mapInArrow(cut, "row_key long, nth int, size int, part string").dropDuplicates(["row_key", "nth"]), "chunks")
-    steps = scratch.keep(chunks.mapInArrow(matrices, "row_key long, nth int, matrix array<long>").withColumn("block", F.floor(F.col("nth") / BLOCK).cast("int")), "matrices")
-    square = lambda flat: np.array(flat, np.int64).reshape(reach, reach)
+    chunks = scratch.keep(giants.mapInArrow(cut, "row_key long, nth int, lead int, size int, part string").dropDuplicates(["row_key", "nth"]), "chunks")
+    steps = scratch.keep(chunks.mapInArrow(matrices, "row_key long, nth int, height int, matrix array<long>").withColumn("block", F.floor(F.col("nth") / BLOCK).cast("int")), "matrices")
+    grid = lambda flat, height: np.array(flat, np.int64).reshape(height, -1)
 
     def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("nth")
-        total = square(rows["matrix"].iloc[0])
-        for flat in rows["matrix"].iloc[1:]:
-            total = combine(total, square(flat))
-        return pd.DataFrame({"row_key": [key[0]], "nth": [key[1]], "matrix": [total.ravel()]})
+        total = None
+        for flat, height in zip(rows["matrix"], rows["height"]):
+            total = grid(flat, height) if total is None else combine(total, grid(flat, height))
+        return pd.DataFrame({"row_key": [key[0]], "nth": [key[1]], "height": [len(total)], "matrix": [total.ravel()]})
+
+    def entered(first: np.ndarray, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The vector that each matrix in turn is entered with, and the matrix."""
+        for flat, height in zip(rows["matrix"], rows["height"]):
+            yield first, grid(flat, height)
+            first = combine(first, grid(flat, height))
+
+    def block_entries(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("nth")
+        return pd.DataFrame({"row_key": rows["row_key"], "nth": rows["nth"], "enter": [v for v, _ in entered(np.zeros(1, np.int64), rows)]})
 
-    def entered(first: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
-        """The vector that each matrix in turn is entered with."""
+    def chunk_entries(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each exit of a chunk the entry that its path comes from, and the best exit."""
         rows = rows.sort_values("nth")
-        vectors = []
-        for flat in rows["matrix"]:
-            vectors.append(first)
-            first = combine(first, square(flat))
-        return pd.DataFrame({"row_key": rows["row_key"], "nth": rows["nth"], "enter": vectors})
-
-    start = np.full(reach, NEVER, np.int64)
-    start[0] = 0
-    blocks = steps.groupBy("row_key", "block").applyInPandas(product, "row_key long, nth int, matrix array<long>")
-    # A text has fewer than 2**31 characters, so at most 2**31 / (CHUNK * BLOCK) blocks.
-    block_vectors = blocks.groupBy("row_key").applyInPandas(lambda rows: entered(start, rows), "row_key long, nth int, enter array<long>").withColumnRenamed("nth", "block")
-    within = steps.join(block_vectors, ["row_key", "block"]).groupBy("row_key", "block").applyInPandas(lambda rows: entered(np.array(rows["enter"].iloc[0], np.int64), rows), "row_key long, nth int, enter array<long>")
+        made = list(entered(np.array(rows["enter"].iloc[0], np.int64), rows))
+        return pd.DataFrame({"row_key": rows["row_key"], "nth": rows["nth"], "entries": [np.argmax(v[:, None] + m, axis=0).astype(np.int32) for v, m in made], "best": [int(np.argmax(combine(v, m))) for v, m in made]})
 
-    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for batch in batches:
-            made = [words.entries(t, s, np.array(v, np.int64)) for t, s, v in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist(), batch.column("enter").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("nth"), pa.array(made, pa.list_(pa.int64()))], names=["row_key", "nth", "entries"])
+    blocks = steps.groupBy("row_key", "block").applyInPandas(product, "row_key long, nth int, height int, matrix array<long>")
+    # A text has fewer than 2**31 characters, so at most 2**31 / (CHUNK * BLOCK) blocks.
+    block_vectors = blocks.groupBy("row_key").applyInPandas(block_entries, "row_key long, nth int, enter array<long>").withColumnRenamed("nth", "block")
+    maps = steps.join(block_vectors, ["row_key", "block"]).groupBy("row_key", "block").applyInPandas(chunk_entries, "row_key long, nth int, entries array<int>, best int")
 
     def ends(rows: pd.DataFrame) -> pd.DataFrame:
         """Both ends of every chunk, from the text's end backwards."""
         rows = rows.sort_values("nth", ascending=False)
-        leave, enters, leaves = 0, [], []
+        leave, enters, leaves = int(rows["best"].iloc[0]), [], []
         for entries in rows["entries"]:
             leaves.append(leave)
             leave = int(entries[leave])
             enters.append(leave)
         return pd.DataFrame({"row_key": rows["row_key"], "nth": rows["nth"], "enter_at": enters, "leave_at": leaves})
 
-    maps = chunks.join(within, ["row_key", "nth"]).mapInArrow(traced, "row_key long, nth int, entries array<long>")
     fixed = maps.groupBy("row_key").applyInPandas(ends, "row_key long, nth int, enter_at int, leave_at int")
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            ids = [np.frombuffer(words.between(*x), "<i4") for x in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "enter_at", "leave_at")))]
+            ids = [np.frombuffer(words.between(t, lead, lead + size, enter, leave), "<i4") for t, lead, size, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("part", "lead", "size", "enter_at", "leave_at")))]
             yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("nth"), id_lists(ids)], names=["row_key", "nth", "ids"])
 
     done = chunks.join(fixed, ["row_key", "nth"]).mapInArrow(backtraced, "row_key long, nth int, ids array<int>")
