@@ -1,14 +1,20 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word (an anchor) spots the next content words after it; anchor and chain hash to one signature, and the
-sorted set of a text's signatures is its fingerprint. In a stretch without common words every word is an anchor; texts too short for chains
-use character grams instead. Sets are
-compared by Jaccard likeness, pruned where their sizes alone rule a pair out; near_pairs() partitions by set size, so
-that only neighbouring partitions can hold a match, and looks up each set's rarest signatures in an inverted index.
+sorted set of a text's signatures is its fingerprint. In a stretch without common words every word is an anchor, and at a
+text's end chains are as long as words are left. What has no words to chain is described by character grams: runs of
+letters, or of other characters, that are longer than a word (so nothing of a long text is without signatures), and
+texts shorter than SHORT as a whole, in a second part of their fingerprint.
+
+Two fingerprints are compared by the Jaccard likeness of their signatures, or of their grams if both have them (a few
+chains tell short texts badly apart), so a text near SHORT is alike to its shortened copy by what both have. Pairs are pruned where their set sizes alone
+rule them out; near_pairs() partitions by set size, so that only neighbouring partitions can hold a match, and looks up
+each set's rarest signatures in an inverted index.
 
 Defined cases: a null or empty text has an empty fingerprint, and two empty ones are alike (1.0); texts are read whole;
-repeated rows keep a row each, neighbours of one another; ties in id are ordered by text; a single document is its own
-next one; an empty table gives no rows; a null id comes first.
+repeated rows keep a row each, neighbours of one another; ties in id are ordered by a hash of the text, then the text; a
+single document is its own next one; an empty table gives no rows; a null id comes first; only the two named columns are
+read, so further columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,13 +42,19 @@ ANCHORS = (
 ).split()
 CHAIN = 3
 GRAM = 5
-#: Texts of fewer code points are described by character grams.
-SHORT = 200
+#: Texts of fewer code points carry their character grams as well.
+SHORT = 400
 #: After so many words without an anchor, every word is one until the next.
-STRETCH = 8
-#: Likeness below this is reported as 0 where set sizes alone prove it.
-FLOOR = 0.05
+STRETCH = 4
+#: Runs of more bytes, of letters or of anything else, are described by their grams.
+LONG_RUN = 16
+#: Rows that a range of ids holds on average.
 ROWS_PER_RANGE = 20_000
+#: Keys sampled for each range to set the bounds.
+SAMPLED = 40
+
+#: Signatures and grams of one text are told apart by the highest bit of their 32.
+IS_GRAM = U64(1 << 31)
 
 
 def anchor_hashes() -> np.ndarray:
@@ -51,7 +63,7 @@ def anchor_hashes() -> np.ndarray:
 
 
 def signature_keys(texts: list[str]) -> np.ndarray:
-    """Sorted distinct (text's place << 32 | signature) of all texts."""
+    """Sorted distinct (text's place << 32 | signature) of all texts; a short text's grams have IS_GRAM set."""
     buf, bounds = joined([t.lower().encode("utf-8") for t in texts])
     prefix = prefix_hash(buf)
     start, end = word_spans(buf, WORD)
@@ -63,50 +75,78 @@ def signature_keys(texts: list[str]) -> np.ndarray:
     last = np.maximum(last, np.searchsorted(start, bounds)[owner])
     content, anchors = np.flatnonzero(~is_anchor), np.flatnonzero(is_anchor | (place - last >= STRETCH))
     follow = np.searchsorted(content, anchors, "right")
-    fits = follow + CHAIN <= len(content)
-    anchors, follow = anchors[fits], follow[fits]
-    if len(anchors):
-        same = owner[content[follow + CHAIN - 1]] == owner[anchors]
-        anchors, follow = anchors[same], follow[same]
     value = mix(words[anchors] + U64(1))
+    padded, padded_owner = np.append(words[content], U64(0)), np.append(owner[content], -1)
     for k in range(CHAIN):
-        value = mix(value * U64(3) + words[content[follow + k]] + U64(k))
-    chains = np.unique((owner[anchors].astype(U64) << U64(32)) | (value >> U64(32)))
-    of = (chains >> U64(32)).astype(np.int64)
-    n = len(texts)
-    grams = (np.bincount(of, minlength=n) == 0) | np.array([len(t) < SHORT for t in texts], bool)
-    keys = [chains[~grams[of]] if n else chains]
-    if grams.any():
-        # Code points begin at bytes that continue none; a gram is the span of GRAM of them, or the whole shorter text.
-        for i in np.flatnonzero(grams).tolist():
-            heads = np.flatnonzero((buf[bounds[i] : bounds[i + 1]] & 0xC0) != 0x80) + bounds[i]  # the line feed ends the list
-            if len(heads) < 2:
-                continue
-            size = min(GRAM, len(heads) - 1)
-            value = span_hash(prefix, heads[:-size], heads[size:])
-            keys.append((U64(i) << U64(32)) | (value >> U64(32)))
-    return np.unique(np.concatenate(keys))
+        at = np.minimum(follow + k, len(content))
+        there = padded_owner[at] == owner[anchors]
+        value = mix(value * U64(3) + np.where(there, padded[at] + U64(k), U64(0)))
+    chains = (owner[anchors].astype(U64) << U64(32)) | (value >> U64(33))
+
+    # Code points begin at bytes that continue none; a gram is the span of GRAM of them, or all of a shorter run.
+    heads = np.flatnonzero((buf & 0xC0) != 0x80)
+    edges = np.unique(np.concatenate((bounds, start, end)))
+    edges = edges[edges <= len(buf)]
+    runs = [r for r in zip(edges[:-1][np.diff(edges) > LONG_RUN].tolist(), edges[1:][np.diff(edges) > LONG_RUN].tolist())]
+    parts = [chains]
+    if runs:
+        a, b = np.array(runs).T
+        of = np.searchsorted(bounds, a, "right") - 1
+        b = np.minimum(b, bounds[of + 1] - 1)  # without the line feed between texts
+        parts.append(gram_values(prefix, heads, a, b, of) & ~IS_GRAM)
+    # Of texts too short for two grams apart, single characters count as well.
+    for below, size in ((SHORT, GRAM), (2 * GRAM, 1)):
+        short = np.flatnonzero(np.array([0 < len(t) < below for t in texts], bool))
+        if len(short):
+            parts.append(gram_values(prefix, heads, bounds[short], bounds[short + 1] - 1, short, size) | IS_GRAM)
+    return np.unique(np.concatenate(parts))
+
+
+def gram_values(prefix: np.ndarray, heads: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray, most: int = GRAM) -> np.ndarray:
+    """(text's place << 32 | gram) of every gram, of `most` code points or all that there are, within the spans [a, b) of texts `of`; `heads` are where code points begin."""
+    first, past = np.searchsorted(heads, a), np.searchsorted(heads, b)
+    size = np.minimum(most, past - first)
+    count = np.maximum(past - first - size + 1, 0) * (size > 0)
+    span = np.repeat(np.arange(len(a)), count)
+    at = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count) + first[span]
+    after = np.append(heads, len(prefix) - 1)
+    end = np.minimum(after[np.minimum(at + size[span], len(heads))], b[span])
+    return (of[span].astype(U64) << U64(32)) | (span_hash(prefix, heads[at], end) >> U64(32))
+
+
+def parts_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and grams of the keys."""
+    gram = (keys & IS_GRAM) != 0
+    return keys[~gram], keys[gram]
 
 
 def fingerprints(keys: np.ndarray, n: int) -> list[str]:
+    """Signatures, then grams (which have the highest bit), as sorted 32-bit numbers."""
     at = np.searchsorted(keys, np.arange(n + 1, dtype=U64) << U64(32))
     low = (keys & U64(0xFFFFFFFF)).astype("<u4")
     return [base64.b64encode(low[a:b].tobytes()).decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, n: int, floor: float = FLOOR) -> np.ndarray:
-    """Jaccard likeness of the n sets of `a` to those of `b`; pairs whose sizes rule out `floor` are 0 unlooked."""
-    size_a, size_b = (np.bincount((k >> U64(32)).astype(np.int64), minlength=n)[:n] for k in (a, b))
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    open_ = small >= floor * large
-    b = b[open_[(b >> U64(32)).astype(np.int64)]] if len(b) else b
+def set_sizes(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount((keys >> U64(32)).astype(np.int64), minlength=n)[:n]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Likeness of the n sets of `a` to those of `b`; of two empty ones 0."""
+    both = np.zeros(n, np.int64)
     if len(a) and len(b):
         at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-        both = np.bincount((b[a[at] == b] >> U64(32)).astype(np.int64), minlength=n)[:n]
-    else:
-        both = np.zeros(n, np.int64)
-    union = size_a + size_b - both
-    return np.where(large == 0, 1.0, np.where(open_, both / np.maximum(union, 1), 0.0))
+        both = set_sizes(b[a[at] == b], n)
+    union = set_sizes(a, n) + set_sizes(b, n) - both
+    return both / np.maximum(union, 1)
+
+
+def likeness(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Likeness of the n fingerprints of `a` to those of `b`: by grams where both have them, else by signatures."""
+    (sigs_a, grams_a), (sigs_b, grams_b) = parts_of(a), parts_of(b)
+    both_short = (set_sizes(grams_a, n) > 0) & (set_sizes(grams_b, n) > 0)
+    both_empty = (set_sizes(a, n) == 0) & (set_sizes(b, n) == 0)
+    return np.where(both_empty, 1.0, np.where(both_short, jaccard(grams_a, grams_b, n), jaccard(sigs_a, sigs_b, n)))
 
 
 SCHEMA = "row_id long,n_chars long,edited_sha256 string,fingerprint string,edited_fingerprint string,near_edited double,near_next double"
@@ -153,31 +193,52 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def fingerprint_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, with likeness to that form and to the next document.
 
-    Texts are dealt once, by ranges of ids; the first row of each range goes to the range before it as well (of the
-    first range, to the last). Only one id for each range reaches the driver.
+    Texts are dealt once, by ranges of (id, hash of the text), so that neither rows without an id nor rows that share one
+    meet in a task unless their texts agree as well. The first row of each range goes to the range before it as well (of
+    the first range, to the last). The driver holds SAMPLED keys and one first key for each range.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("row_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("body"))
+    body = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    narrow = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("tie"), F.col(id_column).cast("long").alias("row_id"), body.alias("body"))
     spark = docs.sparkSession
     rows = narrow.count()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE + 1)
-    bounds = np.unique(np.array(narrow.approxQuantile("row_id", [i / n for i in range(1, n)], 0.2 / n), np.float64)) if n > 1 else np.zeros(0)
+    sample = narrow.select("key", "tie")
+    sample = sample.sample(min(1.0, SAMPLED * n / max(rows, 1)), 7) if rows > SAMPLED * n else sample
+    drawn = np.array(sorted(map(tuple, sample.collect())), np.int64).reshape(-1, 2)
+    bounds = np.unique(drawn[(np.arange(1, n) * len(drawn)) // n], axis=0) if len(drawn) else drawn
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.float64), "right"))).astype("int32")
-
-    lowest = F.coalesce("row_id", F.lit(-(1 << 63)))
-    firsts = sorted(narrow.select(range_of("row_id").alias("r"), lowest.alias("i")).groupBy("r").agg(F.min("i").alias("first")).collect())
-    before = spark.createDataFrame([(r, first, firsts[k - 1][0]) for k, (r, first) in enumerate(firsts)], "range int, first long, goes_to int")
-    ranged = narrow.withColumn("range", range_of("row_id")).join(F.broadcast(before), "range")
-    targets = F.when(lowest == F.col("first"), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")), F.struct(F.col("goes_to").alias("range"), F.lit(True).alias("ghost"))))
-    dealt = ranged.select("row_id", "body", F.explode(F.coalesce(targets, F.array(F.struct("range", F.lit(False).alias("ghost"))))).alias("t")).select("row_id", "body", "t.*")
-    # Of several first rows with one id, only the first by text may follow the range before.
-    in_order = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ghost", "row_id", "body")
+    def range_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(places(bounds, keys.to_numpy(np.int64), ties.to_numpy(np.int64))).astype("int32")
+
+    ranged = narrow.select("*", range_of("key", "tie").alias("range"))
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first"))
+    firsts = sorted((r["range"], r["first"]["key"], r["first"]["tie"]) for r in firsts.collect())
+    before = spark.createDataFrame([(r, key, tie, firsts[k - 1][0]) for k, (r, key, tie) in enumerate(firsts)], "range int, first_key long, first_tie long, goes_to int")
+    is_first = (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie"))
+    stays = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
+    targets = F.when(is_first, F.array(stays, F.struct(F.col("goes_to").alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(stays))
+    dealt = ranged.join(F.broadcast(before), "range").select("key", "tie", "row_id", "body", F.explode(targets).alias("t")).select("key", "tie", "row_id", "body", "t.*")
+    # Of several first rows that agree, only one may follow the range before.
+    in_order = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ghost", "key", "tie", "body")
     compared = in_order.select("row_id", "body", "ghost").mapInArrow(lambda batches: compare_neighbours(one_ghost(batches)), SCHEMA)
     return compared.withColumnRenamed("row_id", id_column)
 
 
+#: Stands before all ids.
+NO_ID = -(1 << 63)
+
+
+def places(bounds: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """How many of the sorted (key, tie) bounds are at or below each (key, tie)."""
+    low, high = (np.searchsorted(bounds[:, 0], keys, side) for side in ("left", "right"))
+    at = low.copy()
+    for first in np.unique(low[low < high]).tolist():  # bounds that share a key: its rows are told apart by their ties
+        mine = (low == first) & (low < high)
+        at[mine] = first + np.searchsorted(bounds[first : high[mine][0], 1], ties[mine], "right")
+    return at
+
+
 def one_ghost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows up to the first ghost, which ends them."""
     for batch in batches:
