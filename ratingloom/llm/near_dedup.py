@@ -6,8 +6,8 @@ probability 5e-6. A candidate's signatures are compared 16 at a time, and it is
 probability of a likeness of 0.75 falls below the chosen miss probability. What survives is verified on full sets.
 
 No bucket's pairs are ever rows. First every member meets the least member of its bucket. Buckets that still hold
-several components are dealt into blocks; two blocks meet in a task, which returns one link at most for any two
-components. Texts are read again, once, for classes that have a candidate at all.
+several components are dealt into blocks; two blocks meet in a task, by signatures first and with full sets where these
+leave pairs open, and the task returns one link at most for any two components. Texts are read again, once, for classes that have a candidate at all.
 
 Defined cases: a null, empty or white-space-only text has no shingles and is linked with nothing; with one to four
 words the whole sequence is the one shingle; texts are read whole; repeated rows of one id are one document; rows with a
@@ -140,36 +140,69 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def meet_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def by_key(rows: DataFrame, keys: list[str], names: list[str], kernel, schema: str) -> DataFrame:
+    """Runs `kernel` on the columns `names` of each group of neighbouring rows with the same keys; a group is all that a task holds."""
+    out_names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(key: tuple, group: list[tuple]) -> pa.RecordBatch:
+            found = kernel(key, *map(list, zip(*group)))
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*found) if found else [[]] * len(out_names))], names=out_names)
+
+        key, group = None, []
+        for batch in batches:
+            for k, row in zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*(batch.column(c).to_pylist() for c in names))):
+                if k != key and group:
+                    yield made(key, group)
+                    group = []
+                key = k
+                group.append(row)
+        if group:
+            yield made(key, group)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *names).mapInArrow(run, schema)
+
+
+def open_pairs(parts: list, owns: list, sizes: list, sigs: list, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs, across the two blocks or within the one, that sizes and signatures leave open; and their matches."""
+    sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
+    part, own, size = np.array(parts), np.array(owns), np.array(sizes)
+    split = own.min() != own.max()
+    left, right = np.nonzero(own[:, None] < own[None, :]) if split else np.triu_indices(len(part), 1)
+    fits = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= THRESHOLD * np.maximum(size[left], size[right]))
+    left, right = left[fits], right[fits]
+    matches = np.zeros(len(left), np.int64)
+    for n in range(BATCH, HASHES + 1, BATCH):
+        matches += (sig[left, n - BATCH : n] == sig[right, n - BATCH : n]).sum(axis=1)
+        go = matches >= least[n]
+        left, right, matches = left[go], right[go], matches[go]
+    return left, right, matches
+
+
+def meet_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links u, v between components inside buckets; `members` has bucket, x, part_x, and `top` and `all`, the bucket's largest component and its size.
 
     A bucket's members are dealt into blocks, those of the largest component apart from the others, and two blocks meet
-    in one task unless both are of that component. A task compares signatures, confirms on full sets and returns one
-    link at most for any two components, so a group of any size adds no more rows than it has components.
+    in one task unless both are of that component. They meet first by signatures alone; what these leave open meets once
+    more with its full sets. A task returns one link at most for any two components, so a group of any size adds no more
+    rows than it has components.
     """
     in_main = F.col("part_x") == F.col("top.part_x")
     main_blocks = F.ceil(F.col("top.size") / BLOCK).cast("int")
     side_blocks = F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int")
-    own = F.when(in_main, F.pmod(F.xxhash64("x"), main_blocks)).otherwise(main_blocks + F.pmod(F.xxhash64("x"), side_blocks)).cast("int")
+    own = F.when(in_main, F.pmod(F.xxhash64("x"), main_blocks)).otherwise(main_blocks + F.pmod(F.xxhash64("x"), side_blocks)).cast("long")
     others = F.when(in_main, F.sequence(main_blocks, main_blocks + side_blocks - 1)).otherwise(F.sequence(F.lit(0), main_blocks + side_blocks - 1))
-    dealt = members.select("bucket", "x", "part_x", own.alias("own"), F.explode(others).alias("other"))
-    dealt = dealt.select("bucket", "x", "part_x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    traits = classes.select(F.col("row_id").alias("x"), "n", "sig").join(sets.select(F.col("row_id").alias("x"), "shingles"), "x")
-    ready = dealt.join(traits, "x").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    least = least_matches()
+    described = members.select("bucket", "x", "part_x", own.alias("own"), others.alias("others")).join(classes.select(F.col("row_id").alias("x"), "n", "sig"), "x")
+    dealt = described.select("bucket", "x", "part_x", "own", "n", "sig", F.explode("others").alias("other"))
+    dealt = dealt.select("bucket", "x", "part_x", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "own", "n", "sig")
+    least, key, names = least_matches(), ["bucket", "i", "j"], ["x", "part_x", "own", "n", "sig"]
 
-    def links_of(ids: list, parts: list, owns: list, sizes: list, sigs: list, shingles: list) -> list[tuple]:
-        sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
-        part, own, size = np.array(parts), np.array(owns), np.array(sizes)
-        split = own.min() != own.max()
-        left, right = np.nonzero(own[:, None] < own[None, :]) if split else np.triu_indices(len(ids), 1)
-        fits = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= THRESHOLD * np.maximum(size[left], size[right]))
-        left, right = left[fits], right[fits]
-        matches = np.zeros(len(left), np.int64)
-        for n in range(BATCH, HASHES + 1, BATCH):
-            matches += (sig[left, n - BATCH : n] == sig[right, n - BATCH : n]).sum(axis=1)
-            go = matches >= least[n]
-            left, right, matches = left[go], right[go], matches[go]
+    def still_open(key: tuple, ids: list, parts: list, owns: list, sizes: list, sigs: list) -> list[tuple]:
+        left, right, _ = open_pairs(parts, owns, sizes, sigs, least)
+        return [(*key, ids[k], parts[k], owns[k], sizes[k]) for k in np.unique(np.concatenate((left, right))).tolist()]
+
+    def links_of(key: tuple, ids: list, parts: list, owns: list, sizes: list, sigs: list, shingles: list) -> list[tuple]:
+        left, right, matches = open_pairs(parts, owns, sizes, sigs, least)
         order = np.argsort(-matches, kind="stable")
         root = {p: p for p in parts}
 
@@ -186,22 +219,9 @@ def meet_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame) -> D
                 out.append((ids[a], ids[b]))
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], []
-        names = ("x", "part_x", "own", "n", "sig", "shingles")
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
-            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in names))):
-                if k != key and rows:
-                    found += links_of(*map(list, zip(*rows)))
-                    rows = []
-                key = k
-                rows.append(row)
-        if rows:
-            found += links_of(*map(list, zip(*rows)))
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
-
-    return ready.mapInArrow(run, "u long, v long").distinct()
+    asked = scratch.keep(by_key(dealt, key, names, still_open, "bucket long, i long, j long, x long, part_x long, own long, n long"), "open", "lz4")
+    traits = classes.select(F.col("row_id").alias("x"), "sig").join(sets.select(F.col("row_id").alias("x"), "shingles"), "x")
+    return by_key(asked.join(traits, "x"), key, [*names, "shingles"], links_of, "u long, v long").distinct()
 
 
 def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -238,7 +258,7 @@ def find_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     placed = with_part(buckets.select("bucket", "leader", F.col("row_id").alias("x")), parts, "x")
     followers = placed.filter("x <> leader").groupBy("bucket", "part_x").agg(F.count("*").alias("size"))
     mixed = followers.groupBy("bucket").agg(F.max(F.struct("size", "part_x")).alias("top"), F.sum("size").alias("all")).filter("all > top.size")
-    late = scratch.keep(meet_in_blocks(placed.filter("x <> leader").join(mixed, "bucket"), classes, sets), "late")
+    late = scratch.keep(meet_in_blocks(placed.filter("x <> leader").join(mixed, "bucket"), classes, sets, scratch), "late")
     if late.isEmpty():
         final = parts
     else:
@@ -266,8 +286,8 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Rows that share id and text are one, and so are rows without an id that share their text; one without an id goes where
     a document that stays has its text. Of rows that differ in other columns only, the least stays.
     """
-    gone = find_groups(docs, id_column, text_column).filter(~F.col("kept")).select(F.col(id_column).alias("_gone")).distinct()
-    stays = lambda rows: rows.join(gone, rows[id_column] == gone["_gone"], "left_anti")
+    gone = find_groups(docs, id_column, text_column).filter(~F.col("kept")).select(id_column).distinct()
+    stays = lambda rows: rows.join(gone, id_column, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
     scratch = Scratch(docs.sparkSession, "copies")
     digest = F.xxhash64(F.col(text_column))
     digests = stays(docs.select(id_column, digest.alias("_digest"))).groupBy("_digest").agg(F.count("*").alias("_rows"))
