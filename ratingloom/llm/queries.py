@@ -18,7 +18,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = sharding.ShardStore(spark, Scratch(spark, "shards").root)
     store.append(read_table(spark, sf_dir, "documents"))
-    store.compact(keep_earlier=False)
+    store.compact()
     return sharding.placements(store)
 
 

@@ -1,16 +1,19 @@
 """Shards of a growing dataset: small immutable arrivals, size-tiered compaction, versioned manifests.
 
 Every change is a new manifest: a small table of the live shards (file, rows, bytes, the version that added it), written
-aside and renamed to its version's name. The rename either happens whole or fails because another writer took that
-version, so readers always see one complete version, and files never change once written.
+in a folder of its own. What commits it is one small file, named by the version, that names the folder: it is written
+aside and renamed without overwriting, which either happens whole or fails because another writer took that version. So
+readers always see one complete version, and files never change once written. (A local file system checks and renames
+in two steps; HDFS and stores with conditional writes do it in one.)
 
-Compaction takes shards below half the target size, tier by tier (a tier spans one factor of FANOUT in bytes), and fills
-groups up to the target with neighbours in size; a group is merged if it has FANOUT shards or half the target. Each
-group is one task's rows, at most the target and one shard more, so no key or source can make one task large. What a
-merge makes is most often beyond half the target and then stays: rows are rewritten once for each tier they climb.
+Compaction takes shards below FULL of the target size, tier by tier (a tier spans one factor of FANOUT in bytes), and
+fills groups up to the target with neighbours in size; a group is merged if that makes a full shard, or if it has FANOUT
+shards. So a row is rewritten once for each tier it climbs, and what is full is never rewritten. Each group is one task's
+rows, under twice the target, so no key or source can make one task large.
 
 Only DataFrame functions touch the rows. A round plans over the SHARDS_PER_ROUND smallest shards, which bounds what is
-numbered in one place and broadcast; rounds follow each other until no group is full.
+numbered in one place and broadcast; rounds follow each other until no group is full. Earlier versions stay readable
+until vacuum().
 
 Defined cases: null ids and texts, empty and very long texts and repeated rows are kept as they are, each row once;
 an empty table adds a version without shards; all columns are kept whatever their names.
@@ -23,12 +26,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, hadoop_path
+from .common import Scratch, hadoop_path
 
 TARGET = 64 << 20
 FANOUT = 4
 ARRIVAL_ROWS = 2_000
-SHARDS_PER_ROUND = 50_000
+#: Share of the target from which a shard is full.
+FULL = 0.75
+SHARDS_PER_ROUND = 500_000
+#: Place of a shard below the store's root.
+FILE = r"(data/[^/]+/[^/]+)$"
 MANIFEST = "file string, n_rows long, n_bytes long, added long"
 
 
@@ -36,6 +43,27 @@ class VersionTaken(RuntimeError):
     """Another writer committed first; read the latest version and try again."""
 
 
+def rename_once(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a file unless the target exists; tells whether it did."""
+    from py4j.protocol import Py4JJavaError
+
+    jvm = spark._jvm
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(target).toUri(), spark._jsc.hadoopConfiguration())
+    fs, folder = hadoop_path(spark, target.rsplit("/", 1)[0])
+    fs.mkdirs(folder)
+    try:
+        context.rename(path(source), path(target), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fanout: int = FANOUT, arrival_rows: int = ARRIVAL_ROWS):
         self.spark, self.root, self.target, self.fanout, self.arrival_rows = spark, root.rstrip("/"), target, fanout, arrival_rows
@@ -43,30 +71,37 @@ class ShardStore:
     # Versions
 
     def versions(self) -> list[int]:
-        fs, path = hadoop_path(self.spark, f"{self.root}/manifest")
+        fs, path = hadoop_path(self.spark, f"{self.root}/versions")
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
 
+    def place(self, version: int) -> str:
+        return f"{self.root}/versions/v{version:012d}"
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """Live shards of a version, the latest one by default."""
-        have = self.versions()
-        version = (have[-1] if have else 0) if version is None else version
+        version = self.latest() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        if version not in have:
+        if version not in self.versions():
             raise ValueError(f"no version {version}")
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:012d}")
+        folder = self.spark.read.text(self.place(version)).first()[0]
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{folder}")
 
     def commit(self, shards: DataFrame, onto: int) -> int:
         """Makes `shards` version onto + 1, at once or not at all."""
-        aside, final = f"{self.root}/aside-{uuid.uuid4().hex}", f"{self.root}/manifest/v{onto + 1:012d}"
-        shards.select("file", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("added").cast("long").alias("added")).write.parquet(aside)
-        fs, target = hadoop_path(self.spark, final)
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(hadoop_path(self.spark, aside)[1], target):
-            delete_path(self.spark, aside)
+        name = uuid.uuid4().hex
+        folder, aside, final = f"manifests/{name}", f"{self.root}/aside/{name}", self.place(onto + 1)
+        shards.select("file", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("added").cast("long").alias("added")).write.parquet(f"{self.root}/{folder}")
+        fs, path = hadoop_path(self.spark, aside)
+        out = fs.create(path, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        if not rename_once(self.spark, aside, final):
+            fs.delete(path, False)
+            fs.delete(hadoop_path(self.spark, f"{self.root}/{folder}")[1], True)
             raise VersionTaken(f"version {onto + 1} exists")
         return onto + 1
 
@@ -98,40 +133,34 @@ class ShardStore:
 
     def plan(self, version: int) -> DataFrame:
         """file and group of the shards that the next round merges."""
-        small = self.manifest(version).filter(F.col("n_bytes") * 2 < self.target).orderBy("n_bytes", "file").limit(SHARDS_PER_ROUND)
+        small = self.manifest(version).filter(F.col("n_bytes") < FULL * self.target).orderBy("n_bytes", "file").limit(SHARDS_PER_ROUND)
         tier = F.floor(F.log(F.greatest(F.col("n_bytes"), F.lit(1)) / self.target) / F.log(F.lit(float(self.fanout))))
         in_size = Window.partitionBy("tier").orderBy("n_bytes", "file")
         before = F.coalesce(F.sum("n_bytes").over(in_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         grouped = small.withColumn("tier", tier).withColumn("run", F.floor(before / self.target))
         sums = grouped.groupBy("tier", "run").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
-        full = sums.filter((F.col("n") >= self.fanout) | ((F.col("n") > 1) & (F.col("total") * 2 >= self.target)))
-        numbered = full.withColumn("group", F.row_number().over(Window.orderBy("tier", "run")) - 1)
+        worth = sums.filter((F.col("n") >= self.fanout) | ((F.col("n") > 1) & (F.col("total") >= FULL * self.target)))
+        numbered = worth.withColumn("group", F.row_number().over(Window.orderBy("tier", "run")) - 1)
         return grouped.join(numbered, ["tier", "run"]).select("file", "n_bytes", "group")
 
-    def compact(self, keep_earlier: bool = True) -> int:
-        """Merges until no group is full; commits a version for each round and returns the last.
-
-        Without `keep_earlier`, what a round has replaced is deleted before the next one.
-        """
+    def compact(self) -> int:
+        """Merges until no group is worth it; commits a version for each round and returns the last."""
+        scratch = Scratch(self.spark, "compaction")
         while True:
             onto = self.latest()
-            plan = self.plan(onto).cache()
+            plan = scratch.keep(self.plan(onto), "plan")
             chosen = [f"{self.root}/{r[0]}" for r in plan.select("file").collect()]
             if not chosen:
-                plan.unpersist()
+                scratch.close()
                 return onto
             groups = plan.agg(F.max("group") + 1).first()[0]
             folder = f"data/{uuid.uuid4().hex}"
-            rows = self.spark.read.parquet(*chosen)
-            columns = rows.columns
-            placed = rows.select("*", F.regexp_extract("_metadata.file_path", r"(data/[^/]+/[^/]+)$", 1).alias("_shard_file"))
-            merged = placed.join(F.broadcast(plan.select(F.col("file").alias("_shard_file"), F.col("group").alias("_shard_group"))), "_shard_file").repartitionById(int(groups), F.col("_shard_group"))
-            merged.select(*[F.col(f"`{c}`") for c in columns]).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            # The rows stay together in one column, so that no name of theirs can clash.
+            placed = self.spark.read.parquet(*chosen).select(F.struct("*").alias("row"), F.regexp_extract("_metadata.file_path", FILE, 1).alias("file"))
+            merged = placed.join(F.broadcast(plan.select("file", "group")), "file").repartitionById(int(groups), F.col("group"))
+            merged.select("row.*").write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             kept = self.manifest(onto).join(plan.select("file"), "file", "left_anti").select("file", "n_rows", "n_bytes", "added")
             self.commit(kept.union(self.describe(folder, onto + 1)), onto)
-            plan.unpersist()
-            if not keep_earlier:
-                self.vacuum()
 
     def vacuum(self) -> int:
         """Deletes folders of which no file is in the latest version; earlier versions can then not be read. Returns how many."""
@@ -150,5 +179,5 @@ def placements(store: ShardStore, id_column: str = "doc_id") -> DataFrame:
     files = store.files(version)
     if not files:
         return store.spark.createDataFrame([], f"{id_column} long, version long, shard string, shard_rows long, shard_bytes long, added long")
-    rows = store.spark.read.parquet(*files).select(id_column, F.regexp_extract("_metadata.file_path", r"(data/[^/]+/[^/]+)$", 1).alias("file"))
+    rows = store.spark.read.parquet(*files).select(id_column, F.regexp_extract("_metadata.file_path", FILE, 1).alias("file"))
     return rows.join(shards, "file").select(id_column, F.lit(version).cast("long").alias("version"), F.col("file").alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "added")
