@@ -8,7 +8,8 @@ every file. Matches are then placed by cutting the text at them: piece and match
 Only DataFrame functions are used. What is broadcast is the trigram queries, whose number the rules fix.
 
 Defined cases: a null or empty text has no spans; texts are read whole; each repeated row gets its own result row; an
-empty table gives no rows; only the two named columns are read.
+empty table gives no rows; only the two named columns are read, others are carried along whatever their names, but for
+one named `secret_spans`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+#: Matches of a text that are placed together.
+BLOCK = 500
 GAP = "\n"  # in a literal path: anything may stand here
 
 
@@ -91,25 +94,40 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...], scratch: Scratch) -> D
     spark = keyed.sparkSession
     clauses = [(r.kind, f"{r.kind}/{i}", t, len(c)) for r in rules for i, c in enumerate(trigram_query(r.pattern)) for t in sorted(c)]
     queries = spark.createDataFrame(clauses, "kind string, clause string, trigram string, needed int")
-    lower = F.lower("body")
-    present = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(t)), F.lit(t)) for t in sorted({c[2] for c in clauses})]))
-    postings = scratch.keep(keyed.select("row_key", F.explode(present).alias("trigram")), "postings").distinct()
+    # Lower case is made once a text, before the trigrams are looked for; the outer explode keeps Spark from asking the
+    # whole array of each text twice, in a filter of its own.
+    lowered = keyed.select("row_key", F.lower("body").alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in sorted({c[2] for c in clauses})]))
+    postings = scratch.keep(lowered.select("row_key", present.alias("present")).select("row_key", F.explode_outer("present").alias("trigram")).filter("trigram is not null"), "postings").distinct()
     met = postings.join(F.broadcast(queries), "trigram").groupBy("row_key", "kind", "clause").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).filter("n = needed")
     return met.groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def placed(matches: Column, pieces: Column, values: Column, order: int, least: int) -> Column:
-    """Spans (start, rule's place, end) of the matches whose deciding group is long enough."""
-    empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    zipped = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"), values.alias("v"))
+    """Spans (start, rule's place, end) of the matches whose deciding group is long enough.
+
+    Matches are placed in blocks, each from its own beginning, and blocks are then moved to where they begin; so the work
+    does not grow with the square of a text's matches.
+    """
+    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    zipped = F.transform(F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"), values.alias("v")), lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size"), (F.length(x["v"]) >= least).alias("keep")))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
         span = F.struct(start.alias("start"), F.lit(order).alias("rule"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def moved(acc, block):
+        begins = F.concat(acc["begins"], F.array(acc["at"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), begins.alias("begins"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])).otherwise(empty)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(zipped, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    begins = lambda blocks: F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")), moved, lambda acc: acc["begins"])
+    shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["rule"].alias("rule"), (s["end"] + by).alias("end"))
+    # A one-element transform names the blocks, which are then made once.
+    spans = F.flatten(F.transform(F.array(blocks), lambda made: F.flatten(F.transform(F.arrays_zip(made.alias("made"), begins(made).alias("by")), lambda b: F.transform(b["made"]["out"], lambda s: shift(s, b["by"]))))))
+    return F.when(F.size(matches) > 0, spans).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -130,7 +148,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     cut += [F.when(F.size(f"m_{r.kind}") > 0, F.regexp_extract_all("body", F.lit(r.pattern), F.lit(r.group))).otherwise(none).alias(f"v_{r.kind}") for r in rules if r.group]
     pieces = matched.select("*", *cut)
     spans = [placed(F.col(f"m_{r.kind}"), F.col(f"p_{r.kind}"), F.col(f"v_{r.kind}" if r.group else f"m_{r.kind}"), i, r.least) for i, r in enumerate(rules)]
-    return pieces.select("row.*", F.array_sort(F.concat(*spans)).alias("secret_spans"))
+    return pieces.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secret_spans"], F.array_sort(F.concat(*spans)).alias("secret_spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
