@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ratingloom.llm import near_dedup, packing, secret_scan, suffix_dedup, toxicity
 from ratingloom.llm.common import Scratch, read_table
 
+#: Bytes of a passage that counts as repeated: what over 50 words take at three letters each, in any of the languages.
+REPEATED = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection threshold; rows without an id stay if their text does."""
@@ -24,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(suffix_dedup.without_repeats(docs))
+    return with_length(suffix_dedup.without_repeats(docs, REPEATED))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,10 @@ The answer is exact, but for collisions of 64-bit fingerprints.
 
 Defined cases: a null or empty text has no bytes; matches never cross texts, and texts shorter than `length` keep all;
 texts are read whole, in overlapping segments if very long; repeated rows are two places, so both lose what they share;
-an empty table gives no rows; a null id is kept; cut characters are dropped from the text that stays, not from its bytes.
+an empty table gives no rows; a null id is kept; cut characters are dropped from the text that stays, not from its bytes;
+further columns are carried along by without_repeats() whatever their names, and not read by remove_repeats().
+
+What one text's spans take is bounded by its length: they are gathered for a text that is held whole anyway.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ TRIGGER = 12
 SEGMENT = 4 << 20
 #: Ids up to which a set of documents to read again is broadcast; beyond, texts and ids meet by a shuffle.
 BROADCAST_IDS = 500_000
+#: At most so many keys are ever looked up by broadcast; a key of fewer rows than HOT_ROWS never is.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
 
 LOW = U64(0xFFFFFFFF)
 
@@ -135,27 +140,40 @@ def edge_windows(docs: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     return texts_of(docs, wanted).select("row_key", "body", "spans").mapInArrow(run, "mark long, row_key long, at int")
 
 
+def rows_with(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> DataFrame:
+    """The rows whose key is among `keys` (a written table of distinct keys and how many rows each may meet).
+
+    A key that would meet over 1 / HOT_KEYS of all rows is looked up in a broadcast table, of which there are fewer than
+    HOT_KEYS whatever the input; the rest meet by a shuffle, in which no key is hot.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    keys = keys.select(*on, F.col(count).alias("_meets"))
+    hot = F.broadcast(keys.filter(F.col("_meets") > least).select(*on))
+    rest = rows.join(hot, on, "left_anti").join(keys.filter(F.col("_meets") <= least).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").union(rest)
+
+
 def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Facts of every row (row_id, row_key, n_bytes, sha), and per row_key the byte spans that repeated windows cover."""
     parsed = scratch.keep(parse(docs, length), "parsed", "lz4")
     facts = scratch.keep(parsed.select("row_id", "row_key", "n_bytes", "sha"), "facts")
-    # Written first: a join of two tables can split a hot core (periodic text has one), one with an aggregate cannot.
-    again = scratch.keep(parsed.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "again", "lz4")
+    cores = parsed.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n"))
+    again = scratch.keep(cores.filter("n > 1"), "again", "lz4")
     rows = parsed.select("row_key", F.explode(F.arrays_zip("lo", "width", "core", "content")).alias("p")).select("row_key", "p.*")
-    places = scratch.keep(rows.join(again, "core"), "places", "lz4")
-    scratch.drop(parsed)
+    places = scratch.keep(rows_with(rows, again, ["core"], "n"), "places", "lz4")
+    scratch.drop(parsed, again)
 
     entries = places.groupBy("core", "content").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "lo", "width")).alias("copy"))
     dictionary = scratch.keep(entries, "dictionary", "lz4")
-    scratch.drop(again)
-    shared = dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
-    whole = places.join(dictionary.filter("n > 1").select("core", "content"), ["core", "content"], "left_semi")
+    whole = rows_with(places, dictionary.filter("n > 1"), ["core", "content"], "n")
     whole = whole.select("row_key", F.col("lo").alias("a"), (F.col("lo") + F.col("width") + length).alias("b"))
 
-    edges = dictionary.join(shared, "core").select("copy.row_key", "copy.lo", (F.col("copy.lo") + F.col("copy.width")).alias("hi"), (F.col("n") == 1).alias("alone"))
+    shared = scratch.keep(dictionary.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "shared", "lz4")
+    edges = rows_with(dictionary, shared, ["core"], "kinds").select("copy.row_key", "copy.lo", (F.col("copy.lo") + F.col("copy.width")).alias("hi"), (F.col("n") == 1).alias("alone"))
     windows = scratch.keep(edge_windows(docs, edges, length), "windows", "lz4")
-    twice = scratch.keep(windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark"), "twice", "lz4")
-    single = windows.filter("row_key is not null").join(twice, "mark", "left_semi")
+    twice = scratch.keep(windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1"), "twice", "lz4")
+    single = rows_with(windows.filter("row_key is not null"), twice, ["mark"], "n")
     # Windows of one row in a row are one span already.
     single = single.groupBy("row_key").agg(F.array_sort(F.collect_list("at")).alias("at")).select("row_key", F.explode(runs_of("at")).alias("r"))
     single = single.select("row_key", F.col("r.a").alias("a"), (F.col("r.b") + length).alias("b"))
