@@ -78,6 +78,26 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).collect() == []
 
 
+def test_running_totals(spark):
+    rng = random.Random(1)
+    counts = {(k, salt): rng.randrange(1, 9) for k in (3, 5) for salt in range(40)}
+    old, packing.RANK_BLOCK = packing.RANK_BLOCK, 7
+    try:
+        got = packing.running_totals(spark.createDataFrame([(k, s, n) for (k, s), n in counts.items()], "size_key long, salt long, n long")).collect()
+    finally:
+        packing.RANK_BLOCK = old
+    assert {(r.size_key, r.salt): r.shift for r in got} == {(k, s): sum(counts[k, e] for e in range(s)) for k, s in counts}
+
+
+def test_word_ids(spark, sf_dir):
+    """The tokenizer's own ids, word by word in Arrow, on whole documents and on odd words."""
+    words = packing.WordIds(vocabulary_file("word_bpe_49k.json"))
+    odd = ["", " ", "İstanbul ẞ ß ÀÉ éA", "don't you'll 's", "<|endoftext|> a<|startoftext|>b <|x", "a1b2 3", "e\u0301 \u0301x ｆｕｌｌ", "x!!y ...x x... 'x", "日本語\u3000テキスト\xa0a", "µ ª º ¼ ﬁ", "a\0b", "ǅ Σίσυφος ΣΑΣ"]
+    texts = odd + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert words.of_texts([t.encode() for t in texts]) == want
+
+
 def test_packing_patterns_fill():
     rng = random.Random(3)
     counts = Counter(min(4096, int(rng.lognormvariate(6, 1))) or 1 for _ in range(20_000))
@@ -117,6 +137,33 @@ def test_spotsigs_single_document(spark):
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1.0
 
 
+def test_spotsigs_of_a_shortened_copy(spark):
+    """Three quarters of a text are alike to it at every length and of every kind."""
+    rng = random.Random(2)
+    kinds = [lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n))[: 5 * n], lambda n: "x" * 5 * n, lambda n: "日本語テキスト"[: n % 7 + 1] * n, lambda n: " ".join("word" * 7 + str(k) for k in range(n))]
+    texts = [kind(n) for kind in kinds for n in (*range(1, 110, 4), 400)]
+    texts = [t for t in texts if len(t) >= 4]
+    rows = [(3 * i, t) for i, t in enumerate(texts)] + [(3 * i + 1, "") for i in range(len(texts))]
+    got = {r.doc_id: r for r in spotsigs.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[3 * i].near_edited >= 0.25 for i in range(len(texts)))
+    assert all(got[3 * i].near_next == 0 and got[3 * i + 1].near_edited == 1 for i in range(len(texts)))
+
+
+def test_spotsigs_ranges_of_one_id(spark):
+    """Rows that share an id, or have none, are dealt into ranges as well; each row's next is one row."""
+    rows = [(None if i % 3 else 7, f"text number {i * i} of many") for i in range(300)] + [(9, "same text")] * 40
+    old, spotsigs.ROWS_PER_RANGE = spotsigs.ROWS_PER_RANGE, 10
+    try:
+        got = spotsigs.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spotsigs.ROWS_PER_RANGE = old
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    nexts = sum(r.near_next == 1.0 for r in got)
+    assert 39 <= nexts <= 60
+    bounds = np.array([(1, 5), (1, 9), (4, 0)], np.int64)
+    assert spotsigs.places(bounds, np.array([0, 1, 1, 1, 2, 4, 4]), np.array([9, 4, 5, 9, 0, -1, 0])).tolist() == [0, 0, 1, 2, 2, 2, 3]
+
+
 def test_spotsigs_pairs(docs, empty):
     sets = {}
     for i, t in ROWS:
@@ -132,34 +179,43 @@ def test_spotsigs_pairs(docs, empty):
 # 3
 
 
-def test_pieces_match_the_lattice():
-    from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+ODD_TEXTS = ["", " ", "a", "aaaa" * 700, "日本語テキスト" * 50, "  two  spaces ", "\n\n x\t", "😀😀 ok", "▁▁x", "é" * 100, "=" * 200, "abc" * 300, "a\0b \0\0", "\0x" * 60, "don't stop", "12345 678"]
+ODD_TEXTS += ["".join(RNG.choice("thein ▁\n.=aé") for _ in range(RNG.randrange(400))) for _ in range(60)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=vocabulary_file("piece_bpe_32k.model"))
+
 
-    model = sentencepiece_model_pb2.ModelProto()
-    with open(vocabulary_file("piece_bpe_32k.model"), "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1  # the unigram rule over the same pieces and scores
-    library = SentencePieceProcessor(model_proto=model.SerializeToString())
+def test_pieces_are_the_model_s(spark, sf_dir, library):
+    """The model's own ids on whole documents and on odd texts."""
+    texts = ODD_TEXTS + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     own = piece_scan.Vocabulary(vocabulary_file("piece_bpe_32k.model"))
-    for text in ["hest", "the quick brown", "overlapping reviews", "é über straße", "enestion.", "don't stop", "12345 678"]:
-        ids = np.frombuffer(own.encode(text), "<i4").tolist()
-        best = library.nbest_encode_as_ids(text, 2)[0]
-        score = lambda seq: sum(library.get_score(i) for i in seq)
-        assert score(ids) == score(best)
+    assert [np.frombuffer(i, "<i4").tolist() for i in own.encode([t.encode() for t in texts])] == library.encode(texts)
 
 
 @pytest.mark.parametrize("chunk", [64, 1000])
-def test_pieces_in_chunks(docs, empty, chunk):
-    own = piece_scan.Vocabulary(vocabulary_file("piece_bpe_32k.model"))
+def test_pieces_in_chunks(spark, docs, empty, library, chunk):
     got = piece_scan.decode(piece_scan.encode(docs, chunk=chunk)).collect()
     assert len(got) == len(ROWS)
     texts = dict(ROWS)
     for r in got:
-        assert list(r.ids) == np.frombuffer(own.encode(texts[r.doc_id] or ""), "<i4").tolist()
+        assert list(r.ids) == library.encode(texts[r.doc_id] or "")
         assert r.decoded == (texts[r.doc_id] or "")
+    odd = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    assert {r.doc_id: list(r.ids) for r in piece_scan.encode(odd, chunk=chunk).collect()} == dict(enumerate(library.encode(ODD_TEXTS)))
     assert piece_scan.encode(empty).collect() == []
 
 
+def test_neighbours_decide():
+    """Two pieces may be neighbours exactly if the two, taken alone, are encoded as these."""
+    own = piece_scan.Vocabulary(vocabulary_file("piece_bpe_32k.model"))
+    assert own.merged("there") == ["there"] and own.together("", "there") and not own.together("the", "re")
+
+
 def test_max_plus_is_associative():
     rng = np.random.default_rng(1)
     a, b, c = rng.integers(-99, 0, (3, 5, 5))
@@ -218,6 +274,48 @@ def test_shards(spark, docs, empty, tmp_path):
     assert store.read().count() == 5 * len(ROWS)
 
 
+def test_shards_of_two_writers(spark, docs, tmp_path):
+    """Of two commits onto one version the second fails, and leaves the first as it is."""
+    one, two = (sharding.ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.append(docs)
+    found, onto = two.manifest(), two.latest()
+    assert one.commit(one.manifest().limit(1), onto) == onto + 1
+    with pytest.raises(sharding.VersionTaken):
+        two.commit(found, onto)
+    assert two.latest() == onto + 1 and two.manifest().count() == 1
+    assert two.read(onto).count() == len(ROWS)
+
+
+def test_shard_plan(spark, tmp_path):
+    """Groups are runs of neighbours in size within a tier that make a full shard or a tier's worth of shards."""
+    rng = random.Random(4)
+    sizes = [int(10 ** rng.uniform(1, 4.2)) for _ in range(60)]
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=10_000, fanout=4)
+    store.commit(spark.createDataFrame([(f"f{i:02d}", 1, n, 1) for i, n in enumerate(sizes)], sharding.MANIFEST), 0)
+    got = defaultdict(list)
+    for r in store.plan(1).collect():
+        got[r.group].append(r.n_bytes)
+    want, tiers = [], defaultdict(list)
+    for n in sorted(sizes):
+        if n < 7_500:
+            tiers[next(k for k in range(1, 99) if n * 4**k >= 10_000)].append(n)
+    for members in tiers.values():
+        runs, at = defaultdict(list), 0
+        for n in members:
+            runs[at // 10_000].append(n)
+            at += n
+        want += [run for run in runs.values() if len(run) >= 4 or len(run) > 1 and sum(run) >= 7_500]
+    assert sorted(map(sorted, got.values())) == sorted(want) and want and sorted(got) == list(range(len(got)))
+
+
+def test_shards_keep_columns_of_any_name(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", arrival_rows=3)
+    rows = docs.select("doc_id", "text", *[F.lit(k).alias(k) for k in ("file", "group", "row", "n_rows", "tier")])
+    store.append(rows)
+    store.compact()
+    assert store.manifest().count() == 1 and store.read().columns == rows.columns and store.read().exceptAll(rows).count() == 0
+
+
 # 6
 
 
@@ -341,6 +439,8 @@ def test_near_groups(docs, empty):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), groups[r.doc_id], groups[r.doc_id] == r.doc_id)
     assert near_dedup.find_groups(empty).collect() == []
     assert near_dedup.deduplicate(docs).columns == docs.columns
+    clashes = docs.select("text", "doc_id", *[F.lit(1).alias(c) for c in ("_gone", "_digest", "_rows", "_id", "_known")])
+    assert near_dedup.deduplicate(clashes).columns == clashes.columns and near_dedup.deduplicate(clashes).count() == near_dedup.deduplicate(docs).count()
 
 
 def test_near_groups_of_a_family(spark):
@@ -387,6 +487,16 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan_secrets(empty).collect() == []
 
 
+def test_many_secrets_of_one_text(spark):
+    text = " ".join(f"😀 token={'x' * (k % 11)} {'ab12' * (k % 9)}" for k in range(1200))
+    rows = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, secret_spans string")
+    got = secret_scan.scan_secrets(rows)
+    assert got.columns == ["doc_id", "text", "secret_spans"]
+    want = [(m.start(), 0, m.end()) for m in re.finditer("(token)=([A-Za-z0-9]+)", text) if len(m[2]) >= 6]
+    want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert sorted(want) == [tuple(s) for s in got.first().secret_spans] and len(want) > 2 * secret_scan.BLOCK // 3
+
+
 def test_trigram_queries_are_necessary():
     for rule in secret_scan.RULES:
         clauses = secret_scan.trigram_query(rule.pattern)
@@ -442,6 +552,20 @@ def test_repeats_at_every_offset(spark, seed):
     assert got == [(i, *r) for i, r in enumerate(brute_cut(rows, 180))]
 
 
+def test_repeats_of_hot_phrases(spark):
+    """Passages that most texts share are looked up by broadcast, with the same result."""
+    rng = random.Random(9)
+    hot = " ".join(f"hot{rng.randrange(999)}" for _ in range(60))
+    rows = [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(rng.randrange(60))) + hot * (i % 3) + "tail" * (i % 50)) for i in range(120)]
+    old = suffix_dedup.HOT_ROWS, suffix_dedup.HOT_KEYS
+    suffix_dedup.HOT_ROWS, suffix_dedup.HOT_KEYS = 3, 50
+    try:
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=200).collect())
+    finally:
+        suffix_dedup.HOT_ROWS, suffix_dedup.HOT_KEYS = old
+    assert got == [(i, *r) for i, r in enumerate(brute_cut(rows, 200))]
+
+
 # Pipeline
 
 
@@ -454,12 +578,48 @@ def test_pipeline_stages(spark, docs, sf_dir):
         assert rows.columns == table.columns, name
         rows = Scratch(spark, "test").keep(rows, name)
     _, groups = brute_groups(ROWS)
-    kept = [(i, t) for i, t in ROWS if i is None or groups[i] == i]
-    want = Counter((i, r[3]) for (i, _), r in zip(kept, brute_cut(kept, 400)))
+    kept = list(dict.fromkeys((i, t) for i, t in ROWS if i is None or groups[i] == i))  # rows that share id and text are one
+    want = Counter((i, r[3]) for (i, _), r in zip(kept, brute_cut(kept, corpus_pipeline.REPEATED)))
     assert Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows.collect()) == want
     assert corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).select("doc_id").distinct().count() == len({i for i, _ in kept})
 
 
+def test_pipeline_cuts_passages_of_over_fifty_words(spark, sf_dir):
+    corpus_pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinsr") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(51))
+    rows = [(i, " ".join(word() for _ in range(80)) + (f"\n{passage}\n" if i % 2 else "\n") + " ".join(word() for _ in range(80)), "clash") for i in range(12)]
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["repeats"](spark, spark.createDataFrame(rows, "doc_id long, text string, row_key string"), sf_dir).collect()}
+    assert all((got[i] == t) if i % 2 == 0 else (passage[1:-1] not in got[i] and len(t) - len(got[i]) in range(len(passage), len(passage) + 8)) for i, t, _ in rows)
+
+
+def test_pipeline_run(spark, sf_dir, tmp_path):
+    """The whole run: what it packs are the ids of what the stages before it leave; an empty table and clashing columns pass."""
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = importlib.import_module("corpus_pipeline")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    shared = own(60)
+    texts = {1: own(90), 2: own(30) + " " + shared, 3: shared + " " + own(40), 5: own(20) + " password=hunter2222 " + own(9), 6: "", 7: None}
+    rows = [(i, t, "src0", "clash") for i, t in texts.items()] + [(4, texts[1], "src0", "clash")]
+    for name, frame in (("full", spark.createDataFrame(rows, "doc_id long, text string, source string, row_key string")), ("none", spark.createDataFrame([], "doc_id long, text string, source string, row_key string"))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    left = {i: t or "" for i, t in texts.items()}
+    for i, r in zip((2, 3), brute_cut([(2, texts[2]), (3, texts[3])], corpus_pipeline.REPEATED)):
+        assert r[1] >= len(shared)
+        left[i] = next(t for t in (texts[2][: k] + texts[2][k + r[1] :] if i == 2 else texts[3][: k] + texts[3][k + r[1] :] for k in range(len(texts[i]))) if hashlib.sha256(t.encode()).hexdigest() == r[3])
+    left[5] = texts[5].replace("password=hunter2222", "[secret]")
+    tokenizer = Tokenizer.from_file(vocabulary_file("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in left.items()}
+    assert {r.doc_id: r.ids_crc32 for r in got} == want and len(got) == len(want)
+
+
 def test_pipeline_keeps_one_whole_copy(spark, sf_dir):
     """Copies that share an id, or have none, leave one row, so no text is lost to the next stage."""
     corpus_pipeline = importlib.import_module("corpus_pipeline")
