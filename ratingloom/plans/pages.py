@@ -142,16 +142,3 @@ def src26(spark, d):
 @query("fmt07_visible_text_sizes")
 def fmt07(spark, d):
     return pages(spark, d).select("page_id", F.length(without_tags(F.col("html"))).alias("n_visible"))
-
-
-@query("pi11_product_identity")
-def pi11(spark, d):
-    """Canonical labels of catalogue titles made of the parts table."""
-    forms = F.array(*[F.lit(v) for v in ("таблетки", "капсулы", "порошок", "сироп", "гель")])
-    title = F.concat(F.col("p_brand"), F.lit(" "), F.element_at(forms, (F.col("p_partkey") % 5 + 1).cast("int")), F.lit(" "), (F.col("p_size") * 10).cast("string"), F.lit(" мг №"), (F.col("p_size") % 30 + 1).cast("string"))
-    return identity.identify(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), title.alias("title")), "brand", "title").select("p_partkey", "label", "granularity", "variant_key")
-
-
-@query("pi13_reconciled_variants")
-def pi13(spark, d):
-    return identity.reconcile(pi11(spark, d).join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand")), "p_partkey"), "brand").groupBy("brand").agg(F.count_distinct("variant_key").alias("variants"), F.count_distinct("label").alias("labels"))

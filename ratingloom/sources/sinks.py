@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
+
+
+def written_once(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder, for what reads them more than once; gone when the driver ends."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+
+    def remove() -> None:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended: its folder is the cluster's to clean
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def replace_month(snapshot: DataFrame, path: str, month: str = "month") -> None:
     """Overwrites the months that the rows have; other months stay."""
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)

@@ -99,10 +99,46 @@ def test_payload_readers(spark):
 
 def test_identity(spark):
     rows = spark.createDataFrame([("Арбидол", "Арбидол Максимум капсулы 200 мг №10"), ("Арбидол", "Арбидол максимум капс. 0,2 г 10 шт"), ("Арбидол", "Ингавирин 90 мг"), ("Арбидол", "")], "brand string, title string")
-    got = identity.identify(rows, "brand", "title").collect()
-    assert got[0].label == "Арбидол Максимум капсулы 200 мг №10" and got[0].granularity == "variant"
-    assert got[1].variant_key == got[0].variant_key
-    assert got[2].granularity == "unresolved" and got[2].variant_key is None
+    got = {r.title: r for r in identity.identify(rows, "brand", "title").collect()}
+    first, second, foreign, none = (got[r.title] for r in rows.collect())
+    assert first.label == "Максимум капсулы 200 мг №10" and first.granularity == "variant"
+    assert second.variant_key == first.variant_key
+    assert foreign.granularity == "unresolved" and foreign.variant_key is None and none.granularity == "unresolved"
+
+
+#: Brand, title, label.
+LABELS = [
+    ("Велотон", "Велотон р-р д/в/м введ. 3 мл №5", "раствор для инъекций 3 мл №5"),
+    ("Велотон", "Велотон р-р для в/в и в/м введения 3 мл №5", "раствор для внутривенного и внутримышечного введения 3 мл №5"),
+    ("Эксумин", "Эксумин р-р д/ин. 10000 МЕ/мл 0,4 мл №10", "раствор для инъекций 10000 МЕ/мл 0,4 мл №10"),
+    ("Мелот", "Мелот раствор в/м 10 мг/мл 1,5 мл 5 ампул", "раствор для инъекций 10 мг/мл 1,5 мл №5"),
+    ("Нейпил", "Нейпил р-р для приема внутрь 100 мг в 1 мл, фл. 30 мл", "раствор для приема внутрь 100 мг/мл 30 мл"),
+    ("Дантин", "Дантин Бэби раствор для приема внутрь 1 мл №10", "Бэби раствор для приема внутрь 1 мл №10"),
+    ("Бутин", "Бутин Ретард таблетки 300 мг №20", "Ретард таблетки 300 мг №20"),
+    ("Молентум", "Молентум эмульсия для купания 200 мл", "эмульсия 200 мл"),
+    ("Хондро р-р", "Хондро р-р для в/м введения 100 мг/мл 2 мл №10", "раствор для инъекций 100 мг/мл 2 мл №10"),
+    ("Анвиф", "Анвиф капс. 0,25 г №20", "капсулы 250 мг №20"),
+    ("Цитов-3", "Цитов-3 порошок 0,02 г 12 саше", "порошок в саше 20 мг №12"),
+    ("Кагор", "Кагор таблетки жевательные без сахара 5 мг 10 шт принимать 2 табл 3 раза в день", "без сахара жевательные таблетки 5 мг №10"),
+    ("Стодал", "Стодал сироп 200 мл 1 шт", "сироп 200 мл"),
+    ("Кремлин", "Кремлин кремлевский стикер", "Общая карточка бренда"),
+    ("Бактоблис", "Бактоблис порошок 22,5 г, саше №15", "порошок в саше 1500 мг №15"),
+    ("Оциллококцинум", "Оциллококцинум гранулы гомеопатические 1 доза 30 шт", "гранулы 1 г №30"),
+    ("Сорбен", "Сорбен 15 саше-пакетов по 1500 мг", "саше 1500 мг №15"),
+    ("Сорбен", "Сорбен порошок, 2 упаковки, 3 г №10", "порошок 3 г №10 ×2 упаковки"),
+]
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame(LABELS, "brand string, title string, wanted string")
+    assert {r.title: r.label for r in identity.identify(rows, "brand", "title").collect()} == {t: w for _, t, w in LABELS}
+
+
+def test_a_strength_left_out_tells_nothing(spark):
+    rows = spark.createDataFrame([("А", "А табл. №10"), ("А", "А таблетки 5 мг 10 шт"), ("Б", "Б гель 5 мл"), ("Б", "Б отзывы"), ("В", "В гель 5 мл"), ("В", "В гель 9 мл"), ("В", "В отзывы")], "brand string, title string")
+    got = {r.title: (r.label, r.variant_key) for r in identity.reconcile(identity.identify(rows, "brand", "title"), "brand").collect()}
+    assert got["А табл. №10"] == got["А таблетки 5 мг 10 шт"] and got["А табл. №10"][0] == "таблетки №10"
+    assert got["Б отзывы"] == got["Б гель 5 мл"] and got["В отзывы"] == ("Общая карточка бренда", None)
 
 
 def test_publication_is_idempotent(spark, tmp_path):
