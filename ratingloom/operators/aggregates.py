@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,12 +55,13 @@ def identical_only(rows: DataFrame, key: list[str], metrics: list[str], message:
     return out.filter(ok).select(*key, *metrics)
 
 
-def collapse_shared(rows: DataFrame, group: str, listing: str, month: str, metrics: list[str]) -> DataFrame:
+def collapse_shared(rows: DataFrame, group: list[str], listing: str, month: str, metrics: list[str]) -> DataFrame:
     """Groups whose listings show one set of metrics in every month, and so are one product on several pages."""
-    shown = rows.groupBy(group, month).agg(F.count_distinct(F.struct(*metrics)).alias("kinds"))
-    agreed = shown.groupBy(group).agg(F.max("kinds").alias("kinds")).filter("kinds = 1")
-    sized = rows.groupBy(group).agg(F.count_distinct(listing).alias("listings")).filter("listings > 1")
-    return sized.join(agreed.select(group), group)
+    # One set is told from two by its least and greatest; rows are read once for both questions.
+    same = Window.partitionBy(*group, month)
+    shown = rows.select(*group, listing, month, F.struct(*metrics).alias("shown"))
+    agreed = shown.withColumn("one", F.min("shown").over(same) == F.max("shown").over(same))
+    return agreed.groupBy(*group).agg(F.bool_and("one").alias("one"), F.count_distinct(listing).alias("listings")).filter("one and listings > 1").drop("one")
 
 
 def majority(votes: DataFrame, key: str, vote: str, order: str) -> DataFrame:

@@ -15,6 +15,17 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], prefer_old: tuple[str
     return a.join(b, key, "full").select(*key, *[pick(c).alias(c) for c in rest])
 
 
+def upsert_within(rows: DataFrame, new: Column, key: list[str], values: dict[str, Column], prefer_old: tuple[str, ...] = ()) -> DataFrame:
+    """upsert() of two parts of one table, those that are `new` and the others, each first aggregated by key into `values`.
+
+    The parts are told apart in one pass: a key's rows meet once, in partial aggregates of both parts.
+    """
+    parts = rows.withColumn("_new", new).groupBy(*key, "_new").agg(*[v.alias(c) for c, v in values.items()])
+    sides = [F.max(F.when(F.col("_new") == side, F.col(c))).alias(f"_{name}_{c}") for c in values for side, name in ((True, "new"), (False, "old"))]
+    pick = lambda c: F.coalesce(F.col(f"_old_{c}"), F.col(f"_new_{c}")) if c in prefer_old else F.coalesce(F.col(f"_new_{c}"), F.col(f"_old_{c}"))
+    return parts.groupBy(*key).agg(*sides).select(*key, *[pick(c).alias(c) for c in values])
+
+
 def append_missing(rows: DataFrame, history: DataFrame, key: list[str]) -> DataFrame:
     """rows, and those of history whose key they lack."""
     return rows.unionByName(history.join(rows.select(*key), key, "left_anti"))
@@ -62,12 +73,20 @@ def overlapping(rects: DataFrame, key: str, group: list[str], bounds: tuple[str,
 
 
 def undominated(rows: DataFrame, group: list[str], traits: str, key: str) -> DataFrame:
-    """Rows whose set of traits is no proper subset of another's in the group: those with the group's largest sets meet first, by one trait."""
-    one = rows.select(*group, F.col(key).alias("_k"), F.col(traits).alias("_t"), F.explode_outer(traits).alias("_trait"))
-    other = rows.select(*group, F.col(traits).alias("_o"), F.explode(traits).alias("_trait"))
-    beaten = one.join(other, [*group, "_trait"]).filter((F.size("_o") > F.size("_t")) & (F.size(F.array_except("_t", "_o")) == 0)).select(*group, F.col("_k").alias(key)).distinct()
-    empty = rows.filter(F.size(traits) == 0).join(rows.filter(F.size(traits) > 0).select(*group).distinct(), group, "left_semi").select(*group, key)
-    return rows.join(beaten.union(empty), [*group, key], "left_anti")
+    """Rows whose set of traits is no proper subset of another's in the group.
+
+    Equal sets are one before they meet. A set looks only for those that have its rarest trait in the group, which every
+    set above it must have.
+    """
+    spelled = rows.withColumn("_t", F.array_sort(F.array_distinct(traits)))
+    sets = spelled.select(*group, "_t").distinct()
+    held = sets.select(*group, "_t", F.explode("_t").alias("_trait"))
+    common = held.groupBy(*group, "_trait").agg(F.count("*").alias("_n"))
+    rarest = held.join(common, [*group, "_trait"]).groupBy(*group, "_t").agg(F.min_by("_trait", F.struct("_n", "_trait")).alias("_trait"))
+    others = held.select(*group, F.col("_t").alias("_o"), "_trait")
+    beaten = rarest.join(others, [*group, "_trait"]).filter((F.size("_o") > F.size("_t")) & (F.size(F.array_except("_t", "_o")) == 0)).select(*group, "_t").distinct()
+    empty = sets.filter(F.size("_t") == 0).join(sets.filter(F.size("_t") > 0).select(*group).distinct(), group, "left_semi").select(*group, "_t")
+    return spelled.join(beaten.union(empty), [*group, "_t"], "left_anti").select(*rows.columns)
 
 
 def collisions(rows: DataFrame, key: str, owner: str) -> DataFrame:

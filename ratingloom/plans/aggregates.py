@@ -112,8 +112,8 @@ def ag17(spark, d):
 
 @query("ag18_shared_aggregates", f"WITH {OBS}, g AS (SELECT domain || '/' || brand || '/' || product AS grp, listing_id, month, reviews FROM obs), k AS (SELECT grp FROM (SELECT grp, month, count(DISTINCT reviews) AS kinds FROM g GROUP BY 1, 2) GROUP BY 1 HAVING max(kinds) = 1) SELECT grp, count(DISTINCT listing_id) AS listings FROM g WHERE grp IN (SELECT grp FROM k) GROUP BY 1 HAVING count(DISTINCT listing_id) > 1")
 def ag18(spark, d):
-    rows = observations(spark, d).select(F.concat_ws("/", "domain", "brand", "product").alias("grp"), "listing_id", "month", "reviews")
-    return A.collapse_shared(rows, "grp", "listing_id", "month", ["reviews"])
+    shared = A.collapse_shared(observations(spark, d), ["domain", "brand", "product"], "listing_id", "month", ["reviews"])
+    return shared.select(F.concat_ws("/", "domain", "brand", "product").alias("grp"), "listings")
 
 
 @query("ag19_combined_label", "SELECT p_brand AS brand, string_agg(size, ', ' ORDER BY size) AS packs FROM (SELECT DISTINCT p_brand, lpad(CAST(p_size AS VARCHAR), 2, '0') AS size FROM part) GROUP BY 1")
@@ -122,11 +122,11 @@ def ag19(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(packs.alias("packs"))
 
 
-@query("ag20_majority_vote", """WITH v AS (SELECT o_orderkey % 400 AS k, o_orderkey AS pos, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS vote FROM orders WHERE o_orderkey < 1200),
+@query("ag20_majority_vote", """WITH v AS (SELECT o_orderkey // 3 AS k, o_orderkey AS pos, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS vote FROM orders),
   c AS (SELECT k, vote, count(*) AS n, min(pos) AS first_at FROM v WHERE vote IS NOT NULL GROUP BY 1, 2), t AS (SELECT k, vote, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN n >= 2 THEN 0 ELSE 1 END, first_at) AS r FROM c)
   SELECT d.k, coalesce(t.vote, 'unknown') AS vote FROM (SELECT DISTINCT k FROM v) d LEFT JOIN t ON t.k = d.k AND t.r = 1""")
 def ag20(spark, d):
-    votes = table(spark, d, "orders").filter("o_orderkey < 1200").select((F.col("o_orderkey") % 400).alias("k"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("vote"))
+    votes = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("k"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("vote"))
     return A.majority(votes, "k", "vote", "pos")
 
 

@@ -20,14 +20,23 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".example")).alias("domain"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each site, listing and month: counts of reviews and ratings, and the sum of scores in hundredths."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", month_of(F.col("l_shipdate")).alias("month"))
+def observations(spark: SparkSession, sf_dir: str, months: list[str] | None = None) -> DataFrame:
+    """One row for each site, listing and month: counts of reviews and ratings, and the sum of scores in hundredths.
+
+    Months asked for are a range of dates that the scan can skip row groups by. Lines are summed by their keys before
+    names and sites are looked up, so both joins see one row for each order's part of a listing and month at most.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if months:
+        first, after = f"{min(months)}-01", F.add_months(F.to_date(F.lit(f"{max(months)}-01")), 1)
+        lines = lines.filter((F.col("l_shipdate") >= F.lit(first).cast("date")) & (F.col("l_shipdate") < after))
+    lines = lines.select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", month_of(F.col("l_shipdate")).alias("month"))
+    lines = lines.filter(F.col("month").isin(months)) if months else lines
+    scores = F.sum((F.col("l_quantity") * 100).cast("long"))
+    orders = lines.join(sites(spark, sf_dir).withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").groupBy("domain", "l_partkey", "month", "l_orderkey").agg(F.count("*").alias("n"), scores.alias("score"))
+    listings = orders.groupBy("domain", "l_partkey", "month").agg(F.sum("n").alias("reviews"), F.count("*").alias("rating_count"), F.sum("score").alias("score_sum"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_name").alias("product"))
-    rows = lines.join(parts, "l_partkey").join(sites(spark, sf_dir).withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
-    return rows.groupBy("domain", F.col("l_partkey").cast("string").alias("listing_id"), "brand", "product", "month").agg(
-        F.count("*").alias("reviews"), F.count_distinct("l_orderkey").alias("rating_count"), F.sum((F.col("l_quantity") * 100).cast("long")).alias("score_sum")
-    )
+    return listings.join(parts, "l_partkey").select("domain", F.col("l_partkey").cast("string").alias("listing_id"), "brand", "product", "month", "reviews", "rating_count", "score_sum")
 
 
 OBS = """obs AS (

@@ -27,7 +27,7 @@ def jn02(spark, d):
 
 @query("jn03_never_executed", f"WITH {OBS}, {EXPECTED} SELECT e.domain, e.brand FROM expected e WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.domain = e.domain AND o.brand = e.brand AND o.month = '{MONTH}')")
 def jn03(spark, d):
-    done = observations(spark, d).filter(F.col("month") == MONTH)
+    done = observations(spark, d, [MONTH])
     return expected(spark, d).join(done, ["domain", "brand"], "left_anti")
 
 
@@ -51,7 +51,7 @@ def jn06(spark, d):
 
 @query("jn07_previous_record", f"WITH {OBS} SELECT n.domain, n.listing_id, n.reviews, p.reviews AS previous_reviews FROM obs n LEFT JOIN obs p ON p.domain = n.domain AND p.listing_id = n.listing_id AND p.month = '{BEFORE}' WHERE n.month = '{MONTH}'")
 def jn07(spark, d):
-    obs = observations(spark, d)
+    obs = observations(spark, d, [BEFORE, MONTH])
     before = obs.filter(F.col("month") == BEFORE).select("domain", "listing_id", F.col("reviews").alias("previous_reviews"))
     return obs.filter(F.col("month") == MONTH).join(before, ["domain", "listing_id"], "left").select("domain", "listing_id", "reviews", "previous_reviews")
 
@@ -61,9 +61,8 @@ def jn07(spark, d):
   SELECT coalesce(n.domain, o.domain) AS domain, coalesce(n.listing_id, o.listing_id) AS listing_id, coalesce(o.first_seen, n.first_seen) AS first_seen, coalesce(n.last_seen, o.last_seen) AS last_seen
   FROM old o FULL JOIN new n ON o.domain = n.domain AND o.listing_id = n.listing_id""")
 def jn08(spark, d):
-    seen = observations(spark, d)
-    span = lambda rows: rows.groupBy("domain", "listing_id").agg(F.min("month").alias("first_seen"), F.max("month").alias("last_seen"))
-    return J.upsert(span(seen.filter(F.col("month") < MONTH)), span(seen.filter(F.col("month") == MONTH)), ["domain", "listing_id"], prefer_old=("first_seen",))
+    # Both sides of the merge come of one table, so it is one aggregate of that table and no join.
+    return J.upsert_within(observations(spark, d).filter(F.col("month") <= MONTH), F.col("month") == MONTH, ["domain", "listing_id"], {"first_seen": F.min("month"), "last_seen": F.max("month")}, prefer_old=("first_seen",))
 
 
 @query("jn09_months_onto_products", f"""WITH {OBS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY domain, listing_id ORDER BY CASE WHEN month = '{MONTH}' THEN 1 ELSE 0 END DESC, month DESC) AS n FROM obs)
@@ -135,10 +134,10 @@ def jn17(spark, d):
     return J.cell_diff(cells.filter("r % 7 <> 0"), found.filter("r % 5 <> 0"), ["r", "c"], "t", "v")
 
 
-@query("jn18_undominated_variants", """WITH v AS (SELECT p_brand AS brand, p_partkey AS k, list_distinct(string_split(p_name, ' ')) AS t FROM part WHERE p_size > 40 UNION ALL SELECT p_brand, -p_partkey - 1, [split_part(p_name, ' ', 1)] FROM part WHERE p_size > 40)
+@query("jn18_undominated_variants", """WITH v AS (SELECT p_brand AS brand, p_partkey AS k, list_distinct(string_split(p_name, ' ')) AS t FROM part UNION ALL SELECT p_brand, -p_partkey - 1, [split_part(p_name, ' ', 1)] FROM part)
   SELECT brand, k FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.brand = v.brand AND len(o.t) > len(v.t) AND list_has_all(o.t, v.t))""")
 def jn18(spark, d):
-    parts = table(spark, d, "part").filter("p_size > 40")
+    parts = table(spark, d, "part")
     words = F.split("p_name", " ")
     rich = parts.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("k"), F.array_distinct(words).alias("t"))
     poor = parts.select(F.col("p_brand").alias("brand"), (-F.col("p_partkey") - 1).alias("k"), F.array(F.element_at(words, 1)).alias("t"))
@@ -200,10 +199,10 @@ def st02(spark, d):
     return found.groupBy("id").agg(F.min("rank").alias("source_rank"))
 
 
-@query("st03_except_both_ways", "SELECT k, 'missing' AS side FROM (SELECT p_size % 50 AS k FROM part WHERE p_partkey % 3 = 0 EXCEPT ALL SELECT p_size % 50 FROM part WHERE p_partkey % 3 = 1) UNION ALL SELECT k, 'extra' FROM (SELECT p_size % 50 AS k FROM part WHERE p_partkey % 3 = 1 EXCEPT ALL SELECT p_size % 50 FROM part WHERE p_partkey % 3 = 0)")
+@query("st03_except_both_ways", "SELECT k, 'missing' AS side FROM (SELECT p_size AS k FROM part EXCEPT ALL SELECT p_partkey % 60 FROM part) UNION ALL SELECT k, 'extra' FROM (SELECT p_partkey % 60 AS k FROM part EXCEPT ALL SELECT p_size FROM part)")
 def st03(spark, d):
-    side = lambda r: table(spark, d, "part").filter(F.col("p_partkey") % 3 == r).select((F.col("p_size") % 50).alias("k"))
-    a, b = side(0), side(1)
+    side = lambda k: table(spark, d, "part").select(k.cast("long").alias("k"))
+    a, b = side(F.col("p_size")), side(F.col("p_partkey") % 60)
     return a.exceptAll(b).withColumn("side", F.lit("missing")).union(b.exceptAll(a).withColumn("side", F.lit("extra")))
 
 

@@ -29,7 +29,7 @@ def run(spark, d) -> Q.Run:
     picked = lambda condition: pair.filter(condition).select("domain", "brand")
     exclusions = picked("discovered % 14 = 0").union(picked("discovered % 28 = 0")).union(picked("discovered % 17 = 3")).union(spark.createDataFrame([("stray.example", "Brand#1")], "domain string, brand string"))
     q = F.expr("score_sum div 100")
-    obs = observations(spark, d).filter(F.col("month") == MONTH)
+    obs = observations(spark, d, [MONTH])
     seen = obs.select(
         "domain", F.when(q == 41, "").otherwise(F.col("listing_id")).alias("listing_id"), "brand",
         F.when(q % 13 == 0, None).when(q % 10 < 6, F.col("reviews")).otherwise(0).alias("reviews"), F.when((q % 10 < 7) & (q % 4 != 0), rating()).alias("rating"),

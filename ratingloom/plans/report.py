@@ -12,20 +12,22 @@ from .bindings import OBS, RATING, observations, rating, table
 
 MONTHS = ["1998-04", "1998-05", "1998-06"]
 IN_MONTHS = "month IN ('1998-04', '1998-05', '1998-06')"
-SHOWN = f"{OBS}, s AS (SELECT domain, brand, listing_id, product, month, greatest(reviews, rating_count) AS feedback, {RATING} AS rating FROM obs WHERE {IN_MONTHS})"
+ALL = f"{OBS}, s AS (SELECT domain, brand, listing_id, product, month, greatest(reviews, rating_count) AS feedback, {RATING} AS rating FROM obs)"
+SHOWN = f"{ALL[:-1]} WHERE {IN_MONTHS})"
 
 
-def shown(spark, d):
-    obs = observations(spark, d).filter(F.col("month").isin(MONTHS))
+def shown(spark, d, months: list[str] | None = None):
+    """Feedback of every observation, or of those of the months that a report has columns for."""
+    obs = observations(spark, d, months)
     return obs.select("domain", "brand", "listing_id", "product", "month", F.greatest("reviews", "rating_count").alias("feedback"), rating().alias("rating"))
 
 
 TOTALS = "CAST(sum(feedback) AS BIGINT) AS reviews, count(*) FILTER (rating >= 400 AND feedback > 0) AS high, count(*) FILTER (rating < 400 AND feedback > 0) AS low, count(*) FILTER (feedback = 0 AND rating IS NULL) AS none"
 
 
-@query("flagship", f"WITH {SHOWN}, t AS (SELECT domain, brand, month, {TOTALS} FROM s GROUP BY 1, 2, 3) SELECT *, CAST(coalesce((high * 10000) // nullif(high + low + none, 0), 0) AS BIGINT) AS high_share FROM t")
+@query("flagship", f"WITH {ALL}, t AS (SELECT domain, brand, month, {TOTALS} FROM s GROUP BY 1, 2, 3) SELECT *, CAST(coalesce((high * 10000) // nullif(high + low + none, 0), 0) AS BIGINT) AS high_share FROM t")
 def flagship(spark, d):
-    """Feedback and rating classes of every site, brand and month of the report."""
+    """Feedback and rating classes of every site, brand and month."""
     return R.month_totals(shown(spark, d), ["domain", "brand", "month"], "feedback", "rating")
 
 
@@ -33,7 +35,7 @@ def flagship(spark, d):
   SELECT domain, listing_id, product, first_seen, last_seen, """ + ", ".join(f"\"{m}_{x}\"" for m in MONTHS for x in ("feedback", "rating")) + """, row_number() OVER (PARTITION BY domain ORDER BY product, listing_id) AS row, NULL AS n_products FROM w
   UNION ALL SELECT domain, NULL, NULL, NULL, NULL, """ + ", ".join("NULL" for _ in range(6)) + ", 0, count(*) FROM p GROUP BY domain")
 def rsh06(spark, d):
-    rows = shown(spark, d)
+    rows = shown(spark, d, MONTHS)
     key = ["domain", "listing_id"]
     products = R.merge_months(rows, key, "month", MONTHS[-1], ["feedback", "rating"], ["product"])
     return R.report_rows(products, R.month_columns(rows, key, "month", MONTHS, ["feedback", "rating"]), key, "domain", ["product", "listing_id"])

@@ -62,22 +62,27 @@ def prj12(spark, d):
     return table(spark, d, "orders").filter(P.a_person_can_confirm(status, F.col("o_custkey"), problem)).select("o_orderkey")
 
 
-@query("ex02_next_pages", "SELECT page_id, url || '/next?page=2' AS next FROM (SELECT page_id, 'https://s' || page_id || '.example' AS url FROM pages)")
+@query("ex02_next_pages", "SELECT page_id, concat('https://s', page_id, '.example/', CASE WHEN page_id % 3 = 0 THEN 'next' ELSE 'list' END, '?page=', page_id % 5 + 2) AS next FROM pages WHERE page_id % 4 <> 3")
 def ex02(spark, d):
-    url = F.concat(F.lit("https://s"), F.col("page_id").cast("string"), F.lit(".example"))
-    html = F.lit('<a href="/next?page=2">2</a> <a href="/about">about</a> <a href="https://other.example/?page=3">3</a>')
-    return R.next_pages(table(spark, d, "pages").select("page_id", url.alias("url"), html.alias("html")))
+    """Links of a made-up page for each page: one that leads on, unless it leads to another site; a bare one and a relative one."""
+    site = "concat('https://', CASE WHEN page_id % 4 = 3 THEN 'other' ELSE concat('s', page_id) END, '.example')"
+    onward = f"concat('<a href=\"', CASE WHEN page_id % 4 = 3 THEN {site} ELSE '' END, CASE WHEN page_id % 3 = 0 THEN '/next' ELSE '/list' END, '?page=', page_id % 5 + 2, '#top\">2</a>')"
+    html = F.expr(f"concat('<a href=\"/about\">about</a> ', {onward}, ' <a class=\"x\" href=\"/item/', page_id, '\">item</a>')")
+    return R.next_pages(table(spark, d, "pages").select("page_id", F.expr("concat('https://s', page_id, '.example')").alias("url"), html.alias("html")))
 
 
-@query("ex04_absolute_links", "SELECT page_id, 'https://a.example/x/' || page_id AS link FROM pages")
+@query("ex04_absolute_links", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat(regexp_extract(u, '^(https://[^/]+)', 1), '/x/', page_id) WHEN 1 THEN concat('https:', regexp_extract(u, '^https:(//[^/]+)', 1), '/y') WHEN 2 THEN concat(regexp_replace(u, '/[^/]*$', ''), '/z') END AS link FROM (SELECT page_id, concat('https://', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '/list/', page_id) AS u FROM pages)")
 def ex04(spark, d):
-    return table(spark, d, "pages").select("page_id", R.absolute(F.concat(F.lit("/x/"), F.col("page_id").cast("string"), F.lit("#top")), F.lit("https://a.example/list/1?b=2")).alias("link"))
+    """Rooted, scheme-less and relative links of every page's own address; those of another site are none."""
+    base = F.concat(F.lit("https://"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("/list/"), F.col("page_id").cast("string"))
+    href = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("/x/"), F.col("page_id").cast("string"), F.lit("#top"))).when(F.col("page_id") % 4 == 1, F.concat(F.regexp_extract(base, "^https:(//[^/]+)", 1), F.lit("/y"))).when(F.col("page_id") % 4 == 2, "z").otherwise("https://elsewhere.example/z")
+    return table(spark, d, "pages").select("page_id", R.absolute(href, base).alias("link"))
 
 
-@query("ex06_telling_attributes", "SELECT k, name FROM (VALUES (1, 'Форма выпуска'), (2, 'Дозировка'), (5, 'Pack size')) v(k, name)")
+@query("ex06_telling_attributes", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Форма выпуска' WHEN 1 THEN 'Дозировка' ELSE 'Pack size' END AS name FROM part WHERE p_partkey % 6 IN (0, 1, 4)")
 def ex06(spark, d):
-    names = ["Форма выпуска", "Дозировка", "Цена за упаковку", "Отзывы", "Pack size"]
-    return R.telling_attributes(spark.createDataFrame(list(enumerate(names, 1)), "k int, name string"))
+    name = "CASE p_partkey % 6 WHEN 0 THEN 'Форма выпуска' WHEN 1 THEN 'Дозировка' WHEN 2 THEN 'Цена за упаковку' WHEN 3 THEN 'Отзывы' WHEN 4 THEN 'Pack size' ELSE p_name END"
+    return R.telling_attributes(table(spark, d, "part").select("p_partkey", F.expr(name).alias("name")))
 
 
 @query("ex18_readiness", "SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') AS read, count(*) FILTER (o_orderstatus = 'P') AS waiting, count(*) = count(*) FILTER (o_orderstatus <> 'P') AS ready FROM orders GROUP BY 1")

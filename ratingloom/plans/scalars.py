@@ -13,13 +13,13 @@ from ..registry import query
 from .bindings import OBS, RATING, observations, rating, table
 
 
-def values(rows: list[tuple]) -> str:
-    """The rows as an SQL VALUES list."""
-    lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+def written(spark, d, name: str, key: str, **texts: str):
+    """key and texts written of a whole table by expressions that both engines read alike."""
+    return table(spark, d, name).select(F.col(key).alias("k"), *[F.expr(text).alias(c) for c, text in texts.items()])
 
 
-NAMES = [(1, "Арбидол Максимум"), (2, "Ёжик — лучший"), (3, "Хилак-форте №30"), (4, "Цитовир 3"), (5, "Щёлочь"), (6, "Plain  name"), (7, None), (8, "")]
+#: Latin letters of product names as Cyrillic ones, in front of what only Cyrillic has.
+CYRILLIC = "concat(translate(lower(p_name), 'abcdefghiklmnoprstuvz', 'абцдефгхиклмнопрстувз'), CASE p_partkey % 4 WHEN 0 THEN ' щёлочь' WHEN 1 THEN ' Ёжик — юла' WHEN 2 THEN ' подъём №30' ELSE ' жучья шея' END)"
 LATIN_SQL = "regexp_replace(" + "".join("replace(" for _ in range(6)) + "translate(lower(t), 'абвгдеёзийклмнопрстуфхыэъь', 'abvgdeeziyklmnoprstufhye')" + "".join(f", '{a}', '{b}')" for a, b in (("ж", "zh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "sch"), ("ю", "yu"))) + ", 'я', 'ya', 'g')"
 FOLD_SQL = "trim(regexp_replace(regexp_replace(replace(lower({0}), 'ё', 'е'), '[‐‑‒–—−-]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -29,9 +29,9 @@ def sf01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_text(F.col("text")), 256).alias("folded"))
 
 
-@query("sf03_transliterate", f"SELECT k, {LATIN_SQL} AS latin FROM (VALUES {values(NAMES)}) v(k, t)")
+@query("sf03_transliterate", f"SELECT k, {LATIN_SQL} AS latin FROM (SELECT p_partkey AS k, {CYRILLIC} AS t FROM part)")
 def sf03(spark, d):
-    return spark.createDataFrame(NAMES, "k int, t string").select("k", T.transliterate(F.lower("t")).alias("latin"))
+    return written(spark, d, "part", "p_partkey", t=CYRILLIC).select("k", T.transliterate(F.lower("t")).alias("latin"))
 
 
 @query("sf04_brand_slugs", "SELECT DISTINCT p_brand, replace(" + FOLD_SQL.format("p_brand") + ", ' ', '-') AS slug FROM part")
@@ -77,12 +77,12 @@ def sf13(spark, d):
     return table(spark, d, "part").select("p_brand").distinct().select("p_brand", plain.alias("raw"), T.tab_name(raw).alias("tab"))
 
 
-FORMULAS = [(1, "=сумм(A1; B2)"), (2, "=IFERROR(COUNTIFS(A:A;\">0\")/ 2;0)"), (3, "=ЕСЛИОШИБКА(СЧЁТЕСЛИ(A1:A9;1);0)"), (4, None)]
+FORMULA = "CASE o_orderkey % 4 WHEN 0 THEN concat('=сумм(A', o_custkey, '; B2)') WHEN 1 THEN concat('=IFERROR(COUNTIFS(A:A;>', o_custkey, ')/ 2;0)') WHEN 2 THEN concat('=ЕСЛИОШИБКА(СЧЁТЕСЛИ(A1:A', o_custkey, ';1);0)') END"
 
 
-@query("sf14_formulas", f"SELECT k, replace(replace(replace(replace(replace(replace(regexp_replace(upper(t), '\\s+', '', 'g'), 'СУММ(', 'SUM('), 'СЧЁТЕСЛИМН(', 'COUNTIFS('), 'СЧЁТЕСЛИ(', 'COUNTIF('), 'ЕСЛИОШИБКА(', 'IFERROR('), 'ЕСЛИ(', 'IF('), ';', ',') AS formula FROM (VALUES {values(FORMULAS)}) v(k, t)")
+@query("sf14_formulas", f"SELECT k, replace(replace(replace(replace(replace(replace(regexp_replace(upper(t), '\\s+', '', 'g'), 'СУММ(', 'SUM('), 'СЧЁТЕСЛИМН(', 'COUNTIFS('), 'СЧЁТЕСЛИ(', 'COUNTIF('), 'ЕСЛИОШИБКА(', 'IFERROR('), 'ЕСЛИ(', 'IF('), ';', ',') AS formula FROM (SELECT o_orderkey AS k, {FORMULA} AS t FROM orders)")
 def sf14(spark, d):
-    return spark.createDataFrame(FORMULAS, "k int, t string").select("k", T.formula(F.col("t")).alias("formula"))
+    return written(spark, d, "orders", "o_orderkey", t=FORMULA).select("k", T.formula(F.col("t")).alias("formula"))
 
 
 @query("nf01_rating_to_five", f"WITH {OBS} SELECT domain, listing_id, month, {RATING} AS rating_x100 FROM obs")
@@ -90,34 +90,34 @@ def nf01(spark, d):
     return observations(spark, d).select("domain", "listing_id", "month", rating().alias("rating_x100"))
 
 
-COUNTS = [(1, "1,2 тыс"), (2, "3k"), (3, "2 млн"), (4, "154"), (5, "0,5 тыс."), (6, "many"), (7, None), (8, "12 x")]
+COUNT = "CASE o_orderkey % 7 WHEN 0 THEN concat(o_custkey % 90, ',', o_custkey % 10, ' тыс') WHEN 1 THEN concat(o_custkey % 900, 'k') WHEN 2 THEN concat(o_custkey % 9, ' млн') WHEN 3 THEN concat(o_custkey, '') WHEN 4 THEN concat('0,', o_custkey % 10, ' тыс.') WHEN 5 THEN concat('many ', o_custkey) ELSE concat(o_custkey, ' x') END"
 
 
-@query("nf02_compact_counts", f"SELECT k, CAST(round(CAST(replace(nullif(regexp_extract(l, '^(\\d+(?:[.,]\\d+)?)', 1), ''), ',', '.') AS DECIMAL(18,6)) * CASE regexp_extract(l, '^\\d+(?:[.,]\\d+)?\\s*([a-zа-я]*)', 1) WHEN 'тыс' THEN 1000 WHEN 'k' THEN 1000 WHEN 'к' THEN 1000 WHEN 'млн' THEN 1000000 WHEN 'm' THEN 1000000 WHEN 'м' THEN 1000000 WHEN '' THEN 1 END) AS BIGINT) AS n FROM (SELECT k, lower(trim(t)) AS l FROM (VALUES {values(COUNTS)}) v(k, t))")
+@query("nf02_compact_counts", f"SELECT k, CAST(round(CAST(replace(nullif(regexp_extract(l, '^(\\d+(?:[.,]\\d+)?)', 1), ''), ',', '.') AS DECIMAL(18,6)) * CASE regexp_extract(l, '^\\d+(?:[.,]\\d+)?\\s*([a-zа-я]*)', 1) WHEN 'тыс' THEN 1000 WHEN 'k' THEN 1000 WHEN 'к' THEN 1000 WHEN 'млн' THEN 1000000 WHEN 'm' THEN 1000000 WHEN 'м' THEN 1000000 WHEN '' THEN 1 END) AS BIGINT) AS n FROM (SELECT k, lower(trim(t)) AS l FROM (SELECT o_orderkey AS k, {COUNT} AS t FROM orders))")
 def nf02(spark, d):
-    return spark.createDataFrame(COUNTS, "k int, t string").select("k", N.compact_count(F.col("t")).alias("n"))
+    return written(spark, d, "orders", "o_orderkey", t=COUNT).select("k", N.compact_count(F.col("t")).alias("n"))
 
 
-NUMBERS = [(1, "4,75"), (2, "1 234"), (3, " 12.5 "), (4, "x1"), (5, "-3"), (6, None), (7, ""), (8, "оценка 4,9 из 5")]
+NUMBER = "CASE o_orderkey % 7 WHEN 0 THEN concat(o_custkey % 100, ',', 10 + o_custkey % 90) WHEN 1 THEN concat(1 + o_custkey % 9, ' ', 100 + o_orderkey % 900) WHEN 2 THEN concat(' ', o_custkey, '.5 ') WHEN 3 THEN concat('x', o_custkey) WHEN 4 THEN concat('-', o_custkey) WHEN 5 THEN concat('оценка ', o_custkey % 5, ',', o_custkey % 10, ' из 5') ELSE '' END"
 
 
-@query("nf03_locale_numbers", f"SELECT k, CASE WHEN regexp_matches(s, '^-?\\d+([.]\\d+)?$') THEN CAST(round(CAST(s AS DOUBLE) * 100) AS BIGINT) END AS whole_x100, CASE WHEN f <> '' THEN CAST(round(CAST(replace(f, ',', '.') AS DOUBLE) * 100) AS BIGINT) END AS first_x100 FROM (SELECT k, replace(regexp_replace(t, '[\\s ]+', '', 'g'), ',', '.') AS s, regexp_extract(t, '(\\d+(?:[.,]\\d+)?)', 1) AS f FROM (VALUES {values(NUMBERS)}) v(k, t))")
+@query("nf03_locale_numbers", f"SELECT k, CASE WHEN regexp_matches(s, '^-?\\d+([.]\\d+)?$') THEN CAST(round(CAST(s AS DOUBLE) * 100) AS BIGINT) END AS whole_x100, CASE WHEN f <> '' THEN CAST(round(CAST(replace(f, ',', '.') AS DOUBLE) * 100) AS BIGINT) END AS first_x100 FROM (SELECT k, replace(regexp_replace(t, '[\\s ]+', '', 'g'), ',', '.') AS s, regexp_extract(t, '(\\d+(?:[.,]\\d+)?)', 1) AS f FROM (SELECT o_orderkey AS k, {NUMBER} AS t FROM orders))")
 def nf03(spark, d):
-    rows = spark.createDataFrame(NUMBERS, "k int, t string")
+    rows = written(spark, d, "orders", "o_orderkey", t=NUMBER)
     return rows.select("k", F.round(N.plain_number(F.col("t")) * 100).cast("long").alias("whole_x100"), F.round(N.number_in(F.col("t")) * 100).cast("long").alias("first_x100"))
 
 
-@query("nf04_strict_values", f"SELECT k, CASE WHEN regexp_matches(trim(t), '^\\d{{1,9}}$') THEN CAST(trim(t) AS INTEGER) END AS n FROM (VALUES {values(NUMBERS + COUNTS)}) v(k, t)")
+@query("nf04_strict_values", f"SELECT k, CASE WHEN regexp_matches(trim(t), '^\\d{{1,9}}$') THEN CAST(trim(t) AS INTEGER) END AS n FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN {NUMBER} ELSE {COUNT} END AS t FROM orders)")
 def nf04(spark, d):
-    return spark.createDataFrame(NUMBERS + COUNTS, "k int, t string").select("k", N.strict_count(F.col("t")).alias("n"))
+    return written(spark, d, "orders", "o_orderkey", t=f"CASE WHEN o_orderkey % 2 = 0 THEN {NUMBER} ELSE {COUNT} END").select("k", N.strict_count(F.col("t")).alias("n"))
 
 
-SKUS = [(1, "00123"), (2, " 12 345 "), (3, "0"), (4, "A12"), (5, None), (6, "9876543210")]
+SKU = "CASE p_partkey % 5 WHEN 0 THEN concat('00', p_partkey) WHEN 1 THEN concat(' ', p_partkey, ' ', 100 + p_size, ' ') WHEN 2 THEN '0' WHEN 3 THEN concat('A', p_partkey) ELSE concat(p_partkey, '9876543210') END"
 
 
-@query("nf06_sku", f"SELECT k, CASE WHEN regexp_matches(s, '^\\d{{1,18}}$') THEN s END AS sku FROM (SELECT k, ltrim(regexp_replace(t, '\\s+', '', 'g'), '0') AS s FROM (VALUES {values(SKUS)}) v(k, t))")
+@query("nf06_sku", f"SELECT k, CASE WHEN regexp_matches(s, '^\\d{{1,18}}$') THEN s END AS sku FROM (SELECT k, ltrim(regexp_replace(t, '\\s+', '', 'g'), '0') AS s FROM (SELECT p_partkey AS k, {SKU} AS t FROM part))")
 def nf06(spark, d):
-    return spark.createDataFrame(SKUS, "k int, t string").select("k", N.sku(F.col("t")).alias("sku"))
+    return written(spark, d, "part", "p_partkey", t=SKU).select("k", N.sku(F.col("t")).alias("sku"))
 
 
 @query("nf07_id_buckets", "SELECT p_partkey, CASE WHEN p_partkey <= 143 THEN 1 WHEN p_partkey <= 287 THEN 2 WHEN p_partkey <= 431 THEN 3 WHEN p_partkey <= 1061 THEN 4 ELSE 5 END AS bucket, p_partkey // 100 AS volume FROM part")
@@ -125,21 +125,22 @@ def nf07(spark, d):
     return table(spark, d, "part").select("p_partkey", N.bucket_of(F.col("p_partkey"), [143, 287, 431, 1061]).alias("bucket"), F.floor(F.col("p_partkey") / 100).alias("volume"))
 
 
-SCORES = [(1, "4,8 • 123 отзыва"), (2, "5 • 1 204 отзыва"), (3, "нет отзывов"), (4, None), (5, "3.45 · 7")]
+SCORE = "CASE o_orderkey % 4 WHEN 0 THEN concat(o_custkey % 5, ',', o_custkey % 10, ' • ', o_custkey, ' отзыва') WHEN 1 THEN concat('5 • ', 1 + o_custkey % 9, ' ', 100 + o_orderkey % 900, ' отзыва') WHEN 2 THEN 'нет отзывов' ELSE concat(o_custkey % 5, '.', 10 + o_custkey % 90, ' · ', o_custkey % 50) END"
 
 
-@query("nf08_score_and_count", f"SELECT k, CAST(CAST(replace(nullif(regexp_extract(t, '^\\s*(\\d(?:[.,]\\d{{1,2}})?)\\s*[•·]', 1), ''), ',', '.') AS DECIMAL(3,2)) * 100 AS BIGINT) AS rating_x100, CAST(nullif(regexp_replace(regexp_extract(t, '[•·]\\s*(\\d[\\d\\s ]*)', 1), '[\\s ]+', '', 'g'), '') AS BIGINT) AS n FROM (VALUES {values(SCORES)}) v(k, t)")
+@query("nf08_score_and_count", f"SELECT k, CAST(CAST(replace(nullif(regexp_extract(t, '^\\s*(\\d(?:[.,]\\d{{1,2}})?)\\s*[•·]', 1), ''), ',', '.') AS DECIMAL(3,2)) * 100 AS BIGINT) AS rating_x100, CAST(nullif(regexp_replace(regexp_extract(t, '[•·]\\s*(\\d[\\d\\s ]*)', 1), '[\\s ]+', '', 'g'), '') AS BIGINT) AS n FROM (SELECT o_orderkey AS k, {SCORE} AS t FROM orders)")
 def nf08(spark, d):
     found = N.score_and_count(F.col("t"))
-    return spark.createDataFrame(SCORES, "k int, t string").select("k", (found["rating"] * 100).cast("long").alias("rating_x100"), found["count"].alias("n"))
+    return written(spark, d, "orders", "o_orderkey", t=SCORE).select("k", (found["rating"] * 100).cast("long").alias("rating_x100"), found["count"].alias("n"))
 
 
-MASSES = [(1, "0,5", "мг"), (2, "1,5", "г"), (3, "250", "мкг"), (4, "22,5", "гр"), (5, "3", "шт"), (6, None, "мг")]
+MASS = "CASE WHEN o_orderkey % 9 > 0 THEN concat(o_custkey % 500, ',', o_orderkey % 10) END"
+MASS_UNIT = "CASE o_custkey % 5 WHEN 0 THEN 'мг' WHEN 1 THEN 'г' WHEN 2 THEN 'мкг' WHEN 3 THEN 'гр' ELSE 'шт' END"
 
 
-@query("nf09_masses", f"SELECT k, CAST(CAST(replace(n, ',', '.') AS DECIMAL(18,4)) * CASE u WHEN 'мкг' THEN 1 WHEN 'мг' THEN 1000 WHEN 'г' THEN 1000000 WHEN 'гр' THEN 1000000 END AS BIGINT) AS ug FROM (VALUES {values(MASSES)}) v(k, n, u)")
+@query("nf09_masses", f"SELECT k, CAST(trunc(CAST(replace(n, ',', '.') AS DECIMAL(18,4)) * CASE u WHEN 'мкг' THEN 1 WHEN 'мг' THEN 1000 WHEN 'г' THEN 1000000 WHEN 'гр' THEN 1000000 END) AS BIGINT) AS ug FROM (SELECT o_orderkey AS k, {MASS} AS n, {MASS_UNIT} AS u FROM orders)")
 def nf09(spark, d):
-    return spark.createDataFrame(MASSES, "k int, n string, u string").select("k", N.micrograms(F.replace("n", F.lit(","), F.lit(".")), F.col("u")).alias("ug"))
+    return written(spark, d, "orders", "o_orderkey", n=MASS, u=MASS_UNIT).select("k", N.micrograms(F.replace("n", F.lit(","), F.lit(".")), F.col("u")).alias("ug"))
 
 
 @query("nf10_rating_text", "SELECT p_size, CASE WHEN h IS NULL THEN '—' WHEN h % 100 = 0 THEN CAST(h // 100 AS VARCHAR) WHEN h % 10 = 0 THEN CAST(h // 100 AS VARCHAR) || ',' || CAST(h % 100 // 10 AS VARCHAR) ELSE CAST(h // 100 AS VARCHAR) || ',' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') END AS shown FROM (SELECT DISTINCT p_size, CASE WHEN p_size % 7 <> 0 THEN p_size * 10 - p_size % 3 END AS h FROM part)")
@@ -175,12 +176,13 @@ def df03(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.least(m, F.lit("1997-06")).alias("earlier"), F.greatest(m, F.lit("1997-06")).alias("later"))
 
 
-STAMPS = [(1, "2026-07-01T10:00:00Z"), (2, "2026-07-01T10:00:00+03:00"), (3, "2026-07-01"), (4, "soon"), (5, None)]
-
-
-@query("df04_instants", f"SELECT k, CASE k WHEN 1 THEN '1782900000' WHEN 2 THEN '1782889200' END AS seconds FROM (VALUES {values(STAMPS)}) v(k, t)")
+@query("df04_instants", "SELECT event_id AS k, CAST(CASE event_id % 5 WHEN 0 THEN epoch(date_trunc('second', ts)) WHEN 1 THEN epoch(date_trunc('second', ts)) - 10800 WHEN 2 THEN epoch(date_trunc('second', ts)) + 19800 END AS BIGINT) AS seconds FROM events")
 def df04(spark, d):
-    return spark.createDataFrame(STAMPS, "k int, t string").select("k", F.unix_timestamp(D.instant(F.col("t"))).cast("string").alias("seconds"))
+    """Instants with a zone are read; a day alone and words are none."""
+    local = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(F.col("event_id") % 5 == 0, "Z").when(F.col("event_id") % 5 == 1, "+03:00").otherwise("-05:30")
+    text = F.when(F.col("event_id") % 5 < 3, F.concat(local, zone)).when(F.col("event_id") % 5 == 3, F.substring(local, 1, 10)).otherwise("soon")
+    return table(spark, d, "events").select(F.col("event_id").alias("k"), F.unix_timestamp(D.instant(text)).alias("seconds"))
 
 
 @query("uf01_canonical_url", """WITH q AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages), p AS (SELECT page_id, regexp_replace(bare, '\\?.*$', '') AS path, list_filter(string_split(CASE WHEN contains(bare, '?') THEN regexp_extract(bare, '\\?(.*)$', 1) ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|yclid$|gclid$|srsltid$|at$|from$|ref)')) AS kept FROM q)
@@ -199,17 +201,18 @@ def uf03(spark, d):
     return table(spark, d, "pages").select("page_id", U.same_site(U.host(F.col("url")), F.lit("example.com")).alias("same"))
 
 
-LINKS = [(1, "https://www.ozon.ru/product/name-123456/"), (2, "https://www.wildberries.ru/catalog/77/detail.aspx"), (3, "https://market.yandex.ru/product--x/5--99"), (4, "https://other.example/a"), (5, "https://docs.google.com/spreadsheets/d/abc_DEF-1/edit"), (6, "http://10.0.0.1/x"), (7, "https://u@h.example/"), (8, "https://h.example:8443/")]
+LINK = "CASE p_partkey % 8 WHEN 0 THEN concat('https://www.ozon.ru/product/name-', p_partkey, '/') WHEN 1 THEN concat('https://www.wildberries.ru/catalog/', p_partkey, '/detail.aspx') WHEN 2 THEN concat('https://market.yandex.ru/product--x/5--', p_partkey) WHEN 3 THEN concat('https://other.example/a/', p_partkey) WHEN 4 THEN concat('https://docs.google.com/spreadsheets/d/abc_DEF-', p_partkey, '/edit') WHEN 5 THEN concat('http://10.0.0.', p_size, '/x') WHEN 6 THEN concat('https://u@h.example/', p_partkey) ELSE concat('https://h.example:', CASE WHEN p_size % 2 = 0 THEN 443 ELSE 8443 END, '/', p_partkey) END"
+LINKED = f"(SELECT p_partkey AS k, p_size, {LINK} AS t FROM part)"
 
 
-@query("uf04_listing_ids", f"SELECT k, CASE k WHEN 1 THEN '123456' WHEN 2 THEN '77' WHEN 3 THEN '99' ELSE substr(sha256(t), 1, 20) END AS id FROM (VALUES {values(LINKS)}) v(k, t)")
+@query("uf04_listing_ids", f"SELECT k, CASE WHEN contains(t, '/product/name-') OR contains(t, 'wildberries') OR contains(t, '--') THEN CAST(k AS VARCHAR) ELSE substr(sha256(t), 1, 20) END AS id FROM {LINKED}")
 def uf04(spark, d):
-    return spark.createDataFrame(LINKS, "k int, t string").select("k", U.listing_id(F.col("t")).alias("id"))
+    return written(spark, d, "part", "p_partkey", t=LINK).select("k", U.listing_id(F.col("t")).alias("id"))
 
 
-@query("uf05_spreadsheet_ids", f"SELECT k, nullif(regexp_extract(t, '^https://docs\\.google\\.com/spreadsheets/d/([a-zA-Z0-9_-]+)', 1), '') AS id FROM (VALUES {values(LINKS)}) v(k, t)")
+@query("uf05_spreadsheet_ids", f"SELECT k, CASE WHEN starts_with(t, 'https://docs.google.com/spreadsheets/d/') THEN split_part(t, '/', 6) END AS id FROM {LINKED}")
 def uf05(spark, d):
-    return spark.createDataFrame(LINKS, "k int, t string").select("k", U.spreadsheet_id(F.col("t")).alias("id"))
+    return written(spark, d, "part", "p_partkey", t=LINK).select("k", U.spreadsheet_id(F.col("t")).alias("id"))
 
 
 @query("uf06_product_urls", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'https://www.wildberries.ru/catalog/' || p_partkey || '/detail.aspx' WHEN 1 THEN 'https://www.ozon.ru/product/' || p_partkey || '/' END AS url FROM part")
@@ -246,17 +249,20 @@ def uf11(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.tags(F.col("html"), {"script": "<script", "table": "<table", "json-ld": "ld\\+json"}), ",").alias("signals"))
 
 
-DOMAINS = [(1, "https://www.Ozon.ru/x"), (2, "reviews.yandex.ru"), (3, "my-apteka.example"), (4, "www.shop.example"), (5, "zdrav.city"), (6, "rigla.ru")]
+#: Addresses of pages, and of sites that the report puts in sections, in the ways that they are written.
+SITE = "CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN concat('https://www.Ozon.ru/x/', page_id) WHEN 2 THEN 'reviews.yandex.ru' WHEN 3 THEN concat('my-apteka.s', page_id, '.example') WHEN 4 THEN concat(' WWW.shop', page_id, '.example:443/a?b#c ') WHEN 5 THEN 'zdrav.city' ELSE concat('http://rigla.ru/', page_id) END"
+BARE = "regexp_replace(regexp_extract(lower(trim(t)), '^(?:[a-z]+://)?(?:www\\.)?([^/?#:]+)', 1), '^reviews\\.', 'market.')"
+SITED = f"(SELECT page_id AS k, {BARE} AS domain FROM (SELECT page_id, {SITE} AS t FROM pages))"
 
 
-@query("prj01_domains", f"SELECT k, regexp_replace(regexp_extract(lower(trim(t)), '^(?:[a-z]+://)?(?:www\\.)?([^/?#:]+)', 1), '^reviews\\.', 'market.') AS domain FROM (VALUES {values(DOMAINS)}) v(k, t)")
+@query("prj01_domains", f"SELECT k, domain FROM {SITED}")
 def prj01(spark, d):
-    return spark.createDataFrame(DOMAINS, "k int, t string").select("k", U.domain(F.col("t")).alias("domain"))
+    return written(spark, d, "pages", "page_id", t=SITE).select("k", U.domain(F.col("t")).alias("domain"))
 
 
-@query("prj02_categories", f"SELECT k, CASE k WHEN 1 THEN 'marketplaces' WHEN 2 THEN 'marketplaces' WHEN 3 THEN 'pharmacies' WHEN 5 THEN 'pharmacies' WHEN 6 THEN 'pharmacies' ELSE 'review-sites' END AS category FROM (VALUES {values(DOMAINS)}) v(k, t)")
+@query("prj02_categories", f"SELECT k, CASE WHEN domain IN ('ozon.ru', 'market.yandex.ru') THEN 'marketplaces' WHEN domain = 'rigla.ru' OR list_has_any(string_split(replace(domain, '-', '.'), '.'), ['apteka', 'pharm', 'farm', 'zdrav', 'drugstore']) THEN 'pharmacies' ELSE 'review-sites' END AS category FROM {SITED}")
 def prj02(spark, d):
-    return spark.createDataFrame(DOMAINS, "k int, t string").select("k", P.category(U.domain(F.col("t"))).alias("category"))
+    return written(spark, d, "pages", "page_id", t=SITE).select("k", P.category(U.domain(F.col("t"))).alias("category"))
 
 
 @query("prj03_platform_labels", "SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'First' WHEN 'NATION_2' THEN 'Second' ELSE n_name END AS label FROM nation")
@@ -298,12 +304,12 @@ def prj13(spark, d):
     return table(spark, d, "orders").select("o_orderkey", P.first_case(cases, "none").alias("reason"))
 
 
-MESSAGES = [(1, "quota_exceeded for today"), (2, "HTTP 403 Forbidden"), (3, "captcha shown"), (4, "unexpected token in JSON"), (5, "лимит запросов исчерпан"), (6, None)]
+MESSAGE = "CASE event_id % 7 WHEN 0 THEN concat('quota_exceeded for ', event_type) WHEN 1 THEN concat('HTTP ', CASE WHEN user_id % 2 = 0 THEN 403 ELSE 404 END, ' at ', user_id) WHEN 2 THEN concat(event_type, ': Captcha shown') WHEN 3 THEN concat('unexpected token in JSON at ', user_id) WHEN 4 THEN concat('лимит запросов ', user_id, ' исчерпан') WHEN 5 THEN concat('access denied to ', event_type) END"
 
 
-@query("prj14_error_kinds", f"SELECT k, CASE k WHEN 1 THEN 'quota_exceeded' WHEN 5 THEN 'quota_exceeded' WHEN 2 THEN 'blocked' WHEN 3 THEN 'blocked' WHEN 4 THEN 'parser_changed' ELSE 'error' END AS kind FROM (VALUES {values(MESSAGES)}) v(k, t)")
+@query("prj14_error_kinds", f"SELECT k, CASE WHEN t IS NULL THEN 'error' WHEN starts_with(t, 'quota_exceeded') OR t LIKE 'лимит%исчерпан' THEN 'quota_exceeded' WHEN contains(t, 'Captcha') OR contains(t, 'denied') OR contains(t, '403') AND starts_with(t, 'HTTP 403') THEN 'blocked' ELSE 'parser_changed' END AS kind FROM (SELECT event_id AS k, {MESSAGE} AS t FROM events)")
 def prj14(spark, d):
-    return spark.createDataFrame(MESSAGES, "k int, t string").select("k", P.error_kind(F.col("t")).alias("kind"))
+    return written(spark, d, "events", "event_id", t=MESSAGE).select("k", P.error_kind(F.col("t")).alias("kind"))
 
 
 @query("prj15_runnable_sites", "SELECT n_nationkey FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_9')")
@@ -312,9 +318,9 @@ def prj15(spark, d):
     return table(spark, d, "nation").join(F.broadcast(blocked), "n_name", "left_anti").select("n_nationkey")
 
 
-@query("prj16_unsafe_urls", f"SELECT k, k IN (6, 7, 8) AS unsafe FROM (VALUES {values(LINKS)}) v(k, t)")
+@query("prj16_unsafe_urls", f"SELECT k, starts_with(t, 'http:') OR contains(t, '@') OR contains(t, ':8443/') AS unsafe FROM {LINKED}")
 def prj16(spark, d):
-    return spark.createDataFrame(LINKS, "k int, t string").select("k", U.unsafe_url(F.col("t")).alias("unsafe"))
+    return written(spark, d, "part", "p_partkey", t=LINK).select("k", U.unsafe_url(F.col("t")).alias("unsafe"))
 
 
 @query("prj17_retry_eligibility", "SELECT o_custkey, bool_and(o_orderstatus <> 'P') AND bool_or(o_orderstatus = 'F') AS eligible FROM orders GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import windows as W
 from ..registry import query
 from ..streaming import events as E
+from ..sources.sinks import shared_folder
 from .bindings import table
 
 
@@ -21,8 +22,7 @@ def stream(spark, d):
 
 
 def folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def seconds(column: str):
