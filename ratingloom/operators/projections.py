@@ -103,6 +103,24 @@ def accepts_itself(rows: DataFrame) -> Column:
     return (F.col("status").isin("ok", "no_reviews")) & (F.col("granularity") == "variant") & (F.col("confidence") == "exact") & proven
 
 
+#: Words that a title of any shared rating may have.
+GENERIC_WORDS = ("отзыв", "отзывы", "цена", "цены", "инструкция", "аналоги", "препарат", "средство", "купить", "рейтинг")
+
+
+def collapses_pages(brand: Column, product: Column) -> Column:
+    """Whether a shared rating stands for pages that differ: several were discovered, none is told exactly, and the (normalised) title has words of its own."""
+    shared = F.col("granularity").isin("family", "line") & (F.col("confidence") != "exact") & (F.coalesce("variant_count", F.lit(0)) <= 1) & F.col("family") & (F.size("variants") <= 0)
+    own = F.array_except(F.array_remove(F.split(product, " "), ""), F.concat(F.split(brand, " "), F.array(*map(F.lit, GENERIC_WORDS))))
+    return (F.col("discovered") > 1) & shared & (F.size(own) > 0)
+
+
+def title_evidence(title: Column, kind: Column, id_: Column, url: Column) -> Column:
+    """What a listing's title alone proves: scope, signals (title, and the address if there is one) and its identifier."""
+    signal = lambda source, text: F.struct(F.lit(source).alias("source"), text.alias("text"))
+    signals = F.filter(F.array(signal("title", F.trim(F.regexp_replace(title, r"\s+", " "))), signal("url", url)), lambda s: s["text"].isNotNull())
+    return F.struct(F.lit("listing").alias("scope"), signals.alias("signals"), F.array(F.struct(kind.alias("type"), id_.alias("value"))).alias("identifiers"))
+
+
 def status_after_identity(status: Column, granularity: Column) -> Column:
     """A listing that is no product goes; one that cannot be told apart waits for a person."""
     return F.when(granularity == "not_product", "not_found").when((status == "ok") & (granularity == "unresolved"), "needs_review").otherwise(status)

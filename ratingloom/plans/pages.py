@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import without_tags
+from ..functions.text import normalize_text, without_tags
 from ..operators import identity
+from ..operators.joins import by_words
 from ..registry import query
 from ..sources import payloads as R
 from ..sources.connectors import STANDARD
@@ -51,10 +52,16 @@ def ex11(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("group_id"))
 
 
-@query("ex14_brand_of_title", "SELECT p_partkey, p_brand AS brand FROM part")
+@query("ex14_brand_of_title", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE 'unbranded' END AS brand FROM part")
 def ex14(spark, d):
-    stored = F.regexp_extract(F.concat_ws(" — ", "p_brand", "p_name"), r"^(.{1,80}?)\s+[—–]\s+\S", 1)
-    return table(spark, d, "part").select("p_partkey", F.coalesce(F.nullif(stored, F.lit("")), F.lit("unbranded")).alias("brand"))
+    """The prefix that a stored title has, else the known brand that stands in it, else none."""
+    parts = table(spark, d, "part")
+    titles = parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" — ", "p_brand", "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", "p_name", "p_brand", F.lit("отзывы"))).otherwise(F.col("p_name")).alias("title"))
+    stored = F.nullif(F.regexp_extract("title", r"^(.{1,80}?)\s+[—–]\s+\S", 1), F.lit(""))
+    brands = parts.select(F.col("p_brand").alias("named"), normalize_text(F.col("p_brand")).alias("known")).distinct()
+    met = by_words(titles.select("p_partkey", normalize_text(F.col("title")).alias("words")), "p_partkey", "words", brands.select("known"), "known").join(brands, "known")
+    met = met.groupBy("p_partkey").agg(F.max_by("named", F.length("known")).alias("named"))
+    return titles.join(met, "p_partkey", "left").select("p_partkey", F.coalesce(stored, "named", F.lit("unbranded")).alias("brand"))
 
 
 @query("ex19_custom_sites", "SELECT count(*) AS custom FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_2')")
@@ -118,9 +125,12 @@ def fmt04(spark, d):
     return R.microdata(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
-@query("fmt16_table_cells")
+@query("fmt16_table_cells", """SELECT p_partkey, r, c, text FROM (SELECT p_partkey, 0 AS r, 0 AS c, p_brand AS text FROM part UNION ALL SELECT p_partkey, 0, 1, p_name FROM part UNION ALL SELECT p_partkey, 1, 0, '' FROM part UNION ALL SELECT p_partkey, 1, 1, CAST(p_size AS VARCHAR) FROM part
+  UNION ALL SELECT p_partkey, 2, 0, p_type FROM part UNION ALL SELECT p_partkey, 2, 1, '' FROM part)""")
 def fmt16(spark, d):
-    return R.table_cells(pages(spark, d))
+    """A table of each part, with a cell over two rows and one over two columns."""
+    html = F.format_string('<p>x</p><table><tr><td rowspan="2">%s</td><th>%s</th></tr><tr><td> <b>%d</b> </td></tr><tr><td colspan="2">%s</td></tr></table>', "p_brand", "p_name", "p_size", "p_type")
+    return R.table_cells(table(spark, d, "part").select("p_partkey", html.alias("html")), "p_partkey")
 
 
 @query("fmt19_robots_rules", "SELECT page_id, NOT (starts_with(p, '/de') AND NOT starts_with(p, '/de/1')) AS allowed FROM (SELECT page_id, '/' || split_part(url, '/', 4) || '/' || split_part(url, '/', 5) AS p FROM pages)")

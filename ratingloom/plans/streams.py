@@ -38,6 +38,15 @@ def str01(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("n"))
 
 
+@query("str01_run_states", "SELECT user_id, CASE max(event_id % 8) FILTER (event_id % 8 < 6) WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'review' WHEN 3 THEN 'publishing' WHEN 4 THEN 'published' WHEN 5 THEN 'failed' END AS state FROM events GROUP BY 1")
+def str01_machine(spark, d):
+    """The state machine, streamed: a run never goes back, whatever order its events come in; words that are no state change nothing."""
+    states = F.array(*map(F.lit, E.RUN_STATES))
+    changes = stream(spark, d).select("user_id", "ts", F.coalesce(F.get(states, (F.col("event_id") % 8).cast("int")), F.lit("noise")).alias("event_type"))
+    told = E.run_to_end(E.run_states(changes), f"runs_{uuid.uuid4().hex}", "update", folder(spark))
+    return told.groupBy("user_id").agg(F.max_by("state", "changes").alias("state"))
+
+
 @query("str02_pending_after_checkpoint", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
 def str02(spark, d):
     done = events(spark, d).filter("event_type = 'purchase'").select("event_id")
@@ -80,9 +89,12 @@ def str07(spark, d):
     return unexpired(events(spark, d), "ts", "2024-04-19 00:00:00", 90).select("event_id")
 
 
-@query("str08_imports_without_replays", "SELECT DISTINCT user_id, event_type FROM events")
+@query("str08_imports_without_replays", "SELECT DISTINCT event_id, user_id FROM events")
 def str08(spark, d):
-    return E.first_imports(events(spark, d).select("user_id", "event_type"), ["user_id", "event_type"])
+    """Every event streamed twice, the second time as a replay within the watermark."""
+    seen = stream(spark, d).select("event_id", "user_id", "ts")
+    replayed = seen.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return E.run_to_end(E.first_imports(replayed, ["event_id"]), f"imports_{uuid.uuid4().hex}", "append", folder(spark)).select("event_id", "user_id")
 
 
 @query("str08_import_window", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 09:55:00' AND TIMESTAMP '2024-01-10 10:35:00'")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sinks import written_once
+
 PRODUCT_SCHEMA = "name string, sku string, url string, rating double, best double, reviews long, ratings long"
 JSON_LD = re.compile(r"<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
 #: Nodes of one script from which a page is taken for an attack: an error, never a shorter result.
@@ -199,6 +201,29 @@ def locations(sitemap: Column) -> Column:
     return F.transform(F.regexp_extract_all(sitemap, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda v: F.replace(v, F.lit("&amp;"), F.lit("&")))
 
 
+def listed(captured: DataFrame, root: str, nested: str, url: str = "url", xml: str = "xml") -> DataFrame:
+    """Addresses of the pages that a sitemap leads to, through captured sitemaps (`nested` in their address) of any depth.
+
+    Each round reads the sitemaps that the round before has found, so there are as many rounds as the tree is deep; a
+    sitemap met before is not read again.
+    """
+    links = captured.select(F.col(url).alias("parent"), F.explode(locations(F.col(xml))).alias("child"))
+    inner = links.filter(F.contains("child", F.lit(nested))).distinct()
+    known = found = captured.sparkSession.createDataFrame([(root,)], "parent string")
+    while not found.isEmpty():
+        found = written_once(inner.join(found, "parent").select(F.col("child").alias("parent")).distinct().join(known, "parent", "left_anti"), "sitemaps")
+        known = known.union(found)
+    return links.filter(~F.contains("child", F.lit(nested))).join(known, "parent", "left_semi").select(F.col("child").alias("url")).distinct()
+
+
+def markup_of(text: Column) -> Column:
+    """Plain text as paragraphs of markup, in which nothing of the text is markup."""
+    safe = F.coalesce(text, F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(mark), F.lit(entity))
+    return F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p>"))
+
+
 def rows_of_columns(records: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of records whose columns are arrays; arrays of different lengths fail the query instead of padding with nulls."""
     sizes = [F.size(c) for c in columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,17 @@ def replace_month(snapshot: DataFrame, path: str, month: str = "month") -> None:
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
 
 
+def replace_all(rows: DataFrame, path: str) -> None:
+    """Overwrites all that is there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def dump_json(rows: DataFrame, path: str, group: list[str], totals: dict[str, Column]) -> None:
+    """Rows as JSON lines, and their totals by group beside them."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    rows.groupBy(*group).agg(*[c.alias(n) for n, c in totals.items()]).write.mode("overwrite").json(f"{path}/summary")
+
+
 def add_evidence(payloads: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
     """Payloads not stored yet, one for each content hash."""
     hashed = payloads.withColumn("hash", F.sha2(F.to_json(F.struct(*columns)), 256)).dropDuplicates(["hash"])
