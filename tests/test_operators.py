@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ratingloom.functions import dates, numbers, text, urls
 from ratingloom.operators import aggregates, checks, identity, joins, projections, quality
-from ratingloom.sources import payloads, sinks
+from ratingloom.sources import datasets, payloads, sinks
 from ratingloom.sources.connectors import STANDARD
 from ratingloom.streaming import events as streams
 
@@ -170,3 +170,35 @@ def test_stream_is_read_to_its_end_or_fails(spark, tmp_path):
         streams.run_to_end(buckets(), "cut", "complete", f"{tmp_path}/c1", seconds=0.5)
     got = streams.run_to_end(buckets(), "whole", "complete", f"{tmp_path}/c2").collect()
     assert sorted((r.cents, r.n) for r in got) == [(400, 400), (1800, 1800), (1800, 1800)]
+
+
+def test_datasets(spark):
+    """Columns of one length become rows, duplicates merge or fail, and a count that is not given is no zero."""
+    item = lambda text: spark.createDataFrame([(text,)] if isinstance(text, str) else [(t,) for t in text], "item string")
+    rows = datasets.observations_of(item(['{"sku":["007","8"],"title":["a","b"],"reviewCount":["1,2 тыс",0],"rating":[4.5,null]}', '{"sku":8,"title":"b","reviewCount":0}', '{"sku":"x"}', "no json", '{"id":"9"}']), datasets.OZON)
+    got = {r.listing_id: (r.product, r.reviews, r.rating and float(r.rating), r.status) for r in rows.collect()}
+    assert got == {"7": ("a", 1200, 4.5, "ok"), "8": ("b", 0, None, "no_reviews"), "9": (None, None, None, "needs_review")}
+    with pytest.raises(Exception, match="different lengths"):
+        datasets.observations_of(item('{"sku":["1","2"],"title":["a"]}'), datasets.OZON).collect()
+    twice = ['{"nmId":1,"name":"a","feedbacks":3}', '{"nmId":1,"name":"a","feedbacks":4}']
+    with pytest.raises(Exception, match="differs"):
+        datasets.observations_of(item(twice), datasets.WILDBERRIES).collect()
+    assert datasets.observations_of(item([t.replace("nmId", "sku").replace("feedbacks", "reviews") for t in twice]), datasets.OZON).first().status == "needs_review"
+    assert datasets.observations_of(item([]), datasets.OZON).collect() == []
+
+
+def test_sitemaps_that_list_one_another(spark):
+    rows = spark.createDataFrame([("m/a", "<loc>m/b</loc><loc>p/1</loc>"), ("m/b", "<loc>m/a</loc><loc> p/2 </loc>"), ("m/c", "<loc>p/3</loc>"), ("m/d", None)], "url string, xml string")
+    assert {r.url for r in payloads.listed(rows, "m/a", "m/").collect()} == {"p/1", "p/2"}
+
+
+def test_a_walk_beyond_its_limit_fails():
+    many = '<script type="application/ld+json">[' + ",".join(["{}"] * payloads.NODE_LIMIT) + "]</script>"
+    with pytest.raises(ValueError, match="nodes"):
+        payloads.ld_products(many)
+
+
+def test_overrides_and_goods(spark):
+    rows = spark.createDataFrame([("Сорб", "порошок 3 г №10"), ("Сорб", "таблетки"), ("Сорб", ""), ("Сорб", None), ("Сорб", "таблетки №10, №20")], "brand string, said string")
+    got = {r.said: (r.granularity, r.label) for r in identity.override(rows, "brand", "said").collect()}
+    assert got == {"порошок 3 г №10": ("variant", "порошок 3 г №10"), "таблетки": (None, None), "": (None, None), None: (None, None), "таблетки №10, №20": ("family", "таблетки №10, №20")}
