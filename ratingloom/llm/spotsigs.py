@@ -45,7 +45,7 @@ GRAM = 5
 #: Texts of fewer code points carry their character grams as well.
 SHORT = 400
 #: After so many words without an anchor, every word is one until the next.
-STRETCH = 4
+STRETCH = 8
 #: Runs of more bytes, of letters or of anything else, are described by their grams.
 LONG_RUN = 16
 #: Rows that a range of ids holds on average.
@@ -85,15 +85,11 @@ def signature_keys(texts: list[str]) -> np.ndarray:
 
     # Code points begin at bytes that continue none; a gram is the span of GRAM of them, or all of a shorter run.
     heads = np.flatnonzero((buf & 0xC0) != 0x80)
-    edges = np.unique(np.concatenate((bounds, start, end)))
-    edges = edges[edges <= len(buf)]
-    runs = [r for r in zip(edges[:-1][np.diff(edges) > LONG_RUN].tolist(), edges[1:][np.diff(edges) > LONG_RUN].tolist())]
+    gaps = (np.sort(np.concatenate(sides), kind="stable") for sides in ((bounds[:-1], end), (start, bounds[1:] - 1)))
     parts = [chains]
-    if runs:
-        a, b = np.array(runs).T
-        of = np.searchsorted(bounds, a, "right") - 1
-        b = np.minimum(b, bounds[of + 1] - 1)  # without the line feed between texts
-        parts.append(gram_values(prefix, heads, a, b, of) & ~IS_GRAM)
+    for a, b in ((start, end), tuple(gaps)):
+        long_ = b - a > LONG_RUN
+        parts.append(gram_values(prefix, heads, a[long_], b[long_], np.searchsorted(bounds, a[long_], "right") - 1) & ~IS_GRAM)
     # Of texts too short for two grams apart, single characters count as well.
     for below, size in ((SHORT, GRAM), (2 * GRAM, 1)):
         short = np.flatnonzero(np.array([0 < len(t) < below for t in texts], bool))
