@@ -2,6 +2,10 @@
 
 toxicity drops what it rejects; minhash keeps one document of each group; repeats takes long repeated passages out of
 the texts; secrets blanks the secrets in them; packing turns what is left into fixed-length sequences.
+
+Defined cases: null and empty texts stay, as documents of the end id alone; of rows that share id and text, or share a
+text and have no id, one stays, and no other row of a group of near copies; texts are worked on whole; an empty table
+gives no rows; further columns go along to the last stage whatever their names, which returns pieces only.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ everything else is done for every row in Spark.
 
 Defined cases: a null or empty text has no words and is scored from its zero counts; texts are read whole; repeated rows
 are scored once each; an empty table gives no rows; without labelled rows of both classes the seed list and fixed
-coefficients score; rows without an id or label are never trained on.
+coefficients score; rows without an id or label are never trained on; score() reads the two named columns only, and
+keep_clean() carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
