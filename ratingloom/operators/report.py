@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters that rows of a section are told apart by before they are numbered.
+BEGINNING = 4
+
 
 def merge_months(snapshots: DataFrame, key: list[str], month: str, requested: str, metrics: list[str], attributes: list[str]) -> DataFrame:
     """One row for each product: attributes of the requested month, or of its last one; first and last month seen.
@@ -29,8 +32,17 @@ def month_totals(snapshots: DataFrame, group: list[str], reviews: str, rating: s
 
 
 def report_rows(products: DataFrame, wide: DataFrame, key: list[str], section: str, order: list[str]) -> DataFrame:
-    """Rows in print order: each section's header with its count, then its products. `row` numbers them within the section."""
-    rows = products.join(wide, key, "left")
-    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy(section).orderBy(*order)))
-    heads = products.groupBy(section).agg(F.count("*").alias("n_products"))
+    """Rows in print order: each section's header with its count, then its products. `row` numbers them within the section.
+
+    `order` begins with a text. Rows are numbered by its beginning, and shifted by the counts of what begins before, so
+    that the largest section is no single task; what meets in one place are counts of beginnings.
+    """
+    begins = lambda rows: rows.withColumn("_begins", F.coalesce(F.concat(F.lit("1"), F.substring(order[0], 1, BEGINNING)), F.lit("0")))
+    counts = begins(products).groupBy(section, "_begins").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(section).orderBy("_begins").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(section, "_begins", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(section, "_begins").orderBy(*order))
+    numbered = begins(products.join(wide, key, "left")).withColumn("_inside", inside).join(shifts, [section, "_begins"])
+    numbered = numbered.withColumn("row", (F.col("_before") + F.col("_inside")).cast("int")).drop("_begins", "_before", "_inside")
+    heads = counts.groupBy(section).agg(F.sum("_n").alias("n_products"))
     return heads.withColumn("row", F.lit(0)).unionByName(numbered.withColumn("n_products", F.lit(None).cast("long")), allowMissingColumns=True)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.functions import dates, numbers, text, urls
-from ratingloom.operators import aggregates, checks, identity, joins, projections, quality
+from ratingloom.operators import aggregates, checks, identity, joins, projections, quality, report
 from ratingloom.sources import datasets, payloads, sinks
 from ratingloom.sources.connectors import STANDARD
 from ratingloom.streaming import events as streams
@@ -202,3 +202,14 @@ def test_overrides_and_goods(spark):
     rows = spark.createDataFrame([("Сорб", "порошок 3 г №10"), ("Сорб", "таблетки"), ("Сорб", ""), ("Сорб", None), ("Сорб", "таблетки №10, №20")], "brand string, said string")
     got = {r.said: (r.granularity, r.label) for r in identity.override(rows, "brand", "said").collect()}
     assert got == {"порошок 3 г №10": ("variant", "порошок 3 г №10"), "таблетки": (None, None), "": (None, None), None: (None, None), "таблетки №10, №20": ("family", "таблетки №10, №20")}
+
+
+def test_report_rows_are_numbered_through(spark):
+    """Rows of a section are numbered as one window would, with nulls first and names shorter than the beginning."""
+    names = [None, "", "a", "ab", "abcd", "abcde", "abcda", "b", "ba", "я", "яб", "abcd"]
+    products = spark.createDataFrame([(s, i, n) for s in ("x", "y") for i, n in enumerate(names[: 12 if s == "x" else 5])], "section string, id int, name string")
+    got = report.report_rows(products, products.select("section", "id", F.lit(1).alias("v")), ["section", "id"], "section", ["name", "id"]).collect()
+    for s, n in (("x", 12), ("y", 5)):
+        rows = sorted((r for r in got if r.section == s), key=lambda r: r.row)
+        assert [r.row for r in rows] == list(range(n + 1)) and rows[0].n_products == n
+        assert [r.id for r in rows[1:]] == sorted(range(n), key=lambda i: (names[i] is not None, (names[i] or "").encode(), i))
