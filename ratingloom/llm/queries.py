@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, near_dedup, packing, piece_scan, quality_rules, secret_scan, sharding, spotsigs, suffix_dedup, toxicity
+from . import infill, license_scan, mixing, near_dedup, packing, periodic_runs, piece_scan, quality_rules, secret_scan, sharding, spotsigs, suffix_dedup, toxicity
 from .common import Scratch, read_table
 
 
@@ -73,7 +73,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op5_sharding, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.fill_in_middle(read_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    text = periodic_runs.with_repeated_tail(F.col("text"), F.coalesce(h % 10 == 0, F.lit(False)), g, 3 + g % 8)
+    found = periodic_runs.find_runs(docs.select("doc_id", text.alias("text")))
+    best = periodic_runs.strongest("starts", "lengths", "periods")
+    rows = F.transform(F.arrays_zip("starts", "lengths", "periods"), lambda r: F.concat(r["starts"].cast("string"), F.lit(","), r["lengths"].cast("string"), F.lit(","), r["periods"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("starts").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(rows, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_spotsigs, op3_sentencepiece, op4_license_scan, op5_sharding, op6_quality_rules, op7_toxicity, op8_minhash, op9_secret_scan, op10_suffix_dedup, op11_mixing, op12_fill_in_middle, op13_periodic_runs)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -116,5 +140,12 @@ def secret_sql() -> str:
     )
 
 
+INFILL_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+  h AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM d),
+  c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+  o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
 #: The others are held against brute force in the tests.
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": QUALITY_SQL, "op8_minhash": NEAR_SQL, "op9_secret_scan": secret_sql()}
+ORACLE_SQL: dict[str, str] = {"op12_fill_in_middle": INFILL_SQL, "op6_quality_rules": QUALITY_SQL, "op8_minhash": NEAR_SQL, "op9_secret_scan": secret_sql()}
