@@ -89,10 +89,12 @@ class Automaton:
         for term, weight in lexicon.terms.items():
             put(term, int(len(term) >= FUZZY), weight, accept)
         for term, weight in lexicon.beginnings.items():
-            put(term, 0, weight, open_end)
+            put(term, int(len(term) >= FUZZY), weight, open_end)
 
         self.letters = {c: i + 1 for i, c in enumerate(sorted({c for t in (*lexicon.terms, *lexicon.beginnings) for c in t}))}
-        done = -1  # the node of a word whose beginning has matched: it accepts whatever follows
+        # The node of a word whose beginning has matched: it accepts whatever follows. A beginning's last letter must be met
+        # as it is, or an edit of it would let every word in that has the letters before.
+        done = -1
 
         def closed(states: set[tuple[int, int, float]]) -> frozenset:
             """With terms' letters skipped where an edit is left."""
@@ -113,13 +115,13 @@ class Automaton:
             out = set()
             for node, edits, w in states:
                 if node == done:
-                    out.add((done, 0, w))
+                    out.add((done, edits, w))
                     continue
                 if c in children[node]:
                     child = children[node][c]
                     out.add((child, edits, w))
                     if open_end[child] is not None:
-                        out.add((done, 0, open_end[child]))
+                        out.add((done, edits, open_end[child]))
                 if edits < budget[node]:
                     out.add((node, edits + 1, w))  # a letter too many
                     out.update((child, edits + 1, w) for child in children[node].values())  # another letter
@@ -134,6 +136,8 @@ class Automaton:
             for c in (None, *self.letters):
                 target = moved(states, c)
                 if target not in numbers:
+                    if len(rows) == STATES:
+                        raise ValueError(f"a lexicon of over {STATES} states")
                     numbers[target] = len(rows)
                     rows.append(None)
                     todo.append(target)
@@ -147,13 +151,21 @@ class Automaton:
             if found:
                 self.edits[n], self.weight[n] = min(found)[0], -min(found)[1]
 
-    def classes(self, size: int) -> np.ndarray:
-        table = np.zeros(size, np.int16)
-        for c, i in self.letters.items():
-            table[ord(c)] = i
-        return table
-
-
+    def classes(self, cp: np.ndarray) -> np.ndarray:
+        """The letter of each code point, 0 for those that no term has."""
+        known = np.array(sorted(map(ord, self.letters)) or [0], np.int64)
+        number = np.array([self.letters.get(chr(c), 0) for c in known.tolist()], np.int16)
+        at = np.minimum(np.searchsorted(known, np.arange(TABLE)), len(known) - 1)
+        table = np.where(known[at] == np.arange(TABLE), number[at], 0).astype(np.int16)
+        out = table[np.minimum(cp, TABLE - 1)]
+        wide = np.flatnonzero(cp >= TABLE)
+        at = np.minimum(np.searchsorted(known, cp[wide]), len(known) - 1)
+        out[wide] = np.where(known[at] == cp[wide], number[at], 0)
+        return out
+
+
+#: States up to which an automaton is built; what every task gets of it is this times the letters.
+STATES = 200_000
 TABLE = 0x3000
 IN_WORD = np.array([chr(i).isalnum() for i in range(TABLE)])
 IS_QUOTE = np.isin(np.arange(TABLE), [ord(c) for c in "\"'“”„«»‘’‹›`"])
@@ -178,7 +190,7 @@ def features(texts: list[str], automaton: Automaton) -> np.ndarray:
     start, end = edge[0::2], edge[1::2]
     owner = np.searchsorted(bounds, start, "right") - 1
     n_words = np.bincount(owner, minlength=len(texts)).astype(float)
-    letter = automaton.classes(TABLE)[low]
+    letter = automaton.classes(cp.astype(np.int64))
 
     # All words walk the automaton together; the dead drop out at once.
     state, alive, k = np.ones(len(start), np.int32), np.arange(len(start)), 0
