@@ -74,9 +74,10 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Whether there was something to delete."""
     fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
+    return fs.delete(p, True)
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -16,7 +16,8 @@ numbered in one place and broadcast; rounds follow each other until no group is
 until vacuum().
 
 Defined cases: null ids and texts, empty and very long texts and repeated rows are kept as they are, each row once;
-an empty table adds a version without shards; all columns are kept whatever their names.
+an empty table adds a version without shards; all columns are kept whatever their names, but for
+`_metadata`, which is refused.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hadoop_path
+from .common import Scratch, delete_path, hadoop_path
 
 TARGET = 64 << 20
 FANOUT = 4
@@ -85,8 +86,11 @@ class ShardStore:
         version = self.latest() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        if version not in self.versions():
-            raise ValueError(f"no version {version}")
+        if version not in self.versions() or version <= self.vacuumed():
+            raise ValueError(f"no version {version}, or one that has been vacuumed")
+        return self.named(version)
+
+    def named(self, version: int) -> DataFrame:
         folder = self.spark.read.text(self.place(version)).first()[0]
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{folder}")
 
@@ -126,6 +130,8 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         """Adds rows as small shards, written where their partitions are; commits a version."""
+        if "_metadata" in (c.lower() for c in rows.columns):
+            raise ValueError("a column may not be named _metadata: it would hide the files that rows lie in")
         onto = self.latest()
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", self.arrival_rows).parquet(f"{self.root}/{folder}")
@@ -162,14 +168,33 @@ class ShardStore:
             kept = self.manifest(onto).join(plan.select("file"), "file", "left_anti").select("file", "n_rows", "n_bytes", "added")
             self.commit(kept.union(self.describe(folder, onto + 1)), onto)
 
+    def folders(self, version: int) -> set[str]:
+        return {r[0] for r in self.named(version).select(F.substring_index("file", "/", 2).alias("folder")).distinct().collect()}
+
     def vacuum(self) -> int:
-        """Deletes folders of which no file is in the latest version; earlier versions can then not be read. Returns how many."""
-        live = {r[0] for r in self.manifest().select(F.substring_index("file", "/", 2).alias("folder")).distinct().collect()}
-        fs, path = hadoop_path(self.spark, f"{self.root}/data")
-        gone = [s.getPath() for s in fs.listStatus(path) if f"data/{s.getPath().getName()}" not in live] if fs.exists(path) else []
-        for p in gone:
-            fs.delete(p, True)
-        return len(gone)
+        """Deletes folders that an earlier version names and the latest does not; earlier versions can then not be read. Returns how many.
+
+        A folder that no version names yet may be a writer's between its write and its commit: it is left alone.
+        """
+        versions = self.versions()
+        if not versions:
+            return 0
+        live, gone, before = self.folders(versions[-1]), 0, self.vacuumed()
+        # First of all nobody may start to read them any more. Their names stay taken, so that no late writer commits behind the latest.
+        fs, path = hadoop_path(self.spark, f"{self.root}/vacuumed")
+        out = fs.create(path, True)
+        out.write(bytearray(str(versions[-1] - 1).encode()))
+        out.close()
+        for version in versions[:-1]:
+            if version > before:
+                for folder in self.folders(version) - live:
+                    gone += delete_path(self.spark, f"{self.root}/{folder}")
+        return gone
+
+    def vacuumed(self) -> int:
+        """The last version that cannot be read any more."""
+        fs, path = hadoop_path(self.spark, f"{self.root}/vacuumed")
+        return int(self.spark.read.text(f"{self.root}/vacuumed").first()[0]) if fs.exists(path) else 0
 
 
 def placements(store: ShardStore, id_column: str = "doc_id") -> DataFrame:
