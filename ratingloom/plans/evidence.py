@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.json_walk import first_of_names, walk
 from ..operators import identity as I
 from ..registry import query
+from ..sources import captured
 from ..sources import evidence as E
 from ..sources import markup as M
+from ..sources.connectors import STANDARD
 from .bindings import table
 
 COUNT = "(p_size % 30 + 2)"
@@ -110,3 +112,18 @@ def uf09(spark, d):
 @query("uf09_first_of_names", "SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def uf09_names(spark, d):
     return first_of_names(table(spark, d, "events"), "event_id", "props", ["k", "key"])
+
+
+@query("src01_captured_pages", r"SELECT page_id, regexp_extract(lower(url), '^[a-z]+://(?:www\.)?([^/?#:]+)', 1) AS domain, url, length(html) AS n_html FROM pages")
+def src01(spark, d):
+    """The table of pages by the engine's own data source."""
+    captured.register(spark)
+    found = spark.read.format("captured_pages").load(f"{d}/pages.parquet")
+    return found.select("page_id", "domain", "url", F.length("html").alias("n_html"))
+
+
+@query("src01_connector_rows", r"SELECT page_id, regexp_extract(lower(url), '^[a-z]+://(?:www\.)?([^/?#:]+)', 1) AS domain, 'not_found' AS status, CAST(NULL AS VARCHAR) AS product FROM pages")
+def src01_rows(spark, d):
+    """The generic connector over the data source: pages that carry no product."""
+    captured.register(spark)
+    return STANDARD.collect(spark.read.format("captured_pages").load(f"{d}/pages.parquet")).select("page_id", "domain", "status", "product")
