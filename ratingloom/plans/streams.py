@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import windows as W
 from ..registry import query
 from ..streaming import events as E
+from ..streaming import activity as A
 from ..sources.sinks import shared_folder
 from .bindings import table
 
@@ -105,3 +106,31 @@ def str08_window(spark, d):
 @query("str09_publications", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT props) AS published FROM events GROUP BY 1, 2")
 def str09(spark, d):
     return events(spark, d).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_distinct("props").alias("published"))
+
+
+@query("str03_activity_pairs", """WITH e AS (SELECT user_id AS run, event_id AS activity, event_type, epoch_us(ts) AS us FROM events),
+  w AS (SELECT max(CASE WHEN event_type IN ('error', 'signup') THEN us ELSE us + 300000000 END) // 1000 - 7200000 AS mark FROM e),
+  s AS (SELECT run, activity, us, CASE WHEN event_type <> 'error' THEN us + 300000000 END AS finish, (SELECT min(x.us) FROM e x WHERE x.run = e.run AND x.event_type = 'signup' AND x.us >= e.us) AS ending, us + 3900000000 AS silence FROM e WHERE event_type <> 'signup'),
+  o AS (SELECT *, least(coalesce(finish, silence), coalesce(ending, silence), silence) AS finished FROM s)
+  SELECT run, activity, us AS started, finished, CASE finished WHEN finish THEN 'complete' WHEN ending THEN 'interrupted' ELSE 'stalled' END AS status FROM o, w WHERE (finished + 999) // 1000 <= mark""")
+def str03_pairs(spark, d):
+    """Every event starts an activity of five minutes, errors never finish, and a signup ends its user's run; streamed."""
+    before = A.use_rocks(spark)
+    try:
+        e = stream(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("activity"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        mark = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"))
+        start, finish, end = mark(A.START, F.col("ts")), mark(A.FINISH, F.col("ts") + F.expr("INTERVAL 5 MINUTES")), mark(A.END, F.col("ts"))
+        marks = F.when(F.col("event_type") == "signup", F.array(end)).when(F.col("event_type") == "error", F.array(start)).otherwise(F.array(start, finish))
+        rows = e.select("run", "activity", F.inline(marks))
+        return E.run_to_end(A.activity_pairs(rows), f"activity_{uuid.uuid4().hex}", "append", folder(spark))
+    finally:
+        if before is None:
+            spark.conf.unset(A.PROVIDER)
+        else:
+            spark.conf.set(A.PROVIDER, before)
+
+
+@query("str03_last_activities", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 64")
+def str03_ring(spark, d):
+    """The 64 last activities of each run, every one of its events being one."""
+    return W.last_n(events(spark, d).select("user_id", "event_id"), ["user_id"], ["event_id"], 64).select("user_id", "event_id")
