@@ -12,6 +12,7 @@ from ..registry import query
 from ..sources import datasets as D
 from ..sources import payloads as R
 from ..sources import sinks as S
+from ..sources.publications import Publications, RevisionTaken
 from .bindings import table
 
 
@@ -127,6 +128,22 @@ def snk05(spark, d):
     return spark.createDataFrame(done, "run string, written boolean").join(F.broadcast(parts.agg(F.count("*").alias("n"))))
 
 
+@query("snk06_commit_markers", "SELECT unnest(['a', 'a', 'b']) AS writer, unnest([1, 2, 3]) AS number, count(*) + unnest([0, 0, 1]) AS n FROM part")
+def snk06(spark, d):
+    """Two writers of one sheet: one publishes twice, the other comes too late with its first and repeats it onto the latest revision."""
+    path = place(spark, "publications")
+    rows = table(spark, d, "part").select("p_partkey", "p_size")
+    more = rows.unionByName(rows.agg((F.max("p_partkey") + 1).alias("p_partkey"), F.first(F.lit(0).cast("int")).alias("p_size")).select(*[F.col(c).cast(t).alias(c) for c, t in rows.dtypes]))
+    one, two = Publications(spark, path, "a"), Publications(spark, path, "b")
+    first, _ = one.publish(rows, "sheet", "2026-07", onto=0)
+    try:
+        two.publish(more, "sheet", "2026-07", onto=0)
+    except RevisionTaken:
+        one.publish(rows.withColumn("p_size", F.col("p_size") + 1), "sheet", "2026-07", onto=first.number)
+        two.publish(more, "sheet", "2026-07", onto=two.revision("sheet", "2026-07").number)
+    return one.history().select(F.substring_index("writer", ":", 1).alias("writer"), "number", F.substring_index("hash", "-", 1).cast("long").alias("n"))
+
+
 @query("snk08_json_dump", "SELECT p_brand AS brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1")
 def snk08(spark, d):
     """Rows as JSON lines beside a summary; the summary is read back."""

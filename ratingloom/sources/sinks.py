@@ -70,23 +70,7 @@ def payload_hash(rows: DataFrame, order: list[str]) -> str:
 
 
 def publish(spark: SparkSession, report: DataFrame, path: str, sheet: str, month: str) -> bool:
-    """Writes a report and its commit row; false if this very content is published already.
-
-    The report is read back and compared before the commit row is written, so a row means a whole report.
-    """
-    mark = payload_hash(report, report.columns)
-    commits = f"{path}/commits"
-    try:
-        done = spark.read.parquet(commits).filter((F.col("sheet") == sheet) & (F.col("month") == month)).orderBy(F.desc("at")).limit(1).collect()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = []
-    if done and done[0]["hash"] == mark:
-        return False
-    target = f"{path}/reports/{sheet}/{month}/{mark}"
-    report.write.mode("overwrite").parquet(target)
-    if payload_hash(spark.read.parquet(target).select(*report.columns), report.columns) != mark:
-        raise RuntimeError("the report reads back differently")
-    spark.range(1).select(F.lit(sheet).alias("sheet"), F.lit(month).alias("month"), F.lit(mark).alias("hash"), F.current_timestamp().alias("at")).write.mode("append").parquet(commits)
-    return True
+    """Publishes a report as the next revision of its sheet and month; false if the latest one has this very content."""
+    from .publications import Publications
+
+    return Publications(spark, path).publish(report, sheet, month)[1]
