@@ -1,20 +1,26 @@
 """License scan over a positional index of rare licence words.
 
-Every file's licence words (those of the templates that are not everyday words, so rare in other texts) become postings
-of (file, position, word). Each file looks up all of its licence words, whose number the templates bound, in the
-template postings, and hits that agree on where the template would begin are one alignment. An alignment counts once the template's mandatory key phrase stands, word for word, where the alignment says. Three base
-phrases are looked up at every place, whatever their words' rarity.
+A first pass counts in how many files each word of the templates stands; that is its rarity (inverse document frequency),
+measured over the whole corpus. Each template is then looked up by the rarest word of its mandatory key phrase: no
+alignment can count without that phrase, so none is missed, and words that every text has are never looked up. A second
+pass makes postings of these words alone, (file, position, word) with the words around it. A posting and its word's place
+in the template say where the template would begin; the alignment counts once the key phrase stands there word for word
+and the words found at their places make up LEAST_COVER of the template, each weighed by its rarity. Three base phrases
+are looked up at every place.
 
-Only DataFrame functions are used. Postings of licence words, the vocabulary and the templates are all that is joined;
-texts are never shuffled. The broadcast tables hold the templates' words, whose number the templates fix.
+Only DataFrame functions are used. The frequencies of the templates' words, some hundred numbers, pass through the driver;
+texts are never shuffled. The broadcast tables hold the templates and phrases.
 
 Defined cases: a null or empty text has no words, labels '' and score 0; texts are read whole; each repeated row gets
-its own result row, and copies of a file are scored alike; an empty table gives no rows; only the two named columns
-are read.
+its own result row, and copies of a file are scored alike; of words equally rare the one first in the alphabet is looked
+up; several alignments of one template count as their best one; an empty table gives no rows; only the two named columns
+are read, so further columns can have any names. Rows are told apart by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +49,8 @@ TEMPLATES = [
     ("boost", "distributed under the boost software license", "boost software license"),
 ]
 
-#: Template words that every text has; they say nothing of a licence and have no postings.
-EVERYDAY = frozenset("a all an and any are as at by following for form free has in into is it made made of on or other possible required that the this to use under unless with without you can copy code source terms person law nc cc 0 4".split())
-#: Share of a template's postings that an alignment must hit.
-LEAST_COVER = 0.3
+#: Share of a template's words, weighed by rarity, that an alignment must hit.
+LEAST_COVER = 0.2
 
 
 def words_of(text: Column) -> Column:
@@ -54,33 +58,42 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
-def template_rows() -> list[tuple]:
-    """(template, label, word, position in the template, postings of the template, key phrase's place, its words)."""
+def vocabulary() -> list[str]:
+    return sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+
+
+def rarity(words: DataFrame, n_files: int) -> dict[str, float]:
+    """Inverse document frequency of every word of the templates, over the files' `words`."""
+    known = F.array(*[F.lit(w) for w in vocabulary()])
+    seen = {r[0]: r[1] for r in words.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect()}
+    return {w: math.log(1 + n_files / (seen.get(w, 0) + 0.5)) for w in vocabulary()}
+
+
+def template_rows(weight: dict[str, float]) -> list[tuple]:
+    """For each template: its label, the word it is looked up by, that word's place, its words with their weights, the key phrase's place and words."""
     rows = []
-    for i, (label, text, key) in enumerate(TEMPLATES):
+    for label, text, key in TEMPLATES:
         words, key_words = text.split(), key.split()
-        places = [(w, p) for p, w in enumerate(words) if w not in EVERYDAY]
         at = next(p for p in range(len(words)) if words[p : p + len(key_words)] == key_words)
-        rows += [(i, label, w, p, len(places), at, key_words) for w, p in places]
+        rare = min(key_words, key=lambda w: (-weight[w], w))
+        rows.append((label, rare, at + key_words.index(rare), [(w, weight[w]) for w in words], at, key_words))
     return rows
 
 
-
-
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     body = F.col(text_column).cast("string")
     keyed = docs.select(F.col(id_column).alias("row_id"), F.xxhash64(F.col(id_column), body).alias("row_key"), words_of(body).alias("words"))
+    templates = template_rows(rarity(keyed, docs.count()))
 
-    vocabulary = sorted({r[2] for r in template_rows()} | {p.split()[0] for p in BASE_PHRASES})
-    hit = F.col("word").isin(vocabulary)
-    # What phrases are verified against travels with the posting: its neighbourhood, as long as any template reaches.
+    # What phrases and templates are compared with travels with the posting: its neighbourhood, as long as any template reaches.
+    looked_up = sorted({t[1] for t in templates} | {p.split()[0] for p in BASE_PHRASES})
     reach = max(len(text.split()) for _, text, _ in TEMPLATES)
     begin = F.greatest(F.col("pos") - reach, F.lit(0))
     postings = scratch.keep(
-        keyed.select("row_key", "words", F.posexplode("words").alias("pos", "word")).filter(hit)
+        keyed.select("row_key", "words", F.posexplode("words").alias("pos", "word")).filter(F.col("word").isin(looked_up))
         .select("row_key", F.col("pos").cast("long").alias("pos"), "word", begin.cast("long").alias("near_from"), F.slice("words", begin + 1, F.lit(2 * reach + 1)).alias("near")),
         "postings",
     )
@@ -92,13 +105,16 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     base = once.join(F.broadcast(phrases), "word").filter(here(F.col("pos"), F.size("phrase")) == F.col("phrase"))
     base = base.groupBy("row_key").agg(F.count("*").alias("n_base"), F.min("pos").alias("first_word"), F.max("pos").alias("last_word"), F.collect_set("label").alias("base_found"))
 
-    # Every licence word of a file is looked up, so cover counts all that the file has of a template.
-    templates = spark.createDataFrame(template_rows(), "template int, label string, word string, t_pos long, t_size long, key_at long, key array<string>")
+    # Templates, where their rarest key words say they begin.
+    known = spark.createDataFrame(templates, "label string, word string, t_pos long, t_words array<struct<word:string,weight:double>>, key_at long, key array<string>")
     start = F.col("pos") - F.col("t_pos")
     key_start = start + F.col("key_at")
     verified = (key_start >= F.col("near_from")) & (here(F.greatest(key_start, F.col("near_from")), F.size("key")) == F.col("key"))
-    aligned = once.join(F.broadcast(templates), "word").filter(verified)
-    aligned = aligned.groupBy("row_key", "template", "label", start.alias("start")).agg((F.count("*") / F.max("t_size")).alias("cover")).filter(F.col("cover") >= LEAST_COVER)
+    zero = F.lit(0.0)
+    found_at = F.transform("t_words", lambda w, p: F.when(F.get("near", (start + p - F.col("near_from")).cast("int")) == w["word"], w["weight"]).otherwise(zero))
+    total = lambda weights: F.aggregate(weights, zero, lambda a, w: a + w)
+    cover = total(found_at) / total(F.transform("t_words", lambda w: w["weight"]))
+    aligned = once.join(F.broadcast(known), "word").filter(verified).select("row_key", "label", cover.alias("cover")).filter(F.col("cover") >= LEAST_COVER)
     found = aligned.groupBy("row_key").agg(F.collect_set("label").alias("found"), F.max("cover").alias("cover"))
 
     none = F.array().cast("array<string>")
