@@ -6,9 +6,10 @@ text's end chains are as long as words are left. What has no words to chain is d
 letters, or of other characters, that are longer than a word (so nothing of a long text is without signatures), and
 texts shorter than SHORT as a whole, in a second part of their fingerprint.
 
-Two fingerprints are compared by the Jaccard likeness of their signatures, or of their grams if both have them (a few
-chains tell short texts badly apart), so a text near SHORT is alike to its shortened copy by what both have. Pairs are pruned where their set sizes alone
-rule them out; near_pairs() partitions by set size, so that only neighbouring partitions can hold a match, and looks up
+Two fingerprints are compared by the Jaccard likeness of their signatures and of their grams, weighed by the longer text's
+length: a few chains tell short texts badly apart, so grams decide on the shortest and count for nothing from SHORT on,
+where there are none. The weight falls evenly, so no length is a step. Pairs are pruned where their set sizes alone rule
+them out; near_pairs() partitions by set size, so that only neighbouring partitions can hold a match, and looks up
 each set's rarest signatures in an inverted index.
 
 Defined cases: a null or empty text has an empty fingerprint, and two empty ones are alike (1.0); texts are read whole;
@@ -50,8 +51,9 @@ STRETCH = 8
 LONG_RUN = 16
 #: Rows that a range of ids holds on average.
 ROWS_PER_RANGE = 20_000
-#: Keys sampled for each range to set the bounds.
-SAMPLED = 40
+#: Keys sampled for each range to set the bounds, and the most ranges: what the driver holds, whatever the rows.
+SAMPLED = 20
+MOST_RANGES = 50_000
 
 #: Signatures and grams of one text are told apart by the highest bit of their 32.
 IS_GRAM = U64(1 << 31)
@@ -137,12 +139,16 @@ def jaccard(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return both / np.maximum(union, 1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Likeness of the n fingerprints of `a` to those of `b`: by grams where both have them, else by signatures."""
+def likeness(a: np.ndarray, b: np.ndarray, n: int, longer: np.ndarray) -> np.ndarray:
+    """Likeness of the n fingerprints of `a` to those of `b`, whose longer texts have `longer` code points.
+
+    Grams weigh 1 - longer / SHORT, signatures the rest; where neither has signatures grams weigh all.
+    """
     (sigs_a, grams_a), (sigs_b, grams_b) = parts_of(a), parts_of(b)
-    both_short = (set_sizes(grams_a, n) > 0) & (set_sizes(grams_b, n) > 0)
     both_empty = (set_sizes(a, n) == 0) & (set_sizes(b, n) == 0)
-    return np.where(both_empty, 1.0, np.where(both_short, jaccard(grams_a, grams_b, n), jaccard(sigs_a, sigs_b, n)))
+    weight = np.maximum(0.0, 1.0 - longer / SHORT)
+    weight = np.where((set_sizes(sigs_a, n) == 0) & (set_sizes(sigs_b, n) == 0) & (longer < SHORT), 1.0, weight)
+    return np.where(both_empty, 1.0, weight * jaccard(grams_a, grams_b, n) + (1.0 - weight) * jaccard(sigs_a, sigs_b, n))
 
 
 SCHEMA = "row_id long,n_chars long,edited_sha256 string,fingerprint string,edited_fingerprint string,near_edited double,near_next double"
@@ -155,14 +161,15 @@ def compare_run(ids: list, texts: list[str]) -> dict:
     keys, changed = signature_keys(texts), signature_keys(edited)
     own = keys[keys < U64(n) << U64(32)]
     following = keys[keys >= U64(1) << U64(32)] - (U64(1) << U64(32))
+    size = np.array([len(t) for t in texts], np.int64)
     return {
         "row_id": ids[:n],
-        "n_chars": [len(t) for t in texts[:n]],
+        "n_chars": size[:n],
         "edited_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited],
         "fingerprint": fingerprints(own, n),
         "edited_fingerprint": fingerprints(changed, n),
-        "near_edited": likeness(own, changed, n),
-        "near_next": likeness(own, following, n),
+        "near_edited": likeness(own, changed, n, np.maximum(size[:n], [len(t) for t in edited])),
+        "near_next": likeness(own, following, n, np.maximum(size[:n], size[1:])),
     }
 
 
@@ -191,16 +198,17 @@ def fingerprint_with_next(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     Texts are dealt once, by ranges of (id, hash of the text), so that neither rows without an id nor rows that share one
     meet in a task unless their texts agree as well. The first row of each range goes to the range before it as well (of
-    the first range, to the last). The driver holds SAMPLED keys and one first key for each range.
+    the first range, to the last). The driver holds SAMPLED keys and one first key for each range, and there are MOST_RANGES at most.
     """
     body = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     narrow = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("tie"), F.col(id_column).cast("long").alias("row_id"), body.alias("body"))
     spark = docs.sparkSession
     rows = narrow.count()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE + 1)
+    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE + 1))
     sample = narrow.select("key", "tie")
     sample = sample.sample(min(1.0, SAMPLED * n / max(rows, 1)), 7) if rows > SAMPLED * n else sample
-    drawn = np.array(sorted(map(tuple, sample.collect())), np.int64).reshape(-1, 2)
+    drawn = np.stack([c.to_numpy() for c in sample.toArrow().columns], axis=1).astype(np.int64)
+    drawn = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))]
     bounds = np.unique(drawn[(np.arange(1, n) * len(drawn)) // n], axis=0) if len(drawn) else drawn
 
     @F.pandas_udf("int")
