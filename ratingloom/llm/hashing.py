@@ -104,7 +104,7 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     for k in range(size):
         part = mix(words + U64((k + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF))
         shifted = np.zeros_like(value)
-        shifted[: len(part) - k] = part[k:] if k else part
+        shifted[: max(len(part) - k, 0)] = part[k:]
         value = value + np.where(have > k, shifted, U64(0))
     keep = within <= np.maximum(count - size, 0)[owner]
     value, owner = mix(value[keep]), owner[keep]

@@ -284,8 +284,10 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """The rows of docs that stay: of each group, the document with the smallest id, and rows without an id; each text of a document once.
 
     Rows that share id and text are one, and so are rows without an id that share their text; one without an id goes where
-    a document that stays has its text. Of rows that differ in other columns only, the least stays.
+    a document that stays has its text. Of rows that differ in other columns only, the one with the least JSON stays.
+    Columns may have any names and types.
     """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     gone = find_groups(docs, id_column, text_column).filter(~F.col("kept")).select(id_column).distinct()
     stays = lambda rows: rows.join(gone, id_column, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
     scratch = Scratch(docs.sparkSession, "copies")
@@ -295,7 +297,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     # Only rows whose digest repeats are shuffled; texts themselves are compared.
     alike = stays(docs.join(repeated, digest == repeated["_digest"], "left_semi"))
-    alike = alike.groupBy(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    alike = alike.groupBy(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
     alike = scratch.keep(alike, "alike")
     named = alike.filter("_id is not null")
     nameless = alike.filter("_id is null").join(named.select(F.col("_text").alias("_known")), F.col("_text").eqNullSafe(F.col("_known")), "left_anti")

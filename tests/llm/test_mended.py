@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ratingloom.llm import sharding, toxicity
+from ratingloom.llm import hashing, near_dedup, sharding, toxicity
 from ratingloom.llm.common import hadoop_path
 
 
@@ -69,3 +69,21 @@ def test_vacuum_leaves_a_writer_alone(spark, tmp_path):
 def test_metadata_column_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="_metadata"):
         sharding.ShardStore(spark, f"file://{tmp_path}/s").append(spark.createDataFrame([(1, "x")], "doc_id long, _metadata string"))
+
+
+def test_deduplicate_keeps_columns_of_any_name_and_type(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, text), (1, text), (2, text + " more"), (3, "other"), (None, "no id"), (None, "no id")], "doc_id long, text string")
+    docs = rows.select("*", F.lit("x").alias("a.b"), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.lit("y").alias("_row"), F.lit("z").alias("select"), F.parse_json(F.lit('{"v":1}')).alias("v"))
+    got = near_dedup.deduplicate(docs)
+    assert got.columns == docs.columns and got.schema["m"].dataType == docs.schema["m"].dataType
+    assert sorted((r.doc_id or 0, r["a.b"], tuple(r.m.items())) for r in got.collect()) == [(0, "x", (("k", None),)), (1, "x", (("k", 1),)), (3, "x", (("k", 3),))]
+
+
+def test_shingles_of_very_few_words():
+    """A batch of fewer words than a shingle has."""
+    for n in range(8):
+        for texts in ([b" ".join([b"w%d" % k for k in range(n)])], [b"", b" ".join([b"w"] * n), b"x"]):
+            value, bounds = hashing.shingle_sets(texts, 5)
+            sizes = [len({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}) if w else 0 for w in (t.split() for t in texts)]
+            assert (bounds[1:] - bounds[:-1]).tolist() == sizes and len(value) == sum(sizes)
