@@ -89,7 +89,7 @@ def fmt09(spark, d):
     pages = F.array_join(F.transform(F.filter(F.sequence(F.col("m") * 8, F.col("m") * 8 + 7), lambda n: n <= (last or 0)), lambda n: entry("pages", n)), "")
     captured = maps.select(entry("maps", F.col("m")).alias("url"), F.concat(nested, pages).alias("xml")).withColumn("url", F.regexp_extract("url", "<loc>(.*)</loc>", 1))
     found = R.listed(captured, "https://m.example/maps/0", "/maps/")
-    return found.select(F.regexp_extract("url", r"/pages/(\d+)$", 1).cast("long").alias("page_id")).join(rows.withColumnRenamed("k", "page_id"), "page_id", "left_semi")
+    return found.select(F.regexp_extract("url", r"/pages/(\d+)$", 1).cast("long").alias("page_id"))
 
 
 @query("fmt18_text_as_markup", "SELECT doc_id, md5('<p>' || replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '</p>' || chr(10) || '<p>') || '</p>') AS markup FROM documents")

@@ -73,13 +73,12 @@ def pi11_shared(spark, d):
     return I.identify(rows, "brand", "title").select("p_partkey", "granularity", "label", F.col("variant_count").cast("long").alias("variant_count"))
 
 
-@query("pi12_consumer_goods", "SELECT p_partkey, concat('бутылочка ', p_size, ' мл с соской') AS label, concat(replace(lower(p_brand), '#', ' '), '|goods|', CASE WHEN CAST(p_size AS VARCHAR) < 'б' THEN concat(p_size, '|бутылочка|мл|соска') END) AS variant_key FROM part")
+@query("pi12_consumer_goods", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('бутылочка ', p_size, ' мл с соской') ELSE concat('бутылочка с соской ', p_size, ' мл') END AS label, concat(replace(lower(p_brand), '#', ' '), '|goods|', p_size, '|бутылочка|мл|соска') AS variant_key FROM part")
 def pi12(spark, d):
-    """Goods of a product page of their own, in two spellings."""
+    """Goods of a product page of their own, in two spellings: a label keeps its order of words, the key does not."""
     title = F.expr("concat(p_brand, CASE WHEN p_partkey % 2 = 0 THEN concat(', Бутылочка ', p_size, 'мл с соской, 1 шт') ELSE concat(' бутылочка с соской ', p_size, ' мл') END)")
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), title.alias("title"), F.lit(True).alias("family"), F.col("p_partkey").cast("string").alias("product_id"))
-    known = I.identify(rows, "brand", "title").select("p_partkey", "variant_key", F.when(F.col("p_partkey") % 2 == 0, F.col("label")).otherwise(F.regexp_replace("label", r"^(бутылочка) (с соской) (.*)$", "$1 $3 $2")).alias("label"))
-    return known.select("p_partkey", "label", "variant_key")
+    return I.identify(rows, "brand", "title").select("p_partkey", "label", "variant_key")
 
 
 @query("pi16_title_proves_variant", "SELECT p_partkey, p_partkey % 4 = 0 AS proves FROM part")

@@ -111,17 +111,17 @@ def jn14(spark, d):
     return J.append_missing(refs(obs.filter(F.col("month") == MONTH), False), refs(obs.filter(F.col("month") < MONTH), True), ["domain", "listing_id"])
 
 
-@query("jn15_rebind_listing", "SELECT l_orderkey, l_linenumber, p_name AS product FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1")
+@query("jn15_rebind_listing", "SELECT l_orderkey, l_linenumber, p_name AS product FROM lineitem JOIN part ON p_partkey = l_partkey")
 def jn15(spark, d):
-    refs = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("id"))
+    refs = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("id"))
     found = refs.join(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product")), "id", "left")
     return assert_none(found, F.col("product").isNull(), "a reference has no listing").select("l_orderkey", "l_linenumber", "product")
 
 
-@query("jn16_publishable_items", f"WITH {PARTITIONS} SELECT o.domain, o.listing_id, o.month FROM obs o WHERE o.reviews > 1 AND o.month >= '{BEFORE}' AND EXISTS (SELECT 1 FROM parts p WHERE p.domain = o.domain AND p.brand = o.brand AND p.collected > 0)")
+@query("jn16_publishable_items", f"WITH {PARTITIONS} SELECT o.domain, o.listing_id, o.month FROM obs o WHERE o.reviews > 1 AND EXISTS (SELECT 1 FROM parts p WHERE p.domain = o.domain AND p.brand = o.brand AND p.collected > 0)")
 def jn16(spark, d):
     good = partitions(spark, d).filter("collected > 0")
-    return observations(spark, d).filter((F.col("reviews") > 1) & (F.col("month") >= BEFORE)).join(good, ["domain", "brand"], "left_semi").select("domain", "listing_id", "month")
+    return observations(spark, d).filter(F.col("reviews") > 1).join(good, ["domain", "brand"], "left_semi").select("domain", "listing_id", "month")
 
 
 @query("jn17_cell_diff", """WITH a AS (SELECT o_orderkey AS r, 1 AS c, o_orderstatus AS t, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0),
@@ -191,11 +191,10 @@ def st01(spark, d):
     return months.union(table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM"))).union(spark.createDataFrame([("2002-01",)], "month string")).distinct()
 
 
-@query("st02_union_of_refs", "SELECT id, min(rank) AS source_rank FROM (SELECT p_partkey AS id, 1 AS rank FROM part WHERE p_size > 25 UNION ALL SELECT l_partkey, 2 FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_partkey, 3 FROM lineitem) GROUP BY id")
+@query("st02_union_of_refs", "SELECT id, min(rank) AS source_rank FROM (SELECT o_custkey AS id, 1 AS rank FROM orders UNION ALL SELECT l_partkey, 2 FROM lineitem UNION ALL SELECT p_partkey, 3 FROM part) GROUP BY id")
 def st02(spark, d):
-    lines = table(spark, d, "lineitem")
-    found = table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("id"), F.lit(1).alias("rank"))
-    found = found.unionByName(lines.filter("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.lit(2).alias("rank"))).unionByName(lines.select(F.col("l_partkey").alias("id"), F.lit(3).alias("rank")))
+    source = lambda name, column, rank: table(spark, d, name).select(F.col(column).alias("id"), F.lit(rank).alias("rank"))
+    found = source("orders", "o_custkey", 1).unionByName(source("lineitem", "l_partkey", 2)).unionByName(source("part", "p_partkey", 3))
     return found.groupBy("id").agg(F.min("rank").alias("source_rank"))
 
 

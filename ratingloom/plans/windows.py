@@ -64,9 +64,9 @@ def so01(spark, d):
     return rows.orderBy("place", "o_orderpriority", "o_orderkey").select("o_orderkey", "place")
 
 
-@query("so02_report_order", f"WITH {OBS}, r AS (SELECT DISTINCT domain, brand, product FROM obs WHERE month = '1998-06') SELECT domain, brand, product, row_number() OVER (PARTITION BY domain ORDER BY brand, product) AS n FROM r")
+@query("so02_report_order", f"WITH {OBS}, r AS (SELECT DISTINCT domain, brand, product FROM obs) SELECT domain, brand, product, row_number() OVER (PARTITION BY domain ORDER BY brand, product) AS n FROM r")
 def so02(spark, d):
-    rows = observations(spark, d).filter("month = '1998-06'").select("domain", "brand", "product").distinct()
+    rows = observations(spark, d).select("domain", "brand", "product").distinct()
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("domain").orderBy("brand", "product")))
 
 
@@ -128,16 +128,16 @@ def rsh02(spark, d):
     return W.unpivot_months(wide, ["domain", "listing_id"], MONTHS, ["reviews", "rating"]).filter("reviews is not null")
 
 
-@query("rsh03_section_rows", f"WITH {OBS}, r AS (SELECT DISTINCT domain, listing_id FROM obs WHERE month = '1998-06') SELECT domain, 0 AS level, NULL AS listing_id, count(*) AS n FROM r GROUP BY domain UNION ALL SELECT domain, 1, listing_id, 1 FROM r")
+@query("rsh03_section_rows", f"WITH {OBS}, r AS (SELECT DISTINCT domain, listing_id FROM obs) SELECT domain, 0 AS level, NULL AS listing_id, count(*) AS n FROM r GROUP BY domain UNION ALL SELECT domain, 1, listing_id, 1 FROM r")
 def rsh03(spark, d):
-    rows = observations(spark, d).filter("month = '1998-06'").select("domain", "listing_id").distinct()
+    rows = observations(spark, d).select("domain", "listing_id").distinct()
     return W.with_sections(rows, "domain", "listing_id")
 
 
-@query("rsh04_dense_grid", "WITH c AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS c FROM lineitem WHERE l_linenumber <= 3), r AS (SELECT DISTINCT r FROM c) SELECT r.r, k.c, CASE WHEN c.r IS NULL THEN NULL ELSE 1 END AS filled FROM r CROSS JOIN (SELECT unnest(range(1, 4)) AS c) k LEFT JOIN c ON c.r = r.r AND c.c = k.c")
+@query("rsh04_dense_grid", "WITH c AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS c FROM lineitem), r AS (SELECT DISTINCT r FROM c) SELECT r.r, k.c, CASE WHEN c.r IS NULL THEN NULL ELSE 1 END AS filled FROM r CROSS JOIN (SELECT unnest(range(1, 8)) AS c) k LEFT JOIN c ON c.r = r.r AND c.c = k.c")
 def rsh04(spark, d):
-    cells = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").cast("long").alias("c"), F.lit(1).alias("filled")).distinct()
-    return W.dense(cells, "r", "c", 3, ["filled"])
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").cast("long").alias("c"), F.lit(1).alias("filled")).distinct()
+    return W.dense(cells, "r", "c", 7, ["filled"])
 
 
 @query("rsh05_split_by_brand", f"WITH {OBS} SELECT brand, count(DISTINCT listing_id) AS listings, count(*) AS snapshots FROM obs GROUP BY 1")
@@ -145,9 +145,9 @@ def rsh05(spark, d):
     return observations(spark, d).groupBy("brand").agg(F.count_distinct("listing_id").alias("listings"), F.count("*").alias("snapshots"))
 
 
-@query("rsh07_flatten_months", f"WITH {OBS} SELECT domain, listing_id, month, reviews FROM obs WHERE month >= '2001-06'")
+@query("rsh07_flatten_months", f"WITH {OBS} SELECT domain, listing_id, month, reviews FROM obs")
 def rsh07(spark, d):
-    nested = observations(spark, d).filter("month >= '2001-06'").groupBy("domain", "listing_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "reviews"))).alias("months"))
+    nested = observations(spark, d).groupBy("domain", "listing_id").agg(F.map_from_entries(F.collect_list(F.struct("month", "reviews"))).alias("months"))
     return nested.select("domain", "listing_id", F.explode("months").alias("month", "reviews"))
 
 
