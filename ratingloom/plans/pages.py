@@ -111,7 +111,7 @@ def fmt13(spark, d):
     return R.rows_of_columns(columns, ["l_linenumber", "l_partkey"])
 
 
-@query("fmt01_json_ld_products")
+@query("fmt01_json_ld_products", "SELECT p_partkey AS page_id, p_name AS name, CAST(p_partkey AS VARCHAR) AS sku, CAST(NULL AS VARCHAR) AS url, CAST(p_size % 5 + 1 AS DOUBLE) AS rating, CAST(NULL AS DOUBLE) AS best, CAST(p_size AS BIGINT) AS reviews, CAST(NULL AS BIGINT) AS ratings FROM part")
 def fmt01(spark, d):
     """Products of JSON-LD made of the parts table, as pages carry it."""
     product = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("sku"), F.struct(F.lit("AggregateRating").alias("@type"), (F.col("p_size") % 5 + 1).alias("ratingValue"), F.col("p_size").alias("reviewCount")).alias("aggregateRating"))
@@ -119,7 +119,7 @@ def fmt01(spark, d):
     return R.json_ld(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
-@query("fmt04_microdata_products")
+@query("fmt04_microdata_products", "SELECT p_partkey AS page_id, p_name AS name, CAST(NULL AS VARCHAR) AS sku, CAST(NULL AS VARCHAR) AS url, CAST(p_size % 5 + 1 AS DOUBLE) AS rating, CAST(NULL AS DOUBLE) AS best, CAST(p_size AS BIGINT) AS reviews, CAST(NULL AS BIGINT) AS ratings FROM part")
 def fmt04(spark, d):
     html = F.format_string('<div itemscope><span itemprop="name">%s</span><meta itemprop="ratingValue" content="%d"><meta itemprop="reviewCount" content="%d"></div>', F.col("p_name"), F.col("p_size") % 5 + 1, F.col("p_size"))
     return R.microdata(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
@@ -144,11 +144,14 @@ def src02(spark, d):
     return STANDARD.resolve(pages(spark, d).select(U.domain(F.col("url")).alias("domain")).distinct())
 
 
-@query("src26_generic_collect")
+@query("src26_generic_collect", """WITH q AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages), p AS (SELECT page_id, url, regexp_replace(bare, '\\?.*$', '') AS path, list_filter(string_split(CASE WHEN contains(bare, '?') THEN regexp_extract(bare, '\\?(.*)$', 1) ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|yclid$|gclid$|srsltid$|at$|from$|ref)')) AS kept FROM q)
+  SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#:]+)', 1)), '^reviews\\.', 'market.') AS domain, substr(sha256(url), 1, 20) AS listing_id, CASE WHEN len(kept) > 0 THEN path || '?' || array_to_string(kept, '&') ELSE path END AS canonical_url,
+    CAST(NULL AS VARCHAR) AS product, CAST(NULL AS BIGINT) AS reviews, CAST(NULL AS BIGINT) AS rating_count, CAST(NULL AS DOUBLE) AS raw_rating, CAST(NULL AS DOUBLE) AS raw_rating_scale, CAST(NULL AS DOUBLE) AS rating, 'not_found' AS status FROM p""")
 def src26(spark, d):
     return STANDARD.collect(pages(spark, d))
 
 
-@query("fmt07_visible_text_sizes")
+@query("fmt07_visible_text_sizes", """SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS n_visible FROM pages""")
 def fmt07(spark, d):
     return pages(spark, d).select("page_id", F.length(without_tags(F.col("html"))).alias("n_visible"))

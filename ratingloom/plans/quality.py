@@ -71,7 +71,11 @@ for _name, (_rule, _sql) in RULES.items():
     query(_name, f"WITH {RUN} {_sql}")(lambda spark, d, rule=_rule: rule(run(spark, d)))
 
 
-@query("qa_all_blockers")
+#: Each rule's own SQL, its columns joined.
+ALL = {rule.__name__: sql for rule, sql in RULES.values() if rule.__name__ in Q.BLOCKERS} | {"progress": f"SELECT expected, reported, finished FROM ({RULES['qa04_progress'][1]}) WHERE NOT ok"}
+
+
+@query("qa_all_blockers", f"WITH {RUN} " + " UNION ".join(f"SELECT '{name}' AS rule, concat_ws('/', *COLUMNS(*)) AS subject FROM ({sql})" for name, sql in ALL.items()))
 def qa_all(spark, d):
     return Q.blockers(run(spark, d))
 
