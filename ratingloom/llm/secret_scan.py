@@ -158,13 +158,27 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, overlapping ones merged, replaced by `mark`."""
+    """The text with every span, overlapping ones merged, replaced by `mark`.
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    A place in a text is found by counting from its beginning, so spans go by blocks: each block's stretch of the text is
+    cut out once, and its spans are places in that stretch.
+    """
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda i: F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)))
+    ends = lambda made: F.transform(made, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+    furthest = lambda ends_: F.aggregate(ends_, F.array(F.lit(0)), lambda acc, e: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), e))))
+
+    def cut(stretch: Column, block: Column, begin: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            start, end = s["start"] - begin, s["end"] - begin
+            piece = F.concat(F.substring(stretch, acc["at"] + 1, F.greatest(start - acc["at"], F.lit(0))), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(start >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def whole(made: Column, begins: Column) -> Column:
+        outs = F.transform(made, lambda b, i: let(F.substring(text, F.get(begins, i) + 1, F.get(begins, i + 1) - F.get(begins, i)), lambda stretch: cut(stretch, b, F.get(begins, i))))
+        return F.concat(F.array_join(outs, ""), F.substring(text, F.element_at(begins, -1) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    redacted = let(blocks, lambda made: let(furthest(ends(made)), lambda begins: whole(made, begins)))
+    return F.when(F.size(spans) > 0, redacted).otherwise(text)
