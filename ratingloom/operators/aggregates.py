@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,11 +57,12 @@ def identical_only(rows: DataFrame, key: list[str], metrics: list[str], message:
 
 def collapse_shared(rows: DataFrame, group: list[str], listing: str, month: str, metrics: list[str]) -> DataFrame:
     """Groups whose listings show one set of metrics in every month, and so are one product on several pages."""
-    # One set is told from two by its least and greatest; rows are read once for both questions.
-    same = Window.partitionBy(*group, month)
-    shown = rows.select(*group, listing, month, F.struct(*metrics).alias("shown"))
-    agreed = shown.withColumn("one", F.min("shown").over(same) == F.max("shown").over(same))
-    return agreed.groupBy(*group).agg(F.bool_and("one").alias("one"), F.count_distinct(listing).alias("listings")).filter("one and listings > 1").drop("one")
+    # One set is told from two by its least and greatest, which are aggregated by listing and month before anything is
+    # shuffled; both questions are asked of the rows that this leaves, whose shuffle both share.
+    by_listing = rows.groupBy(*group, month, listing).agg(F.min(F.struct(*metrics)).alias("low"), F.max(F.struct(*metrics)).alias("high"))
+    agreed = by_listing.groupBy(*group, month).agg((F.min("low") == F.max("high")).alias("one")).groupBy(*group).agg(F.bool_and("one").alias("one")).filter("one")
+    several = by_listing.groupBy(*group, listing).agg(F.lit(1).alias("n")).groupBy(*group).agg(F.count("*").alias("listings")).filter("listings > 1")
+    return several.join(agreed.drop("one"), group)
 
 
 def majority(votes: DataFrame, key: str, vote: str, order: str) -> DataFrame:

@@ -51,7 +51,7 @@ def listings(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFram
     uneven = F.exists(F.array(*[F.size(c) for c in columns]), lambda n: (n >= 0) & (n != F.size("listing_id")))
     checked = read.filter(F.when(uneven, F.raise_error(F.lit("a dataset item has columns of different lengths")).cast("boolean")).otherwise(True))
     filled = [F.coalesce(c, F.array_repeat(F.lit(None).cast("string"), F.size("listing_id"))).alias(c) for c in columns]
-    return checked.select("place", F.posexplode(F.arrays_zip(*filled)).alias("nth", "r")).select((F.col("place") * 100_000 + F.col("nth")).alias("place"), sku(F.col("r.listing_id")).alias("listing_id"), "r.product", "r.url", compact_count(F.col("r.reviews")).alias("reviews"), compact_count(F.col("r.rating_count")).alias("rating_count"), plain_number(F.col("r.raw_rating")).alias("raw_rating")).filter("listing_id is not null")
+    return checked.select("place", F.posexplode(F.arrays_zip(*filled)).alias("nth", "r")).select((F.col("place").cast("decimal(38,0)") * 10_000_000_000 + F.col("nth")).alias("place"), sku(F.col("r.listing_id")).alias("listing_id"), "r.product", "r.url", compact_count(F.col("r.reviews")).alias("reviews"), compact_count(F.col("r.rating_count")).alias("rating_count"), plain_number(F.col("r.raw_rating")).alias("raw_rating")).filter("listing_id is not null")
 
 
 def observations_of(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFrame:
