@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -80,8 +83,33 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about `limit` bytes of text (one row at least), and their texts as UTF-8; null is empty."""
+#: What a Python worker keeps from one task to the next, by name. Workers outlive a stage, and so would a model that no later one reads.
+WORKER: dict[str, object] = {}
+
+
+def worker_model(name: str, make: Callable[[], object]) -> object:
+    """A model that tasks of one kind share in a worker; the models of other kinds go."""
+    if name not in WORKER:
+        release_models()
+        WORKER[name] = make()
+    return WORKER[name]
+
+
+def release_models(kept: str | None = None) -> None:
+    """Gives back what the worker holds of other models."""
+    gone = [name for name in WORKER if name != kept]
+    for name in gone:
+        del WORKER[name]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other systems give freed memory back by themselves, or not
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES, model: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about `limit` bytes of text (one row at least), and their texts as UTF-8; null is empty. `model` names the worker_model() that is used."""
+    release_models(model)
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         start = 0
@@ -93,12 +121,12 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KER
             start = stop
 
 
-def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.RecordBatch, list[bytes]], dict], limit: int = KERNEL_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.RecordBatch, list[bytes]], dict], limit: int = KERNEL_BYTES, model: str | None = None) -> DataFrame:
     """Runs `kernel` over text chunks and returns the columns it makes, typed by `schema`."""
 
     def run(batches):
         target = None
-        for batch, texts in text_chunks(batches, column, limit):
+        for batch, texts in text_chunks(batches, column, limit, model):
             made = kernel(batch, texts)
             if target is None:
                 target = arrow_schema(schema)

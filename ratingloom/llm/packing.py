@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, vocabulary_file
+from .common import Scratch, map_texts, vocabulary_file, worker_model
 
 PIECES = "row_id long,start long,length long,ids_crc32 long,doc_tokens long"
 #: Pieces of one length that a task numbers at a time, and groups of them whose totals a task adds up.
@@ -101,17 +101,12 @@ class WordIds:
         return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-WORKER_IDS: dict[str, WordIds] = {}
-
-
 def token_pieces(docs: DataFrame, id_column: str, text_column: str, capacity: int, tokenizer_path: str, end_id: int, with_ids: bool = False) -> DataFrame:
     """Cuts each document's ids, the end id last, into pieces: row_id, start, length, ids_crc32, doc_tokens (and ids)."""
     ending = np.array([end_id], "<u4").tobytes()
 
     def kernel(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
-        if tokenizer_path not in WORKER_IDS:
-            WORKER_IDS[tokenizer_path] = WordIds(tokenizer_path)
-        words = WORKER_IDS[tokenizer_path]
+        words = worker_model(tokenizer_path, lambda: WordIds(tokenizer_path))
         out = defaultdict(list)
         for row_id, ids in zip(batch.column(0).to_pylist(), words.of_texts(texts)):
             ids += ending
@@ -127,7 +122,7 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, capacity: in
         return out
 
     narrow = docs.select(F.col(id_column).cast("long").alias("row_id"), F.col(text_column).cast("string").alias("body"))
-    return map_texts(narrow, "body", PIECES + ",ids array<long>" * with_ids, kernel, CHUNK_BYTES)
+    return map_texts(narrow, "body", PIECES + ",ids array<long>" * with_ids, kernel, CHUNK_BYTES, tokenizer_path)
 
 
 def packing_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -87,3 +87,15 @@ def test_shingles_of_very_few_words():
             value, bounds = hashing.shingle_sets(texts, 5)
             sizes = [len({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}) if w else 0 for w in (t.split() for t in texts)]
             assert (bounds[1:] - bounds[:-1]).tolist() == sizes and len(value) == sum(sizes)
+
+
+def test_models_of_other_kinds_go():
+    """A worker holds the model of the kernel that runs, and no other."""
+    from ratingloom.llm import common
+
+    common.WORKER.clear()
+    assert common.worker_model("a", lambda: 1) == 1 and common.worker_model("a", lambda: 2) == 1
+    assert common.worker_model("b", lambda: 3) == 3 and list(common.WORKER) == ["b"]
+    common.release_models("b")
+    assert list(common.WORKER) == ["b"]
+    assert list(common.text_chunks([], "text")) == [] and common.WORKER == {}
