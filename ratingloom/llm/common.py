@@ -19,6 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 KERNEL_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker. Spark's own limit is ten thousand rows or 64 MB, of which both sides hold several at once.
+BATCH_BYTES = 8 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by their bytes, so that long texts do not make large ones."""
+    if int(str(spark.conf.get(BATCH_LIMIT, "0")).rstrip("b") or 0) != BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
@@ -132,6 +144,7 @@ def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.Reco
                 target = arrow_schema(schema)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in target], schema=target)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

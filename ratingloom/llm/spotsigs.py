@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KERNEL_BYTES, Scratch, arrow_schema, map_texts
+from .common import KERNEL_BYTES, Scratch, arrow_schema, bound_batches, map_texts
 from .hashing import U64, WORD, joined, mix, prefix_hash, span_hash, word_spans
 
 #: Everyday words of English, French, German and Spanish that anchor chains.
@@ -203,6 +203,7 @@ def fingerprint_with_next(docs: DataFrame, id_column: str = "doc_id", text_colum
     body = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     narrow = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(body).alias("tie"), F.col(id_column).cast("long").alias("row_id"), body.alias("body"))
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = narrow.count()
     n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE + 1))
     sample = narrow.select("key", "tie")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, text_chunks
+from .common import arrow_schema, bound_batches, text_chunks
 
 #: Labelled rows that each of the two fits reads at most, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -349,6 +349,7 @@ def with_features(rows: DataFrame, automaton: Automaton, keep: list[str]) -> Dat
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, score and the counts behind it, for every row."""
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).cast("long").alias("row_id"), F.col(text_column).cast("string").alias("body"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = "row_id long,score double,hit_weight double,inexact_weight double,quoted_hits double"
@@ -369,11 +370,13 @@ def remainder(column: Column | str) -> Column:
 
 
 def train_in_parts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
+    bound_batches(docs.sparkSession)
     return train(docs, labels, remainder("row_id") == 0, remainder("row_id") == 2, id_column)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = PREDICT_AT) -> DataFrame:
     """The rows of docs, all their columns as they are, that score below the threshold."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,3 +99,14 @@ def test_models_of_other_kinds_go():
     common.release_models("b")
     assert list(common.WORKER) == ["b"]
     assert list(common.text_chunks([], "text")) == [] and common.WORKER == {}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts come in batches of a few megabytes."""
+    import pyarrow as pa
+
+    from ratingloom.llm import common
+
+    common.bound_batches(spark)
+    seen = spark.range(0, 60, 1, 1).select(F.col("id"), F.repeat(F.lit("x"), 1 << 20).alias("t")).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in it), "n long").collect()
+    assert len(seen) > 5 and max(r.n for r in seen) < 2 * common.BATCH_BYTES
