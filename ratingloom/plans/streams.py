@@ -10,6 +10,7 @@ from ..operators import windows as W
 from ..registry import query
 from ..streaming import events as E
 from ..streaming import activity as A
+from ..sources.publications import Publications
 from ..sources.sinks import shared_folder
 from .bindings import table
 
@@ -134,3 +135,16 @@ def str03_pairs(spark, d):
 def str03_ring(spark, d):
     """The 64 last activities of each run, every one of its events being one."""
     return W.last_n(events(spark, d).select("user_id", "event_id"), ["user_id"], ["event_id"], 64).select("user_id", "event_id")
+
+
+@query("str09_published_once", "SELECT 1 AS number, count(*) AS n, 3 AS attempts FROM events")
+def str09_once(spark, d):
+    """A streamed report, published three times as a batch that runs again is: once in full, then as what it is already."""
+    made = Publications(spark, folder(spark), "stream")
+    attempts = []
+    for _ in range(3):
+        counted = E.run_to_end(E.quota_buckets(stream(spark, d), late=None), f"quota_{uuid.uuid4().hex}", "complete", folder(spark))
+        attempts.append(made.publish(counted.select(seconds("start"), "cents", "n"), "quota", "2024-01"))
+    if [new for _, new in attempts] != [True, False, False]:
+        raise RuntimeError("a content was published twice")
+    return made.history().join(made.read("quota", "2024-01").agg(F.sum("n").alias("n"))).select(F.col("number").cast("int").alias("number"), "n", F.lit(len(attempts)).alias("attempts"))
