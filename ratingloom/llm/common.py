@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at once; bounds the memory of its temporaries.
-KERNEL_BYTES = 1 << 20
+KERNEL_BYTES = 1 << 19
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker. Spark's own limit is ten thousand rows or 64 MB, of which both sides hold several at once.
@@ -112,10 +112,15 @@ def release_models(kept: str | None = None) -> None:
     for name in gone:
         del WORKER[name]
     if gone:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other systems give freed memory back by themselves, or not
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task holds no more than it needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems give freed memory back by themselves, or not
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KERNEL_BYTES, model: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -130,6 +135,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = KER
             part = batch.slice(start, stop - start)
             yield part, [t or b"" for t in part.column(column).cast(pa.large_binary()).to_pylist()]
             start = stop
+    give_back()
 
 
 def map_texts(df: DataFrame, column: str, schema: str, kernel: Callable[[pa.RecordBatch, list[bytes]], dict], limit: int = KERNEL_BYTES, model: str | None = None) -> DataFrame:

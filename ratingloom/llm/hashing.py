@@ -51,7 +51,7 @@ def powers(n: int, back: bool) -> np.ndarray:
 
 
 def table_size(n: int) -> int:
-    return 1 << max(21, int(n).bit_length())
+    return 1 << max(20, int(n).bit_length())
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ PIECES = "row_id long,start long,length long,ids_crc32 long,doc_tokens long"
 #: Pieces of one length that a task numbers at a time, and groups of them whose totals a task adds up.
 RANK_GROUP, RANK_BLOCK = 128, 1024
 #: Bytes of text whose distinct words are encoded together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def byte_letters() -> dict[str, int]:
