@@ -24,7 +24,8 @@ LAYOUTS = {
     "one brand, platform first": (("площадка", "ссылка", "продукт"), 1, 2, None, 4),
     "plain": ((), 0, 1, None, 3),
 }
-TITLES = r"^(interfox ratings|рейтинги)$|^рейтинги "
+#: What a row above the header says: ratings of something, or Рейтинги.
+TITLES = r"^рейтинги( |$)|(^| )ratings$"
 #: Cells of a sheet: one that has more is no report.
 MOST_CELLS = 50_000
 

@@ -15,9 +15,9 @@ def sheet(name, layout, head, title):
 
 
 def test_layouts(spark):
-    cells = [cell for layout, head in HEADS for title in ("", "Рейтинги", "INTERFOX RATINGS", "Рейтинги за год") for cell in sheet(f"{layout}/{title}", layout, head, title)]
+    cells = [cell for layout, head in HEADS for title in ("", "Рейтинги", "ACME RATINGS", "Рейтинги за год") for cell in sheet(f"{layout}/{title}", layout, head, title)]
     frame = spark.createDataFrame(cells, "sheet string, row int, col int, text string")
-    brands = spark.createDataFrame([(f"{layout}/{title}", b) for layout, _ in HEADS for title in ("", "Рейтинги", "INTERFOX RATINGS", "Рейтинги за год") for b in (["Зор"] if "one" in layout else ["Зор", "Зор гель", "Икс"])], "sheet string, brand string")
+    brands = spark.createDataFrame([(f"{layout}/{title}", b) for layout, _ in HEADS for title in ("", "Рейтинги", "ACME RATINGS", "Рейтинги за год") for b in (["Зор"] if "one" in layout else ["Зор", "Зор гель", "Икс"])], "sheet string, brand string")
     got = S.read_sheets(frame, 2026, brands).collect()
     assert len(got) == 40
     for r in got:
