@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,7 +15,7 @@ from .bindings import table
 
 
 def place(spark, name: str) -> str:
-    return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return S.scratch_path(spark, name)
 
 
 #: Zero is no identifier.

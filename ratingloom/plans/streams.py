@@ -11,7 +11,7 @@ from ..registry import query
 from ..streaming import events as E
 from ..streaming import activity as A
 from ..sources.publications import Publications
-from ..sources.sinks import shared_folder
+from ..sources.sinks import scratch_path
 from .bindings import table
 
 
@@ -24,7 +24,7 @@ def stream(spark, d):
 
 
 def folder(spark) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 def seconds(column: str):

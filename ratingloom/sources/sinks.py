@@ -17,20 +17,26 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what lies there is gone when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended: its folder is the cluster's to clean
+        pass
+
+
 def written_once(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table of the shared folder, for what reads them more than once; gone when the driver ends."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     rows.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended: its folder is the cluster's to clean
-            pass
-
-    atexit.register(remove)
     return spark.read.schema(rows.schema).parquet(path)
 
 

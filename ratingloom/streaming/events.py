@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import remove_path
+
 
 def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """Event files as a stream, with event time that a watermark takes."""
@@ -74,6 +77,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str, seconds
     A limit in seconds is an error when it passes, never a shorter table.
     """
     spark, root, written = stream.sparkSession, f"{checkpoint}-{name}", set()
+    atexit.register(remove_path, spark, root)
 
     def write(batch: DataFrame, number: int) -> None:
         # A complete batch replaces the one before it; a batch that runs again replaces itself.
