@@ -62,8 +62,12 @@ def says(message: Column, kind: str) -> Column:
 
 
 def kind_of(message: Column) -> Column:
-    """quota, mode, blocked, parser, review, or null."""
-    status = F.exists(F.regexp_extract_all(message, F.lit(r"\b(\d{3})\b"), F.lit(1)), lambda n: n.isin(*[str(s) for s in BLOCKED_STATUS if s in (429, 498)]))
+    """quota, mode, blocked, parser, review, or null.
+
+    A bare number is an answer's status only where no state is named: beside one it may be an identifier.
+    """
+    statuses, states = "|".join(str(s) for s in BLOCKED_STATUS if s in (429, 498)), "|".join(WORDS["states"])
+    status = message.rlike(rf"(?i)\bHTTP\s+(?:{statuses})\b") | (message.rlike(rf"\b(?:{statuses})\b") & ~message.rlike(rf"(?i)\b(?:{states})\b"))
     parser = says(message, "parser") | message.rlike(r"(?iu)структур\S*\s+(измен|обнов)")
     return F.when(error_kind(message) == "quota_exceeded", "quota").when(says(message, "mode"), "mode").when(says(message, "blocked") | status | message.rlike(r"(?i)\bpow\b"), "blocked").when(parser, "parser").when(says(message, "review"), "review")
 
