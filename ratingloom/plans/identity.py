@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..operators import identity as I
 from ..registry import query
 from .bindings import table
@@ -84,7 +85,7 @@ def pi12(spark, d):
 @query("pi16_title_proves_variant", "SELECT p_partkey, p_partkey % 4 = 0 AS proves FROM part")
 def pi16(spark, d):
     title = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_brand, ' гель ', p_size, ' мл') WHEN 1 THEN concat('гель ', p_size, ' мл') WHEN 2 THEN concat(p_brand, ' гелевый ', p_size, ' мл') ELSE concat(p_brand, ' гель, применять по 5 г утром') END")
-    return table(spark, d, "part").select("p_partkey", I.proves_variant(title, F.col("p_brand")).alias("proves"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", I.proves_variant(title, F.col("p_brand")).alias("proves"))
 
 
 @query("pi17_overrides", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('сироп ', p_size, ' мл') WHEN 1 THEN concat('таблетки №', {COUNT}, ' и №', {COUNT} + 10) END AS label, CASE p_partkey % 4 WHEN 0 THEN 'variant' WHEN 1 THEN 'family' END AS granularity, CAST(CASE p_partkey % 4 WHEN 1 THEN 2 END AS BIGINT) AS variant_count FROM part")
