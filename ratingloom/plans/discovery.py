@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..registry import query
 from ..sources import frontier as R
 from ..sources import markup as M
@@ -37,7 +38,7 @@ CARD = """concat('{"', CASE p_partkey % 3 WHEN 0 THEN 'nm_id' WHEN 1 THEN 'nmId'
 @query("ex13_card_titles", "SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND (p_partkey % 4 = 0 OR p_partkey % 13 <> 0) THEN concat(p_brand, ' капсулы №', CASE WHEN p_partkey % 4 = 0 THEN 5 ELSE p_size % 30 + 2 END) END AS title FROM part")
 def ex13(spark, d):
     """Titles of cards that are this listing's and name its brand, with the pack of their options."""
-    return table(spark, d, "part").select("p_partkey", T.card_title(F.expr(CARD), F.col("p_partkey").cast("string"), F.col("p_brand")).alias("title"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select("p_partkey", T.card_title(F.expr(CARD), F.col("p_partkey").cast("string"), F.col("p_brand")).alias("title"))
 
 
 REVIEWED = """concat('<div><p class="x Review-ReasonToTrustText">Товар — ', p_brand, ' саше ', p_size, ' мг</p><p class="Review-ReasonToTrustText">Товар — Иное</p><p class="Review-Text">Товар — ', p_brand, ' не то</p></div><script>s={"reasonToTrust":{"text":"Product - ', p_brand, ' \\\\u0442аблетки ', p_size, '"},"reasonToTrust":{"text":"Купил"}}</script>')"""

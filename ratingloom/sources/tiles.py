@@ -64,14 +64,15 @@ def card_title(payload: Column, listing_id: Column, brand: Column) -> Column:
     """The title in a card's JSON if the card is this listing's and names the brand, with the pack that its options state; else null."""
     card = F.try_parse_json(payload)
     first = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_variant_get(card, f"$.{n}", "string")), F.lit("")) for n in names])
-    title = first(CARD_TITLES)
     options = F.try_variant_get(card, "$.options", "array<variant>")
     packs = F.filter(F.transform(F.filter(options, lambda o: F.try_variant_get(o, "$.name", "string").rlike(PACK_OPTION)), lambda o: I.pack_count(F.concat(F.try_variant_get(o, "$.value", "string"), F.when(F.try_variant_get(o, "$.value", "string").rlike(r"^\s*\d+\s*$"), " шт").otherwise("")))), lambda n: n > 1)
-    pack = F.get(packs, F.lit(0))
-    bare = F.regexp_replace(title, I.brand_pattern(brand), " ")
-    whole = F.when(I.pack_count(bare).isNull() & pack.isNotNull(), F.concat(title, F.lit(" №"), pack.cast("string"))).otherwise(title)
-    fits = (first(CARD_IDS) == listing_id) & ~title.rlike(CUT_OFF) & F.regexp_like(title, I.brand_pattern(brand))
-    return F.when(fits, whole)
+
+    def whole(title: Column, name: Column) -> Column:
+        stated = M.let(F.regexp_replace(title, name, F.lit(" ")), I.pack_count)
+        told = M.let(F.when(stated.isNull(), F.get(packs, F.lit(0))), lambda pack: F.when(pack.isNotNull(), F.concat(title, F.lit(" №"), pack.cast("string"))).otherwise(title))
+        return F.when((first(CARD_IDS) == listing_id) & ~title.rlike(CUT_OFF) & F.regexp_like(title, name), told)
+
+    return M.let(F.struct(first(CARD_TITLES).alias("title"), I.brand_pattern(brand).alias("name")), lambda s: whole(s["title"], s["name"]))
 
 
 #: Fixed value: the class under which a market shows what product a review is of.

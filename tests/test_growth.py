@@ -26,6 +26,6 @@ def test_cards_that_read_alike_are_decided_once(spark, monkeypatch):
     assert [(r.granularity, r.n) for r in said] == [("variant", 600)] and seen == [3, 3]
 
 
-@pytest.mark.parametrize("name", ["pi16_title_proves_variant"])
+@pytest.mark.parametrize("name", ["pi16_title_proves_variant", "ex13_card_titles"])
 def test_small_tables_are_many_tasks(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
