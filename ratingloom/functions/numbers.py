@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def rating_hundredths(total_hundredths: Column, n: Column, scale: int) -> Column:
     """Mean of n values on 0..scale as hundredths of 0..5, half up; exact, as everything is a whole number."""
@@ -27,7 +29,7 @@ def rating_text(value: Column) -> Column:
 def plain_number(text: Column) -> Column:
     """A number that fills the text: spaces group digits, comma or point parts decimals; else null."""
     squeezed = F.replace(F.regexp_replace(text, r"[\s ]+", ""), F.lit(","), F.lit("."))
-    return F.when(squeezed.rlike(r"^-?\d+([.]\d+)?$"), squeezed.cast("double"))
+    return let(squeezed, lambda t: F.when(t.rlike(r"^-?\d+([.]\d+)?$"), t.cast("double")))
 
 
 def number_in(text: Column) -> Column:
@@ -43,17 +45,16 @@ def strict_count(text: Column) -> Column:
 
 
 def strict_rating(text: Column) -> Column:
-    value = plain_number(text)
-    return F.when(value.between(0, 5), value)
+    return let(plain_number(text), lambda value: F.when(value.between(0, 5), value))
 
 
 def compact_count(text: Column) -> Column:
     """'1,2 тыс', '3k', '2 млн' as whole numbers."""
-    lower = F.lower(F.trim(text))
-    number = F.replace(F.regexp_extract(lower, r"^(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
-    unit = F.regexp_extract(lower, r"^\d+(?:[.,]\d+)?\s*([a-zа-я]*)", 1)
-    times = F.when(unit.isin("тыс", "k", "к"), 1000).when(unit.isin("млн", "m", "м"), 1_000_000).when(unit == "", 1)
-    return F.when(number != "", F.round(number.cast("decimal(18,6)") * times, 0).cast("long"))
+    number = lambda lower: F.replace(F.regexp_extract(lower, r"^(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
+    unit = lambda lower: F.regexp_extract(lower, r"^\d+(?:[.,]\d+)?\s*([a-zа-я]*)", 1)
+    times = lambda u: F.when(u.isin("тыс", "k", "к"), 1000).when(u.isin("млн", "m", "м"), 1_000_000).when(u == "", 1)
+    value = lambda lower: let(number(lower), lambda n: F.when(n != "", F.round(n.cast("decimal(18,6)") * let(unit(lower), times), 0).cast("long")))
+    return let(F.lower(F.trim(text)), value)
 
 
 def score_and_count(text: Column) -> Column:

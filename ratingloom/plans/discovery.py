@@ -18,8 +18,8 @@ TILE = """concat('<div class="w"><div><a href="/product/p-', p, '/?x=1"><img src
 
 def listings(spark, d):
     """A page for each order, with a tile for each of its parts."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").alias("p")).distinct()
-    pages = lines.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.expr(TILE).alias("t")))), lambda s: s["t"]), "").alias("tiles"))
+    pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.collect_set("l_partkey").alias("parts"))
+    pages = pages.withColumn("tiles", F.array_join(F.expr(f"transform(array_sort(parts), p -> {TILE})"), ""))
     return M.with_tree(pages.select("page_id", F.concat(F.lit('<nav><a href="/help">2</a><span>77 отзывов</span></nav><div id="grid">'), "tiles", F.lit("</div><footer>3,3</footer>")).alias("html")))
 
 

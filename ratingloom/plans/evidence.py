@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.json_walk import first_of_names, walk
+from ..functions.spread import spread
 from ..operators import identity as I
 from ..registry import query
 from ..sources import captured
@@ -31,7 +32,7 @@ HTML = f"concat('<html><head><title>t</title>', {LD}, '</head><body><h1> ', p_br
 
 
 def pages(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"), F.expr("concat('https://x.example/p/', p_partkey)").alias("url"), F.expr(HTML).alias("html"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"), F.expr("concat('https://x.example/p/', p_partkey)").alias("url"), F.expr(HTML).alias("html"))
     return M.with_tree(rows)
 
 
@@ -73,7 +74,7 @@ OPTIONS = f"""concat('<h2>Форма выпуска</h2><p>Капсулы по '
 @query("ex05_visible_texts", f"""SELECT p_partkey AS page_id, unnest([concat('description|', p_brand, ' капсулы'), concat('image|Капсулы №', {COUNT}), concat('instruction|Состав: капсулы ', p_size, ' мг'), concat('instruction|Форма выпуска: Капсулы по ', p_size, ' мг'), concat('variant|', {PRODUCT}), concat('variant|', {SECOND}), concat('variant|', {SECOND})]) AS text FROM part""")
 def ex05_visible(spark, d):
     """Options, instruction sections, descriptions and captions, and none of what stands in comments."""
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"), F.expr(OPTIONS).alias("html"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"), F.expr(OPTIONS).alias("html"))
     return E.telling_texts(M.with_tree(rows), "page_id", "brand").select("page_id", F.concat_ws("|", "source", "text").alias("text"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.spread import spread
 from ..registry import query
 from ..sources import layouts as L
 from ..sources import markup as M
@@ -63,7 +64,7 @@ def expected(sites: dict) -> str:
 
 
 def observed(spark, d, sites: dict):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.expr(chosen(sites, 0)).alias("url"), F.col("p_brand").alias("brand"), F.expr(chosen(sites, 1)).alias("html"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(chosen(sites, 0)).alias("url"), F.col("p_brand").alias("brand"), F.expr(chosen(sites, 1)).alias("html"))
     known = [x for x in L.LAYOUTS if x.domain in sites]
     return L.observations(M.with_tree(rows), layouts=known).select("page_id", "domain", "listing_id", "reviews", "rating", "status")
 

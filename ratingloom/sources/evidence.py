@@ -70,7 +70,10 @@ def pairs(tree: Column, reviews: Column) -> Column:
 
 def page_texts(tree: Column) -> Column:
     """All candidate texts of a page."""
-    reviews = M.select(tree, REVIEWS)
+    return M.let(M.select(tree, REVIEWS), lambda reviews: texts_outside(tree, reviews))
+
+
+def texts_outside(tree: Column, reviews: Column) -> Column:
     found = lambda selector: M.outside(M.select(tree, selector), reviews)
     attribute = lambda n, *names: F.coalesce(*[M.tidy(n["attrs"][a]) for a in names])
     shown = lambda n, *names: F.coalesce(attribute(n, *names), M.text_of(tree, n))

@@ -30,22 +30,28 @@ def tiles(pages: DataFrame, link: str, key: str = "page_id", within: str = "body
     """
     tree = F.col("tree")
     links = F.filter(M.select(tree, "a[href]"), lambda a: a["attrs"]["href"].rlike(link))
-    marked = F.transform(links, lambda a: F.struct(a["id"].alias("id"), a["last"].alias("last"), F.regexp_extract(a["attrs"]["href"], link, 1).alias("product"), a["attrs"]["href"].alias("href"), M.text_of(tree, a).alias("text")))
-
-    def tile_of(s: Column, a: Column) -> Column:
-        around = F.filter(tree["nodes"], lambda n: M.contains(n, a) & F.exists(s["grids"], lambda g: M.contains(g, n)))
-        mine = F.filter(around, lambda n: ~F.exists(s["links"], lambda o: (o["product"] != a["product"]) & M.contains(n, o)))
-        return M.let(F.get(mine, F.lit(0)), lambda t: F.struct(t["id"].alias("id"), t["last"].alias("last"), a["product"].alias("product"), a["href"].alias("href"), F.coalesce(a["text"], F.lit("")).alias("text")))
-
-    both = F.struct(marked.alias("links"), M.select(tree, within).alias("grids"))
-    found = M.let(both, lambda s: F.filter(F.transform(s["links"], lambda a: tile_of(s, a)), lambda t: t["id"].isNotNull()))
+    marked = F.transform(links, lambda a: F.struct(a["id"].alias("id"), F.regexp_extract(a["attrs"]["href"], link, 1).alias("product"), a["attrs"]["href"].alias("href"), F.coalesce(M.text_of(tree, a), F.lit("")).alias("text")))
+
+    # Elements of the grid whose links are of one product; the outermost of them are tiles.
+    range_ = lambda n: F.struct(n["id"].alias("id"), n["last"].alias("last"), n["parent"].alias("parent"))
+    placed = F.transform(F.filter(tree["nodes"], lambda n: F.exists("_grids", lambda g: M.contains(g, n))), range_)
+    in_ = lambda n: F.filter("_links", lambda a: (n["id"] <= a["id"]) & (a["id"] <= n["last"]))
+    of_one = lambda mine: (F.size(mine) > 0) & ~F.exists(mine, lambda a: a["product"] != F.get(mine, F.lit(0))["product"])
+    alone = F.filter(placed, lambda n: M.let(in_(n), of_one))
+    outermost = M.let(alone, lambda s: M.let(F.transform(s, lambda n: n["id"]), lambda ids: F.filter(s, lambda n: ~F.array_contains(ids, n["parent"]))))
     # Texts of elements that hold no others: counters and scores stand there.
     leaves = F.transform(F.filter(tree["nodes"], lambda n: (n["id"] == n["last"]) & (n["stop"] > n["begin"])), lambda n: F.struct(n["id"].alias("id"), M.text_of(tree, n).alias("text")))
     shown = F.filter(leaves, lambda n: n["text"].rlike(COUNTER) | n["text"].rlike(SCORE))
-    rows = pages.select(key, shown.alias("shown"), F.explode(found).alias("t"))
-    rows = rows.groupBy(key, F.col("t.id").alias("place"), F.col("t.product").alias("listing_id")).agg(F.first("t.last").alias("last"), F.min("t.href").alias("href"), F.max_by("t.text", F.struct(F.length("t.text"), "t.text")).alias("title"), F.first("shown").alias("shown"))
-    inside = F.filter("shown", lambda n: (n["id"] >= F.col("place")) & (n["id"] <= F.col("last")))
-    values = lambda pattern, read: F.array_distinct(F.transform(F.filter(inside, lambda n: n["text"].rlike(pattern)), lambda n: read(n["text"])))
+
+    def tile(n: Column, mine: Column) -> Column:
+        inside = F.filter("_shown", lambda t: (t["id"] >= n["id"]) & (t["id"] <= n["last"]))
+        title = F.array_max(F.transform(mine, lambda a: F.struct(F.length(a["text"]).alias("n"), a["text"].alias("text"))))["text"]
+        return F.struct(n["id"].alias("place"), F.get(mine, F.lit(0))["product"].alias("listing_id"), F.array_min(F.transform(mine, lambda a: a["href"])).alias("href"), title.alias("title"), F.transform(inside, lambda t: t["text"]).alias("inside"))
+
+    # What a page has never leaves its row.
+    rows = pages.withColumns({"_grids": F.transform(M.select(tree, within), range_), "_links": marked, "_shown": shown})
+    rows = rows.select(key, F.explode(F.transform(outermost, lambda n: M.let(in_(n), lambda mine: tile(n, mine)))).alias("t")).select(key, "t.*")
+    values = lambda pattern, read: F.array_distinct(F.transform(F.filter("inside", lambda t: t.rlike(pattern)), read))
     counts = values(COUNTER, lambda t: compact_count(F.regexp_replace(F.regexp_extract(t, COUNTER, 1), r"(?<=\d)[\s ](?=\d)", "")))
     rows = rows.withColumns({"_counts": counts, "_scores": values(SCORE, plain_number)})
     problem = F.when(F.size("_counts") > 1, "several counters").when(F.size("_scores") > 1, "several ratings").when(F.trim("title") == "", "no title")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ratingloom.catalog import QUERIES
 from ratingloom.operators import identity as I
 from ratingloom.operators import wording as W
+from ratingloom.sources import markup as M
+from ratingloom.sources import tiles as T
 
 
 def test_numbers_beside_a_state_are_no_status(spark):
@@ -29,3 +31,16 @@ def test_cards_that_read_alike_are_decided_once(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["pi16_title_proves_variant", "ex13_card_titles"])
 def test_small_tables_are_many_tasks(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tiles_stay_with_their_page(spark):
+    tile = lambda p, n: f'<div><a href="/product/p-{p}/?x"><img></a><a href="/product/p-{p}/">Товар {p}</a><p><span>4,5</span><b>{n} отзывов</b></p></div>'
+    html = f'<nav><a href="/product/p-9/">9</a></nav><div id="grid">{tile(1, 3)}{tile(2, "1 200")}<section>{tile(3, 5)}<a href="/product/p-3/">Самый длинный текст</a></section></div>'
+    found = T.tiles(M.with_tree(spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "page_id int, html string")), r"/product/p-(\d+)/", within="#grid")
+    assert [(r.listing_id, r.title, r.reviews, r.rating, r.problem) for r in found.orderBy("place").collect()] == [("1", "Товар 1", 3, 4.5, None), ("2", "Товар 2", 1200, 4.5, None), ("3", "Самый длинный текст", 5, 4.5, None)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fmt05_configured_selectors", "fmt07_attribute_pairs", "src10_market_pages"])
+def test_pages_of_small_tables_are_many_tasks(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
