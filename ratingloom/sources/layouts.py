@@ -136,38 +136,42 @@ def ld_product(tree: Column) -> Column:
     nodes = F.flatten(F.transform(F.filter(scripts, lambda v: v.isNotNull()), lambda v: F.coalesce(listed(v), none)))
     kind = lambda v: F.concat_ws(" ", F.try_variant_get(v, "$['@type']", "array<string>"), F.try_variant_get(v, "$['@type']", "string"))
     products = F.filter(nodes, lambda v: kind(v).rlike(r"(^|[\s\"])Product($|[\s\"])"))
-    rated = F.filter(products, lambda v: F.try_variant_get(v, "$.aggregateRating", "variant").isNotNull())
-    return F.coalesce(F.get(rated, F.lit(0)), F.get(products, F.lit(0)))
+    rated = lambda p: F.filter(p, lambda v: F.try_variant_get(v, "$.aggregateRating", "variant").isNotNull())
+    return M.let(products, lambda p: F.coalesce(F.get(rated(p), F.lit(0)), F.get(p, F.lit(0))))
 
 
-def value_of(rule: Rule, tree: Column, url: Column) -> Column:
+def value_of(rule: Rule, tree: Column, url: Column, data: Column) -> Column:
+    """A rule's value; `data` has what rules share: the product of the page's JSON-LD and the page as JSON."""
     if rule.kind == "address":
-        return F.nullif(F.regexp_extract(url, "(?i)" + rule.where, 1), F.lit(""))
+        return M.let(F.regexp_extract(url, "(?i)" + rule.where, 1), some)
     if rule.kind == "text":
-        return F.nullif(F.regexp_extract(tree["text"], rule.where, 1), F.lit(""))
+        return M.let(F.regexp_extract(tree["text"], rule.where, 1), some)
     if rule.kind == "ld":
         place = f"$.{rule.where}" if rule.where in ("sku", "name") else f"$.aggregateRating.{rule.where}"
-        return F.try_variant_get(ld_product(tree), place, "string")
+        return F.try_variant_get(data["ld"], place, "string")
     if rule.kind == "json":
-        return F.try_variant_get(F.try_parse_json(tree["text"]), f"$.{rule.where}", "string")
+        return F.try_variant_get(data["json"], f"$.{rule.where}", "string")
     if rule.kind == "micro":
         # Two elements with different values, or two sums of ratings, tell nothing.
         inside = f"{rule.attribute} " if rule.attribute else ""
         found = F.array_distinct(F.transform(M.select(tree, f"{inside}[itemprop='aggregateRating'] [itemprop='{rule.where}']"), lambda n: F.coalesce(M.tidy(n["attrs"]["content"]), M.text_of(tree, n))))
-        return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+        return M.let(found, lambda v: F.when(F.size(v) == 1, F.get(v, F.lit(0))))
     values = F.transform(M.select(tree, rule.where), lambda n: M.tidy(n["attrs"][rule.attribute]) if rule.attribute else M.text_of(tree, n))
     if rule.pattern:
-        values = F.transform(values, lambda v: F.nullif(F.regexp_extract(v, rule.pattern, 1), F.lit("")))
+        values = F.transform(values, lambda v: M.let(F.regexp_extract(v, rule.pattern, 1), some))
     return F.get(F.array_compact(values), F.lit(0))
 
 
-def first_value(rules: tuple[Rule, ...], tree: Column, url: Column) -> Column:
-    return F.coalesce(*[value_of(r, tree, url) for r in rules]) if rules else F.lit(None).cast("string")
+def some(text: Column) -> Column:
+    return F.when(text != "", text)
+
+
+def first_value(rules: tuple[Rule, ...], tree: Column, url: Column, data: Column) -> Column:
+    return F.coalesce(*[value_of(r, tree, url, data) for r in rules]) if rules else F.lit(None).cast("string")
 
 
 def whole(value: Column) -> Column:
-    number = plain_number(value)
-    return F.when((number >= 0) & (number == F.floor(number)), number.cast("long"))
+    return M.let(plain_number(value), lambda number: F.when((number >= 0) & (number == F.floor(number)), number.cast("long")))
 
 
 def listed_reviews(reviews: Reviews, tree: Column) -> Column:
@@ -191,28 +195,39 @@ READ = "title string, listing_id string, count long, rating double, ratings long
 
 def read(layout: Layout, tree: Column, url: Column) -> Column:
     """What a layout's rules find on a page, as READ."""
+    rules = [*layout.listing, *layout.count, *layout.rating, *layout.ratings, *layout.visible, *([layout.bound] if layout.bound else []), *([] if layout.title else [json("name")])]
+    needs, none = {r.kind for r in rules}, F.lit(None).cast("variant")
+    data = F.struct((ld_product(tree) if "ld" in needs else none).alias("ld"), (F.try_parse_json(tree["text"]) if "json" in needs else none).alias("json"))
+    summary = M.let(listed_reviews(layout.reviews, tree), lambda items: summed(layout.reviews, items)) if layout.reviews else F.lit(None).cast("struct<n_items:int,sound:boolean,mean:double>")
+    known = F.struct(data.alias("data"), summary.alias("items"))
+    return M.let(known, lambda k: M.let(first_value(layout.listing, tree, url, k["data"]), lambda listing: read_with(layout, tree, url, k["data"], k["items"], listing)))
+
+
+def summed(reviews: Reviews, items: Column) -> Column:
+    """How many reviews a list has, whether each has an id and a score of its own, and the mean; all null without a list."""
+    scores, ids = F.flatten(F.transform(items, lambda r: r["scores"])), F.transform(items, lambda r: r["id"])
+    one_each = lambda values: F.forall(items, lambda r: (F.size(r["scores"]) == 1) if not reviews.code else F.size(r["scores"]) <= 1) & F.forall(values, lambda s: s.isNotNull() & s.between(0, 5))
+    distinct = lambda values: F.forall(values, lambda i: i.isNotNull()) & (F.size(F.array_distinct(values)) == F.size(values))
+    hundredths = lambda values: F.aggregate(values, F.lit(0).cast("decimal(20,4)"), lambda a, s: (a + s.cast("decimal(10,4)")).cast("decimal(20,4)"))
+    mean = lambda values: F.when(F.size(values) > 0, F.round(hundredths(values) / F.size(values), 2).cast("double"))
+    each = F.struct(scores.alias("scores"), ids.alias("ids"))
+    return M.let(each, lambda e: F.struct(F.size(items).alias("n_items"), (one_each(e["scores"]) & distinct(e["ids"])).alias("sound"), mean(e["scores"]).alias("mean")))
+
+
+def read_with(layout: Layout, tree: Column, url: Column, data: Column, items: Column, listing: Column) -> Column:
     none = lambda kind: F.lit(None).cast(kind)
     there = lambda selector: F.size(M.select(tree, selector)) > 0 if selector else none("boolean")
-    title = F.coalesce(M.first_text(tree, layout.title), M.first_attribute(tree, "meta[property='og:title']", "content")) if layout.title else F.coalesce(value_of(json("imt_name"), tree, url), value_of(json("name"), tree, url))
-    listing = first_value(layout.listing, tree, url)
-    n_items = sound = mean = None
-    if layout.reviews:
-        items = listed_reviews(layout.reviews, tree)
-        scores = F.flatten(F.transform(items, lambda r: r["scores"]))
-        ids = F.transform(items, lambda r: r["id"])
-        one_each = F.forall(items, lambda r: (F.size(r["scores"]) == 1) if not layout.reviews.code else F.size(r["scores"]) <= 1) & F.forall(scores, lambda s: s.isNotNull() & s.between(0, 5))
-        distinct = F.forall(ids, lambda i: i.isNotNull()) & (F.size(F.array_distinct(ids)) == F.size(ids))
-        n_items, sound = F.size(items), one_each & distinct
-        hundredths = F.aggregate(scores, F.lit(0).cast("decimal(20,4)"), lambda a, s: (a + s.cast("decimal(10,4)")).cast("decimal(20,4)"))
-        mean = F.when(F.size(scores) > 0, F.round(hundredths / F.size(scores), 2).cast("double"))
-    bound = F.coalesce(value_of(layout.bound, tree, url) == listing, F.lit(False)) if layout.bound else F.lit(True)
+    of = lambda rule: value_of(rule, tree, url, data)
+    first = lambda rules: first_value(rules, tree, url, data)
+    title = F.coalesce(M.first_text(tree, layout.title), M.first_attribute(tree, "meta[property='og:title']", "content")) if layout.title else F.coalesce(of(json("imt_name")), of(json("name")))
+    bound = F.coalesce(of(layout.bound) == listing, F.lit(False)) if layout.bound else F.lit(True)
     parts = {
-        "title": title, "listing_id": listing, "count": whole(first_value(layout.count, tree, url)), "rating": plain_number(first_value(layout.rating, tree, url)), "ratings": whole(first_value(layout.ratings, tree, url)),
-        "visible": whole(first_value(layout.visible, tree, url)), "listed": there(layout.listed), "empty": there(layout.empty), "zero": F.concat_ws(" ", M.first_text(tree, "title"), tree["text"]).rlike(layout.zero) if layout.zero else F.lit(False),
-        "editorial": M.first_text(tree, "title").rlike(layout.editorial) if layout.editorial else F.lit(False), "bound": bound, "n_items": n_items, "sound": sound, "mean": mean,
+        "title": title, "listing_id": listing, "count": whole(first(layout.count)), "rating": plain_number(first(layout.rating)), "ratings": whole(first(layout.ratings)),
+        "visible": whole(first(layout.visible)), "listed": there(layout.listed), "empty": there(layout.empty), "zero": F.concat_ws(" ", M.first_text(tree, "title"), tree["text"]).rlike(layout.zero) if layout.zero else F.lit(False),
+        "editorial": M.first_text(tree, "title").rlike(layout.editorial) if layout.editorial else F.lit(False), "bound": bound, "n_items": items["n_items"], "sound": items["sound"], "mean": items["mean"],
     }
     kinds = dict(p.split(" ") for p in READ.split(", "))
-    return F.struct(*[(none(kinds[n]) if v is None else v.cast(kinds[n])).alias(n) for n, v in parts.items()])
+    return F.struct(*[v.cast(kinds[n]).alias(n) for n, v in parts.items()])
 
 
 def is_blocked(tree: Column) -> Column:
