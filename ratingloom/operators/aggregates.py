@@ -40,7 +40,8 @@ def reconcile(rows: DataFrame, key: list[str], metrics: list[str], order: str) -
     ranked = rows.withColumn("_full", fullness)
     out = ranked.groupBy(*key).agg(
         *[F.max_by(F.col(m), F.when(F.col(m).isNotNull(), F.struct("_full", (-F.col(order)).alias("o")))).alias(m) for m in metrics],
-        *[(F.count_distinct(m) > 1).alias(f"_c_{m}") for m in metrics],
+        # Two values differ exactly if the least and the greatest do; counting distinct ones would multiply the rows.
+        *[F.coalesce(F.min(m) != F.max(m), F.lit(False)).alias(f"_c_{m}") for m in metrics],
         F.count("*").alias("n_rows"),
     )
     conflict = F.greatest(*[F.col(f"_c_{m}") for m in metrics], F.lit(False))

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratingloom.catalog import QUERIES
+from ratingloom.operators import admission as N
+from ratingloom.operators import aggregates as G
 from ratingloom.operators import identity as I
 from ratingloom.operators import wording as W
 from ratingloom.sources import markup as M
@@ -100,3 +102,21 @@ def test_a_batch_asks_for_a_runs_state_once(spark):
     list(pairing.handleInputRows((1,), iter([pd.DataFrame(marks, columns=["activity", "kind", "micros"])]), None))
     assert handle.calls <= 10 and handle.timers == {1}
     assert [r[:4] for r in pairing.settled(1, 2_000)] == [(1, 0, 0, 5), (1, 1, 1_000_000, 1_000_005)] and len(handle.value[0]) == 498
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicates_are_not_multiplied_to_be_compared(spark):
+    rows = spark.createDataFrame([("a", 1, None, "x"), ("a", 2, 5, "x"), ("b", 1, 4, "y"), ("b", 2, 5, "y"), ("c", 1, None, None)], "k string, o int, m int, t string")
+    out = G.reconcile(rows, ["k"], ["m", "t"], "o")
+    assert "Expand" not in plan(out)
+    assert {(r.k, r.m, r.t, r.conflict) for r in out.collect()} == {("a", 5, "x", False), ("b", 4, "y", True), ("c", None, None, False)}
+
+
+def test_budgets_call_python_for_frames_not_for_blocks(spark):
+    calls = spark.range(400).select("id", (F.col("id") % 7).alias("user"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit("reserve").alias("kind"))
+    out = N.budgeted(calls, "user", ["ts", "id"], "kind", 5, seconds=60)
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    assert out.filter("admitted").count() == 35
