@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spread import spread
 from ..operators import projections as P
 from ..registry import query
 from ..sources import datasets as D
@@ -33,7 +34,7 @@ def src11(spark, d):
 @query("src13_dataset_unique", LISTED.format(domain="wildberries.ru", key="p_partkey", where=""))
 def src13(spark, d):
     """Items of single listings, every third one given twice alike."""
-    parts = table(spark, d, "part")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
     item = F.to_json(F.struct(F.col("p_partkey").alias("nmId"), F.col("p_name").alias("name"), (F.col("p_partkey") % 7).alias("feedbacks"), ((F.col("p_partkey") % 41 + 10) / 10).alias("reviewRating")))
     return D.observations_of(parts.union(parts.filter("p_partkey % 3 = 0")).select(item.alias("item")), D.WILDBERRIES).select("domain", "listing_id", "product", "reviews", (F.col("rating") * 100).cast("long").alias("rating_x100"), "status")
 

@@ -39,7 +39,7 @@ YANDEX = Dataset("market.yandex.ru", ("modelId",))
 
 def listings(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFrame:
     """A row for each listing in the items: listing_id and METRICS as they are given; columns of different lengths fail."""
-    v = F.try_parse_json(body)
+    v = F.col("_v")
 
     def values(names: tuple[str, ...]):
         # A list is a column; what is none is a column of one.
@@ -47,7 +47,8 @@ def listings(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFram
         return F.coalesce(*each)
 
     columns = {"listing_id": dataset.ids, "product": dataset.product, "url": dataset.url, "reviews": dataset.reviews, "rating_count": dataset.rating_count, "raw_rating": dataset.rating}
-    read = items.select(F.monotonically_increasing_id().alias("place"), *[values(names).alias(c) for c, names in columns.items()]).filter("listing_id is not null")
+    parsed = items.select(F.monotonically_increasing_id().alias("place"), F.try_parse_json(body).alias("_v"))
+    read = parsed.select("place", *[values(names).alias(c) for c, names in columns.items()]).filter("listing_id is not null")
     uneven = F.exists(F.array(*[F.size(c) for c in columns]), lambda n: (n >= 0) & (n != F.size("listing_id")))
     checked = read.filter(F.when(uneven, F.raise_error(F.lit("a dataset item has columns of different lengths")).cast("boolean")).otherwise(True))
     filled = [F.coalesce(c, F.array_repeat(F.lit(None).cast("string"), F.size("listing_id"))).alias(c) for c in columns]
