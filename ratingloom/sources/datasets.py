@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import compact_count, plain_number, rating_to_five, sku
+from ..functions.text import let
 from ..operators.aggregates import identical_only, reconcile
 
 METRICS = ["product", "url", "reviews", "rating_count", "raw_rating"]
@@ -48,11 +49,16 @@ def listings(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFram
 
     columns = {"listing_id": dataset.ids, "product": dataset.product, "url": dataset.url, "reviews": dataset.reviews, "rating_count": dataset.rating_count, "raw_rating": dataset.rating}
     parsed = items.select(F.monotonically_increasing_id().alias("place"), F.try_parse_json(body).alias("_v"))
-    read = parsed.select("place", *[values(names).alias(c) for c, names in columns.items()]).filter("listing_id is not null")
-    uneven = F.exists(F.array(*[F.size(c) for c in columns]), lambda n: (n >= 0) & (n != F.size("listing_id")))
-    checked = read.filter(F.when(uneven, F.raise_error(F.lit("a dataset item has columns of different lengths")).cast("boolean")).otherwise(True))
-    filled = [F.coalesce(c, F.array_repeat(F.lit(None).cast("string"), F.size("listing_id"))).alias(c) for c in columns]
-    return checked.select("place", F.posexplode(F.arrays_zip(*filled)).alias("nth", "r")).select((F.col("place").cast("decimal(38,0)") * 10_000_000_000 + F.col("nth")).alias("place"), sku(F.col("r.listing_id")).alias("listing_id"), "r.product", "r.url", compact_count(F.col("r.reviews")).alias("reviews"), compact_count(F.col("r.rating_count")).alias("rating_count"), plain_number(F.col("r.raw_rating")).alias("raw_rating")).filter("listing_id is not null")
+
+    def zipped(item):
+        n = F.size(item["listing_id"])
+        uneven = F.exists(F.array(*[F.size(item[c]) for c in columns]), lambda m: (m >= 0) & (m != n))
+        filled = [F.coalesce(item[c], F.array_repeat(F.lit(None).cast("string"), n)).alias(c) for c in columns]
+        return F.when(uneven, F.raise_error(F.lit("a dataset item has columns of different lengths"))).otherwise(F.arrays_zip(*filled))
+
+    # One expression, as a filter would work the values out once more.
+    rows = let(F.struct(*[values(names).alias(c) for c, names in columns.items()]), zipped).cast(f"array<struct<{', '.join(f'{c}:string' for c in columns)}>>")
+    return parsed.select("place", F.posexplode(rows).alias("nth", "r")).select((F.col("place").cast("decimal(38,0)") * 10_000_000_000 + F.col("nth")).alias("place"), sku(F.col("r.listing_id")).alias("listing_id"), "r.product", "r.url", compact_count(F.col("r.reviews")).alias("reviews"), compact_count(F.col("r.rating_count")).alias("rating_count"), plain_number(F.col("r.raw_rating")).alias("raw_rating")).filter("listing_id is not null")
 
 
 def observations_of(items: DataFrame, dataset: Dataset, body: str = "item") -> DataFrame:
