@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate
 
@@ -36,6 +37,13 @@ HOLDS = frozenset("html body table ul ol dl select div article section nav main
 #: Attribute under which a script's own text stands: it is no text of the page.
 SCRIPT = "#text"
 
+#: Text up to markup that is read alike by all: a start tag with quoted or no values, an end tag, a simple comment, a doctype.
+ATTRIBUTE = r"""[ \t\n\r\f]+([a-zA-Z_][\w:-]*)(?:=(?:"([^"]*)"|'([^']*)'))?"""
+SIMPLE = re.compile(rf"""([^<]*)(?:<(?:([a-zA-Z][a-zA-Z0-9]*)((?:{ATTRIBUTE})*)[ \t\n\r\f]*(/?)>|/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*>|!--[^<>-]*-->|!(?:doctype|DOCTYPE)\s[^<>]*>)|\Z)""", re.ASCII)
+ATTRIBUTE = re.compile(ATTRIBUTE, re.ASCII)
+#: Elements whose text is no markup, for some or all versions of the parser, and those of them whose references stay as written.
+OPAQUE, RAW = frozenset("script style title textarea iframe noembed noframes noscript plaintext xmp".split()), frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)
+
 
 class Tree(HTMLParser):
     """Elements in document order. Tags that are left open end where their parent ends; ends of nothing are passed over."""
@@ -59,12 +67,13 @@ class Tree(HTMLParser):
                 self.say(" ")
 
     def handle_starttag(self, tag, attrs):
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][3]
-            if name in CLOSES.get(tag, ()):
-                self.close_to(depth)
-            elif name in HOLDS:
-                break
+        if closes := CLOSES.get(tag):
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.open[depth][3]
+                if name in closes:
+                    self.close_to(depth)
+                elif name in HOLDS:
+                    break
         if tag not in INLINE:
             self.say(" ")
         node = [len(self.nodes), len(self.nodes), self.open[-1][0] if self.open else -1, tag, {k: v or "" for k, v in reversed(attrs)}, self.size, self.size]
@@ -90,10 +99,39 @@ class Tree(HTMLParser):
             self.say(data)
 
 
+def read_simply(html: str) -> Tree | None:
+    """The tree of a page whose markup is SIMPLE throughout, in a fraction of the parser's time; None of any other page."""
+    tree, at, size, within, raw = Tree(), 0, len(html), "", False
+    while at < size:
+        found = SIMPLE.match(html, at)
+        if not found:
+            return None
+        text, tag, attrs, _, _, _, empty, ended = found.groups()
+        if within and (ended is None or ended.lower() != within):
+            return None
+        if text:
+            tree.handle_data(text if raw or "&" not in text else unescape(text))
+        within, raw = "", False
+        if tag:
+            tag = tag.lower()
+            pairs = [(name.lower(), unescape(one or other)) for name, one, other in ATTRIBUTE.findall(attrs)] if attrs else ()
+            if empty:
+                tree.handle_startendtag(tag, pairs)
+            else:
+                tree.handle_starttag(tag, pairs)
+                within, raw = tag if tag in OPAQUE else "", tag in RAW
+        elif ended:
+            tree.handle_endtag(ended.lower())
+        at = found.end()
+    return None if within else tree
+
+
 def parsed(html: str | None) -> Tree:
-    tree = Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree = read_simply(html or "")
+    if tree is None:
+        tree = Tree()
+        tree.feed(html)
+        tree.close()
     tree.close_to(0)
     return tree
 
