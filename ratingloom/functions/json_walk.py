@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Levels at which a text is taken for an attack: an error, never a shorter result.
 DEEPEST = 64
 
 
+def levels(first: Column, below: Callable[[Column], Column], deepest: int, kept: Callable[[Column], Column] = lambda nodes: nodes) -> Column:
+    """What is kept of the nodes of an array and of those `below` each, level by level as far as `deepest`, within a row."""
+    grown = lambda s, nodes: F.struct(nodes.alias("front"), F.concat(s["all"], kept(nodes)).alias("all"))
+    step = lambda s, _: F.when(F.size(s["front"]) == 0, s).otherwise(let(F.flatten(F.transform(s["front"], below)), lambda nodes: grown(s, nodes)))
+    start = let(first, lambda nodes: F.struct(nodes.alias("front"), kept(nodes).alias("all")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda s: s["all"])
+
+
 def recursive(rows: DataFrame, first: str, next_: str, columns: str, deepest: int) -> DataFrame:
     """The rows of `first`, and of `next_` over the rows of the level before, until there are none.
 

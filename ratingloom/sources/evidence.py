@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_walk import recursive
+from ..functions.json_walk import levels
+from ..functions.text import let
 from ..operators import identity as I
 from . import markup as M
 from .payloads import IDLE, TELLING, absolute
@@ -33,7 +34,7 @@ FIELDS = {"name": "Название", "model": "Модель", "dosageForm": "Л
 IDENTIFIERS = {"sku": "sku", "productID": "product_id", "mpn": "product_id", "gtin": "gtin", "gtin8": "gtin", "gtin12": "gtin", "gtin13": "gtin", "gtin14": "gtin"}
 #: Levels of a JSON-LD script that are read.
 LEVELS = 12
-TEXT = "source string, block int, label string, text string, area boolean"
+NODES = "array<struct<path:string,v:variant,in_variant:boolean,inherited:boolean,members:map<string,variant>,items:array<variant>,named:boolean,product:boolean>>"
 
 
 def tells(text: Column) -> Column:
@@ -117,45 +118,50 @@ def telling_texts(pages: DataFrame, key: str, brand: str) -> DataFrame:
 # JSON-LD
 
 
-def of_variant(v: str, path: str) -> str:
-    """SQL of the plain text at a path; what is an object gives its name or value."""
-    return f"coalesce(try_variant_get({v}, '$.{path}.name', 'string'), try_variant_get({v}, '$.{path}.value', 'string'), try_variant_get({v}, '$.{path}', 'string'))"
+def of_variant(v: Column, path: str) -> Column:
+    """The plain text at a path; what is an object gives its name or value."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{path}{inner}", "string") for inner in (".name", ".value", "")])
 
 
 def ld_nodes(pages: DataFrame, key: str, brand: str) -> DataFrame:
     """Products and variants of the brand in a page's JSON-LD: key, path, in_variant and the node.
 
     A node counts if it is a product, or stands under hasVariant, and names the brand; what stands under hasVariant of a
-    node that names the brand need not name it again.
+    node that names the brand need not name it again. A script's levels stay in its row, so only what counts is a row.
     """
     texts = F.transform(M.select(F.col("tree"), "script[type='application/ld+json']"), lambda n: F.regexp_replace(F.trim(n["attrs"][M.SCRIPT]), r"^(?:<!--|<!\[CDATA\[)|(?:-->|\]\]>)$", ""))
     scripts = pages.select(F.col(key).alias("_key"), I.brand_pattern(F.col(brand)).alias("_brand"), F.posexplode(texts).alias("nth", "text"))
     scripts = scripts.select("_key", "_brand", F.concat(F.lit("$"), "nth").alias("path"), F.try_parse_json("text").alias("v")).filter("v is not null")
-    named = lambda v: f"coalesce(regexp_like(concat_ws('\\n', {', '.join(of_variant(v, p) for p in ('name', 'brand', 'manufacturer'))}), {{brand}}), false)"
-    first = f"_key, _brand, path, 0, v, false, false, {named('v').format(brand='_brand')}"
-    here = "e.key = 'hasVariant'"
-    next_ = (
-        f"w.k, w.brand, concat(w.path, coalesce(concat('.', e.key), format_string('[%06d]', e.pos))), w.depth + 1, e.value, "
-        f"CASE WHEN {here} THEN true WHEN e.key IS NULL THEN w.in_variant ELSE false END, CASE WHEN {here} THEN w.named OR w.inherited WHEN e.key IS NULL THEN w.inherited ELSE false END, "
-        f"{named('e.value').format(brand='w.brand')} FROM walk w, LATERAL variant_explode(w.v) e WHERE w.depth < {LEVELS}"
-    )
-    found = recursive(scripts, first, next_, "k, brand, path, depth, v, in_variant, inherited, named", LEVELS + 2)
-    kinds = F.lower(F.concat_ws(" ", F.try_variant_get("v", "$['@type']", "array<string>"), F.try_variant_get("v", "$['@type']", "string")))
-    product = kinds.rlike(r"(^|[\s\"/\[,])product($|[\s\",\]])")
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    counts = is_object & (product | F.col("in_variant")) & (F.col("named") | (F.col("in_variant") & F.col("inherited")))
-    return found.filter(counts).select(F.col("k").alias(key), "path", "in_variant", "v")
+
+    def node(path: Column, v: Column, in_variant: Column, inherited: Column) -> Column:
+        members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+        said = F.concat_ws("\n", *[of_variant(v, field) for field in ("name", "brand", "manufacturer")])
+        kinds = F.lower(F.concat_ws(" ", F.try_variant_get(v, "$['@type']", "array<string>"), F.try_variant_get(v, "$['@type']", "string")))
+        named = members.isNotNull() & F.coalesce(F.regexp_like(said, F.col("_brand")), F.lit(False))
+        product = members.isNotNull() & kinds.rlike(r"(^|[\s\"/\[,])product($|[\s\",\]])")
+        parts = {"path": path, "v": v, "in_variant": in_variant, "inherited": inherited, "members": members, "items": items, "named": named, "product": product}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def below(n: Column) -> Column:
+        of_members = F.transform(F.map_entries(n["members"]), lambda e: let(e["key"] == "hasVariant", lambda here: node(F.concat(n["path"], F.lit("."), e["key"]), e["value"], here, here & (n["named"] | n["inherited"]))))
+        of_items = F.transform(n["items"], lambda v, i: node(F.concat(n["path"], F.format_string("[%06d]", i)), v, n["in_variant"], n["inherited"]))
+        return F.filter(F.coalesce(of_members, of_items, F.array().cast(NODES)), lambda c: c["members"].isNotNull() | c["items"].isNotNull())
+
+    counts = lambda n: n["members"].isNotNull() & (n["product"] | n["in_variant"]) & (n["named"] | (n["in_variant"] & n["inherited"]))
+    kept = lambda nodes: F.transform(F.filter(nodes, counts), lambda n: F.struct(n["path"].alias("path"), n["in_variant"].alias("in_variant"), n["v"].alias("v")))
+    top = F.array(node(F.col("path"), F.col("v"), F.lit(False), F.lit(False)))
+    return scripts.select(F.col("_key").alias(key), F.explode(levels(top, below, LEVELS, kept)).alias("n")).select(key, "n.*")
 
 
 def ld_texts(nodes: DataFrame, key: str) -> DataFrame:
     """key, path, in_variant, and each node's telling fields and properties as one text, its identifiers and its pictures."""
-    labelled = [F.when(F.expr(of_variant("v", field)).isNotNull(), F.concat(F.lit(f"{label}: "), M.tidy(F.expr(of_variant("v", field))))) for field, label in FIELDS.items()]
+    labelled = [F.when(of_variant(F.col("v"), field).isNotNull(), F.concat(F.lit(f"{label}: "), M.tidy(of_variant(F.col("v"), field)))) for field, label in FIELDS.items()]
     more = F.coalesce(F.try_variant_get("v", "$.additionalProperty", "array<variant>"), F.array(F.try_variant_get("v", "$.additionalProperty", "variant")))
     name = lambda p: F.coalesce(F.try_variant_get(p, "$.name", "string"), F.try_variant_get(p, "$.propertyID", "string"))
     value = lambda p: F.coalesce(F.try_variant_get(p, "$.value", "string"), F.try_variant_get(p, "$.valueReference", "string"))
     properties = F.transform(F.filter(more, lambda p: name(p).rlike(TELLING) & ~name(p).rlike(IDLE) & value(p).isNotNull()), lambda p: F.concat(M.tidy(name(p)), F.lit(": "), M.tidy(value(p))))
     text = F.array_join(F.concat(F.array_compact(F.array(*labelled)), F.coalesce(properties, F.array().cast("array<string>"))), "; ")
-    ids = F.array_compact(F.array(*[F.when(F.expr(of_variant("v", field)).isNotNull(), F.struct(F.lit(kind).alias("type"), F.expr(of_variant("v", field)).alias("value"))) for field, kind in IDENTIFIERS.items()]))
+    ids = F.array_compact(F.array(*[F.when(of_variant(F.col("v"), field).isNotNull(), F.struct(F.lit(kind).alias("type"), of_variant(F.col("v"), field).alias("value"))) for field, kind in IDENTIFIERS.items()]))
     pictures = F.coalesce(F.try_variant_get("v", "$.image", "array<string>"), F.array_compact(F.array(F.coalesce(F.try_variant_get("v", "$.image.url", "string"), F.try_variant_get("v", "$.image.contentUrl", "string"), F.try_variant_get("v", "$.image", "string")))))
     return nodes.select(key, "path", "in_variant", F.nullif(text, F.lit("")).alias("text"), ids.alias("identifiers"), pictures.alias("images"))
 

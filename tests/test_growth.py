@@ -9,6 +9,7 @@ from ratingloom.operators import admission as N
 from ratingloom.operators import aggregates as G
 from ratingloom.operators import identity as I
 from ratingloom.operators import wording as W
+from ratingloom.sources import evidence as E
 from ratingloom.sources import markup as M
 from ratingloom.sources import tiles as T
 from ratingloom.streaming import activity as A
@@ -120,3 +121,14 @@ def test_budgets_call_python_for_frames_not_for_blocks(spark):
     out = N.budgeted(calls, "user", ["ts", "id"], "kind", 5, seconds=60)
     assert "FlatMapGroupsInPandas" not in plan(out)
     assert out.filter("admitted").count() == 35
+
+
+def test_levels_of_json_ld_stay_in_their_row(spark, sf_dir):
+    assert "UnionLoop" not in plan(QUERIES["fmt03_json_ld_evidence"](spark, sf_dir))
+    script = '{"@graph":[{"@type":"ProductGroup","name":"Зорлан","hasVariant":[{"name":"А","hasVariant":{"name":"Б"}},[{"name":"В"}],{"offers":{"name":"Г"}}]},{"@type":"Product","name":"Иное"},{"@type":["Thing","Product"],"brand":{"name":"Зорлан"}}]}'
+    deep = '{"a":' * 12 + '{"@type":"Product","name":"Зорлан"}' + "}" * 12
+    page = "".join(f'<script type="application/ld+json">{s}</script>' for s in (script, "{oops", "7", deep, f'{{"a":{deep}}}'))
+    found = E.ld_nodes(M.with_tree(spark.createDataFrame([(1, "Зорлан", page)], "id int, brand string, html string")), "id", "brand")
+    group = "$0.@graph[000000]"
+    variants = [f"{group}.hasVariant{p}" for p in ("[000000]", "[000000].hasVariant", "[000001][000000]", "[000002]")]
+    assert {(r.path, r.in_variant) for r in found.collect()} == {("$0.@graph[000002]", False), ("$3" + ".a" * 12, False), *((p, True) for p in variants)}
