@@ -39,11 +39,7 @@ NODES = "array<struct<path:string,v:variant,in_variant:boolean,inherited:boolean
 
 def tells(text: Column) -> Column:
     """Whether a text has a form, a pack or a strength."""
-    return I.dosage_form(text).isNotNull() | measures(text)
-
-
-def measures(text: Column) -> Column:
-    return I.pack_count(text).isNotNull() | (F.size(I.doses(text)) > 0)
+    return I.has_form(text) | I.has_measure(text)
 
 
 def row(source: str, block: Column, text: Column, label: Column | None = None, area: Column | None = None) -> Column:
@@ -106,8 +102,8 @@ def telling_texts(pages: DataFrame, key: str, brand: str) -> DataFrame:
         .when(F.col("source") == "attribute", label_tells & tells(F.concat_ws(": ", "label", "text")))
         .when(F.col("source") == "instruction", label_tells & tells(text))
         .when(F.col("source").isin("variant", "link"), tells(text))
-        .when(F.col("source") == "image", tells(text) & (named | (F.col("area") & I.dosage_form(text).isNotNull())))
-        .when(F.col("source") == "description", I.dosage_form(text).isNotNull() & (measures(text) | named))
+        .when(F.col("source") == "image", tells(text) & ((F.col("area") & I.has_form(text)) | named))
+        .when(F.col("source") == "description", I.has_form(text) & (I.has_measure(text) | named))
     )
     said = F.concat_ws(": ", F.when(F.col("source").isin("attribute", "instruction"), F.col("label")), "text")
     rows = rows.filter(counts).select(key, F.when(F.col("source") == "link", "instruction").otherwise(F.col("source")).alias("source"), "block", "place", said.alias("text"))

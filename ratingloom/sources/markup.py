@@ -227,11 +227,11 @@ HANGS: dict[str, Callable[[Column, Column], Column]] = {
 
 def chained(nodes: Column, chain: list[tuple[str, list[dict]]]) -> Column:
     how, tests = chain[-1]
-    here = F.filter(nodes, lambda n: passes(n, tests))
     if len(chain) == 1:
-        return here
-    both = F.struct(chained(nodes, chain[:-1]).alias("before"), here.alias("here"))
-    return let(both, lambda s: F.filter(s["here"], lambda n: F.exists(s["before"], lambda a: HANGS[how](a, n))))
+        return F.filter(nodes, lambda n: passes(n, tests))
+    # Most pages have nothing that a chain starts with.
+    below = lambda before: F.filter(nodes, lambda n: passes(n, tests) & F.exists(before, lambda a: HANGS[how](a, n)))
+    return let(chained(nodes, chain[:-1]), lambda before: F.when(F.size(before) == 0, before).otherwise(below(before)))
 
 
 def select(tree: Column, selector: str) -> Column:

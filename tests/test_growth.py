@@ -132,3 +132,12 @@ def test_levels_of_json_ld_stay_in_their_row(spark, sf_dir):
     group = "$0.@graph[000000]"
     variants = [f"{group}.hasVariant{p}" for p in ("[000000]", "[000000].hasVariant", "[000001][000000]", "[000002]")]
     assert {(r.path, r.in_variant) for r in found.collect()} == {("$0.@graph[000002]", False), ("$3" + ".a" * 12, False), *((p, True) for p in variants)}
+
+
+def test_telling_takes_few_patterns(spark):
+    texts = ["капсулы", "капсул. №10", "5 мг/мл", "раствор для инъекций", "№ 7", "10 шт.", "доз 5", "5 доз", "капсулы 20", "капсулы 20 мг", "12", "", "отзывы", "1 г", "3,5 %", "Кол-во: 3", "порошок в саше", "таблеточный"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    t = F.col("t")
+    out = rows.select(I.has_form(t).alias("form"), I.has_measure(t).alias("measure"), I.dosage_form(t).isNotNull().alias("a"), F.coalesce(I.pack_count(t).isNotNull() | (F.size(I.doses(t)) > 0), F.lit(False)).alias("b"))
+    assert all((r.form, r.measure) == (r.a, r.b) for r in out.collect())
+    assert plan(rows.filter(E.tells(t))).count("RLIKE") <= 12
