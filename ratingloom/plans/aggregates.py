@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import month_of
 from ..functions.numbers import percent
 from ..operators import aggregates as A
 from ..operators.checks import assert_bounded
 from ..registry import query
-from .bindings import OBS, PARTITIONS, RATING, observations, partitions, rating, table
+from .bindings import OBS, PARTITIONS, RATING, observations, on_sites, partitions, products, rating, site_of, table
 
 
 @query("ag01_keep_first", "SELECT lower(p_name) AS key, min(p_partkey) AS pos FROM part GROUP BY 1")
@@ -107,7 +108,11 @@ def ag16(spark, d):
 
 @query("ag17_canonical_duplicates", f"WITH {OBS} SELECT domain, brand, product, min(month) AS first_seen, max(month) AS last_seen, count(DISTINCT listing_id) AS pages FROM obs GROUP BY 1, 2, 3")
 def ag17(spark, d):
-    return observations(spark, d).groupBy("domain", "brand", "product").agg(F.min("month").alias("first_seen"), F.max("month").alias("last_seen"), F.count_distinct("listing_id").alias("pages"))
+    """First and last day of a listing tell its months, so orders and months need not be summed first."""
+    lines = on_sites(spark, d, table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate"))
+    listings = lines.groupBy("nation", "l_partkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")).join(products(spark, d).distinct(), "l_partkey")
+    seen = listings.groupBy("nation", "brand", "product").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("pages"))
+    return seen.select(site_of("nation").alias("domain"), "brand", "product", month_of(F.col("first")).alias("first_seen"), month_of(F.col("last")).alias("last_seen"), "pages")
 
 
 @query("ag18_shared_aggregates", f"WITH {OBS}, g AS (SELECT domain || '/' || brand || '/' || product AS grp, listing_id, month, reviews FROM obs), k AS (SELECT grp FROM (SELECT grp, month, count(DISTINCT reviews) AS kinds FROM g GROUP BY 1, 2) GROUP BY 1 HAVING max(kinds) = 1) SELECT grp, count(DISTINCT listing_id) AS listings FROM g WHERE grp IN (SELECT grp FROM k) GROUP BY 1 HAVING count(DISTINCT listing_id) > 1")

@@ -16,8 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def site_of(nation: str) -> Column:
+    return F.concat(F.lit("n"), F.col(nation).cast("string"), F.lit(".example"))
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".example")).alias("domain"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", site_of("s_nationkey").alias("domain"))
+
+
+def on_sites(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Lines with their site as `nation`: a number, as keys of fixed width take little memory where lines are summed."""
+    return lines.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_name").alias("product"))
 
 
 def observations(spark: SparkSession, sf_dir: str, months: list[str] | None = None) -> DataFrame:
@@ -30,13 +43,13 @@ def observations(spark: SparkSession, sf_dir: str, months: list[str] | None = No
     if months:
         first, after = f"{min(months)}-01", F.add_months(F.to_date(F.lit(f"{max(months)}-01")), 1)
         lines = lines.filter((F.col("l_shipdate") >= F.lit(first).cast("date")) & (F.col("l_shipdate") < after))
-    lines = lines.select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", month_of(F.col("l_shipdate")).alias("month"))
-    lines = lines.filter(F.col("month").isin(months)) if months else lines
+        lines = lines.filter(month_of(F.col("l_shipdate")).isin(months))
+    lines = lines.select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", F.trunc("l_shipdate", "month").alias("month"))
     scores = F.sum((F.col("l_quantity") * 100).cast("long"))
-    orders = lines.join(sites(spark, sf_dir).withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").groupBy("domain", "l_partkey", "month", "l_orderkey").agg(F.count("*").alias("n"), scores.alias("score"))
-    listings = orders.groupBy("domain", "l_partkey", "month").agg(F.sum("n").alias("reviews"), F.count("*").alias("rating_count"), F.sum("score").alias("score_sum"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"), F.col("p_name").alias("product"))
-    return listings.join(parts, "l_partkey").select("domain", F.col("l_partkey").cast("string").alias("listing_id"), "brand", "product", "month", "reviews", "rating_count", "score_sum")
+    orders = on_sites(spark, sf_dir, lines).groupBy("nation", "l_partkey", "month", "l_orderkey").agg(F.count("*").alias("n"), scores.alias("score"))
+    listings = orders.groupBy("nation", "l_partkey", "month").agg(F.sum("n").alias("reviews"), F.count("*").alias("rating_count"), F.sum("score").alias("score_sum"))
+    known = listings.join(products(spark, sf_dir), "l_partkey")
+    return known.select(site_of("nation").alias("domain"), F.col("l_partkey").cast("string").alias("listing_id"), "brand", "product", month_of(F.col("month")).alias("month"), "reviews", "rating_count", "score_sum")
 
 
 OBS = """obs AS (

@@ -141,3 +141,9 @@ def test_telling_takes_few_patterns(spark):
     out = rows.select(I.has_form(t).alias("form"), I.has_measure(t).alias("measure"), I.dosage_form(t).isNotNull().alias("a"), F.coalesce(I.pack_count(t).isNotNull() | (F.size(I.doses(t)) > 0), F.lit(False)).alias("b"))
     assert all((r.form, r.measure) == (r.a, r.b) for r in out.collect())
     assert plan(rows.filter(E.tells(t))).count("RLIKE") <= 12
+
+
+@pytest.mark.parametrize("name", ["ag17_canonical_duplicates"])
+def test_listings_are_summed_without_sorts(spark, sf_dir, name):
+    made = plan(QUERIES[name](spark, sf_dir))
+    assert "SortAggregate" not in made and "l_orderkey" not in made
