@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,14 @@ def identical_only(rows: DataFrame, key: list[str], metrics: list[str], message:
 
 def collapse_shared(rows: DataFrame, group: list[str], listing: str, month: str, metrics: list[str]) -> DataFrame:
     """Groups whose listings show one set of metrics in every month, and so are one product on several pages."""
-    # One set is told from two by its least and greatest, which are aggregated by listing and month before anything is
-    # shuffled; both questions are asked of the rows that this leaves, whose shuffle both share.
-    by_listing = rows.groupBy(*group, month, listing).agg(F.min(F.struct(*metrics)).alias("low"), F.max(F.struct(*metrics)).alias("high"))
-    agreed = by_listing.groupBy(*group, month).agg((F.min("low") == F.max("high")).alias("one")).groupBy(*group).agg(F.bool_and("one").alias("one")).filter("one")
-    several = by_listing.groupBy(*group, listing).agg(F.lit(1).alias("n")).groupBy(*group).agg(F.count("*").alias("listings")).filter("listings > 1")
+    # One set is told from two by its metrics' least and greatest values: numbers, not structs, so that rows are
+    # aggregated in hash tables, by group and month before anything is shuffled.
+    low, high, known = ([f"_{kind}_{m}" for m in metrics] for kind in ("low", "high", "known"))
+    found = [f(m).alias(n) for f, names in ((F.min, low), (F.max, high), (F.count, known)) for m, n in zip(metrics, names)]
+    by_month = rows.groupBy(*group, month).agg(F.count("*").alias("_n"), *found)
+    one = [(F.col(k) == 0) | ((F.col(k) == F.col("_n")) & (F.col(a) == F.col(b))) for a, b, k in zip(low, high, known)]
+    agreed = by_month.groupBy(*group).agg(F.bool_and(reduce(lambda a, b: a & b, one)).alias("one")).filter("one")
+    several = rows.select(*group, listing).distinct().groupBy(*group).agg(F.count(listing).alias("listings")).filter("listings > 1")
     return several.join(agreed.drop("one"), group)
 
 

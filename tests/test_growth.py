@@ -143,7 +143,13 @@ def test_telling_takes_few_patterns(spark):
     assert plan(rows.filter(E.tells(t))).count("RLIKE") <= 12
 
 
-@pytest.mark.parametrize("name", ["ag17_canonical_duplicates"])
+@pytest.mark.parametrize("name", ["ag17_canonical_duplicates", "ag18_shared_aggregates"])
 def test_listings_are_summed_without_sorts(spark, sf_dir, name):
     made = plan(QUERIES[name](spark, sf_dir))
     assert "SortAggregate" not in made and "l_orderkey" not in made
+
+
+def test_shared_groups_show_one_set_of_metrics(spark):
+    rows = [("a", 1, 1, 5, None), ("a", 2, 1, 5, None), ("b", 1, 1, 5, 2), ("b", 2, 1, 5, None), ("c", 1, 1, 5, 2), ("c", 2, 2, 6, 2), ("d", 1, 1, 5, 2), ("e", 1, 1, 5, 2), ("e", 2, 1, 6, 2), (None, 1, 1, 5, 2), (None, 2, 1, 5, 2)]
+    out = G.collapse_shared(spark.createDataFrame(rows, "g string, l int, m int, x int, y int"), ["g"], "l", "m", ["x", "y"])
+    assert "SortAggregate" not in plan(out) and {(r.g, r.listings) for r in out.collect()} == {("a", 2), ("c", 2)}
