@@ -70,7 +70,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

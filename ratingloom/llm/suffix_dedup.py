@@ -20,6 +20,9 @@ an empty table gives no rows; a null id is kept; cut characters are dropped from
 further columns are carried along by without_repeats() whatever their names, and not read by remove_repeats().
 
 What one text's spans take is bounded by its length: they are gathered for a text that is held whole anyway.
+
+Two lengths are answered in turn: all strings of the greater length that stand twice lie where strings of the smaller
+one do, so only such stretches are parsed again.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .common import Scratch, map_texts
 from .hashing import U64, joined, mix, prefix_hash, span_hash
 
 LENGTH = 400
+#: Bytes of a passage that counts as repeated: what over 50 words take at three letters each, in any of the languages.
+PASSAGE = 200
 REACH = 128
 TRIGGER = 12
 #: Longer texts are parsed in segments of so many bytes; a segment's edge ends a phrase, which costs no match.
@@ -57,14 +62,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def phrases(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of every phrase: its text, first and last window start (in the text), core and content fingerprints."""
+def phrases(texts: list[bytes], length: int, runs: list[list[dict]] | None = None) -> tuple[np.ndarray, ...]:
+    """Of every phrase: its text, first and last window start (in the text), core and content fingerprints; of each text's `runs` alone, if given (apart and in order)."""
     bases, pieces, owners = [], [], []
     for i, t in enumerate(texts):
-        for at in range(0, max(len(t) - length + 1, 0), SEGMENT):
-            bases.append(at)
-            owners.append(i)
-            pieces.append(t[at : at + SEGMENT + length - 1])
+        for a, b in [(0, len(t))] if runs is None else [(r["a"], r["b"]) for r in runs[i]]:
+            for at in range(a, max(b - length + 1, a), SEGMENT):
+                bases.append(at)
+                owners.append(i)
+                pieces.append(t[at : min(at + SEGMENT + length - 1, b)])
     if not pieces:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
     buf, bounds = joined(pieces)
@@ -92,8 +98,11 @@ def lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> p
 
 
 def parse(docs: DataFrame, length: int) -> DataFrame:
+    """The phrases of every row, or of its `runs` if docs has them."""
+    within = "runs" in docs.columns
+
     def kernel(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
-        owner, lo, hi, core, content = phrases(texts, length)
+        owner, lo, hi, core, content = phrases(texts, length, batch.column("runs").to_pylist() if within else None)
         n = len(texts)
         long_ = pa.int64()
         return {
@@ -154,9 +163,12 @@ def rows_with(rows: DataFrame, keys: DataFrame, on: list[str], count: str) -> Da
     return rows.join(hot, on, "left_semi").union(rest)
 
 
-def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Facts of every row (row_id, row_key, n_bytes, sha), and per row_key the byte spans that repeated windows cover."""
-    parsed = scratch.keep(parse(docs, length), "parsed", "lz4")
+def repeated_spans(docs: DataFrame, length: int, scratch: Scratch, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts of every row (row_id, row_key, n_bytes, sha), and per row_key the byte spans that repeated windows cover.
+
+    `within` (row_key, runs), if given, must hold all of those spans; only rows and runs in it are parsed then.
+    """
+    parsed = scratch.keep(parse(docs if within is None else texts_of(docs, within), length), "parsed", "lz4")
     facts = scratch.keep(parsed.select("row_id", "row_key", "n_bytes", "sha"), "facts")
     cores = parsed.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n"))
     again = scratch.keep(cores.filter("n > 1"), "again", "lz4")
@@ -201,6 +213,21 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def merged_runs(spans: DataFrame, least: int) -> DataFrame:
+    """row_key, the number and bytes of the maximal runs that its spans make up, and those runs that have `least` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [merged(s) for s in batch.column("spans").to_pylist()]
+            held = [[{"a": a, "b": b} for a, b in r if b - a >= least] for r in runs]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key"), pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()), pa.array(held, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
+                names=["row_key", "n_passages", "n_passage_bytes", "runs"],
+            )
+
+    return spans.select("row_key", "spans").mapInArrow(run, "row_key long, n_passages long, n_passage_bytes long, runs array<struct<a: int, b: int>>")
+
+
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """row_key, n_removed, n_spans, sha and text of what stays, for rows that lose bytes."""
 
@@ -225,17 +252,31 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("row_id"), F.xxhash64(F.col(id_column), body).alias("row_key"), body.alias("body"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For every row: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    if length < REACH + TRIGGER:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", passage: int | None = None) -> DataFrame:
+    """For every row: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With `passage` (bytes, at most `length`) also n_passages and n_passage_bytes: the maximal runs of bytes that repeated
+    strings of that length cover, and their bytes. They are counted, not removed.
+    """
+    if min(length, passage or length) < REACH + TRIGGER:
         raise ValueError(f"length must be {REACH + TRIGGER} bytes at least")
+    if passage and passage > length:
+        raise ValueError("a passage that counts may not be longer than one that is removed")
     scratch = Scratch(docs.sparkSession, "repeats")
     narrow = keyed(docs, id_column, text_column)
-    facts, spans = repeated_spans(narrow, length, scratch)
+    facts, spans = repeated_spans(narrow, passage or length, scratch)
+    counts = []
+    if passage:
+        passages = scratch.keep(merged_runs(spans, length), "passages", "lz4")
+        scratch.drop(spans)
+        within = passages.filter(F.size("runs") > 0).select("row_key", "runs")
+        _, spans = repeated_spans(narrow, length, Scratch(docs.sparkSession, "repeats"), within)
+        facts = facts.join(passages.drop("runs"), "row_key", "left")
+        counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_passages", "n_passage_bytes")]
     lost = cut(narrow, spans).drop("kept_text").dropDuplicates(["row_key"])
     return facts.join(lost, "row_key", "left").select(
         F.col("row_id").alias(id_column), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"),
+        F.lower(F.hex(F.coalesce("kept_sha", "sha"))).alias("kept_sha256"), *counts,
     )
 
 

@@ -567,6 +567,43 @@ def test_repeats_of_hot_phrases(spark):
     assert got == [(i, *r) for i, r in enumerate(brute_cut(rows, 200))]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_repeats_of_two_lengths(spark, seed):
+    """Shorter passages are counted, longer ones removed, each as if it were alone."""
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abcdefgh é" if seed else "ab") for _ in range(rng.randrange(140, 520))) for _ in range(6)]
+    rows = [(0, None), (1, ""), (2, "x" * 700), (3, pool[0] * 3), (3, pool[0] * 3)]
+    for i in range(4, 60):
+        text = ""
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            text += rng.choice(["", "xyz", "ab" * rng.randrange(150)]) + p[rng.randrange(60) : len(p) - rng.randrange(40)]
+        rows.append((i, text))
+    old, suffix_dedup.SEGMENT = suffix_dedup.SEGMENT, 300
+    try:
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=260, passage=150).collect()
+    finally:
+        suffix_dedup.SEGMENT = old
+    long, short = brute_cut(rows, 260), brute_cut(rows, 150)
+    assert any(r[1] for r in long) and any(a[1] < b[1] for a, b in zip(long, short))
+    assert Counter(map(tuple, got)) == Counter((i, *a, b[2], b[1]) for (i, _), a, b in zip(rows, long, short))
+
+
+def test_repeats_query_counts_passages_of_over_fifty_words(spark, tmp_path):
+    """Passages of fewer bytes than the contract removes are counted all the same."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinsr") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(51))
+    rows = [(i, " ".join(word() for _ in range(80)) + (f"\n{passage}\n" if i % 2 else "\n") + " ".join(word() for _ in range(80))) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in importlib.import_module("ratingloom.llm.queries").op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert 200 < len(passage) < 390
+    for (i, _), base in zip(rows, brute_cut(rows, 400)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == base and r.n_removed == 0
+        assert r.n_passages == i % 2 and (r.n_passage_bytes in range(len(passage), len(passage) + 8) if i % 2 else r.n_passage_bytes == 0)
+
+
 # Pipeline
 
 
