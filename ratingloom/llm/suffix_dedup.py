@@ -218,12 +218,20 @@ def merged_runs(spans: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [merged(s) for s in batch.column("spans").to_pylist()]
-            held = [[{"a": a, "b": b} for a, b in r if b - a >= least] for r in runs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64()), pa.array(held, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))],
-                names=["row_key", "n_passages", "n_passage_bytes", "runs"],
-            )
+            n, flat = batch.num_rows, batch.column("spans").flatten()
+            row = np.repeat(np.arange(n), batch.column("spans").value_lengths().to_numpy()) << 32  # rows one after the other on one line
+            a, b = (np.asarray(flat.field(c)).astype(np.int64) + row for c in ("a", "b"))
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            first = np.flatnonzero(np.append(True, a[1:] > b[:-1])[: len(a)])
+            a, b = a[first], b[np.append(first[1:], len(b)) - 1] if len(first) else b
+            owner, size = a >> 32, b - a
+            at = np.searchsorted(owner, np.arange(n + 1))
+            total = np.append(0, np.cumsum(size))
+            held = size >= least
+            ends = pa.array(np.append(0, np.cumsum(held))[at].astype(np.int32))
+            runs = pa.StructArray.from_arrays([pa.array((v[held] - (owner[held] << 32)).astype(np.int32)) for v in (a, b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(np.diff(at)), pa.array(np.diff(total[at])), pa.ListArray.from_arrays(ends, runs)], names=["row_key", "n_passages", "n_passage_bytes", "runs"])
 
     return spans.select("row_key", "spans").mapInArrow(run, "row_key long, n_passages long, n_passage_bytes long, runs array<struct<a: int, b: int>>")
 
