@@ -18,9 +18,10 @@ TILE = """concat('<div class="w"><div><a href="/product/p-', p, '/?x=1"><img src
 
 def listings(spark, d):
     """A page for each order, with a tile for each of its parts."""
-    pages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.collect_set("l_partkey").alias("parts"))
-    pages = pages.withColumn("tiles", F.array_join(F.expr(f"transform(array_sort(parts), p -> {TILE})"), ""))
-    return M.with_tree(pages.select("page_id", F.concat(F.lit('<nav><a href="/help">2</a><span>77 отзывов</span></nav><div id="grid">'), "tiles", F.lit("</div><footer>3,3</footer>")).alias("html")))
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    pages = lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.collect_set("l_partkey").alias("parts"))
+    pages = pages.withColumn("tiles", F.array_join(F.expr(f"transform(sort_array(parts), p -> {TILE})"), ""))
+    return pages.select("page_id", F.concat(F.lit('<nav><a href="/help">2</a><span>77 отзывов</span></nav><div id="grid">'), "tiles", F.lit("</div><footer>3,3</footer>")).alias("html"))
 
 
 @query("ex12_tiles", """WITH t AS (SELECT DISTINCT l_orderkey AS page_id, l_partkey AS p FROM lineitem)

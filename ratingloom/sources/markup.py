@@ -39,7 +39,8 @@ SCRIPT = "#text"
 
 #: Text up to markup that is read alike by all: a start tag with quoted or no values, an end tag, a simple comment, a doctype.
 ATTRIBUTE = r"""[ \t\n\r\f]+([a-zA-Z_][\w:-]*)(?:=(?:"([^"]*)"|'([^']*)'))?"""
-SIMPLE = re.compile(rf"""([^<]*)(?:<(?:([a-zA-Z][a-zA-Z0-9]*)((?:{ATTRIBUTE})*)[ \t\n\r\f]*(/?)>|/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*>|!--[^<>-]*-->|!(?:doctype|DOCTYPE)\s[^<>]*>)|\Z)""", re.ASCII)
+TAG = rf"""(?:([a-zA-Z][a-zA-Z0-9]*)((?:{ATTRIBUTE})*)[ \t\n\r\f]*(/?)|/([a-zA-Z][a-zA-Z0-9]*)[ \t\n\r\f]*|!--[^<>-]*--|!(?:doctype|DOCTYPE)\s[^<>]*)"""
+SIMPLE = re.compile(rf"([^<]*)(?:<{TAG}>|\Z)", re.ASCII)
 ATTRIBUTE = re.compile(ATTRIBUTE, re.ASCII)
 #: Elements whose text is no markup, for some or all versions of the parser, and those of them whose references stay as written.
 OPAQUE, RAW = frozenset("script style title textarea iframe noembed noframes noscript plaintext xmp".split()), frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS)

@@ -1,62 +1,104 @@
 """Listing pages as tiles, one product each, and titles that cards, reviews and addresses give.
 
 A tile is the outermost element around a product's link that holds no other product's link: pages need not say where one
-begins. All is expressions over the page's tree; tiles become rows at the end.
+begins. Elements of many pages are columns of numbers, in which tiles are found by counting; what is read of a tile's texts is
+expressions over rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import compact_count, plain_number
+from ..functions.numbers import compact_count
 from ..operators import identity as I
+from . import elements as E
 from . import markup as M
 
 COUNTER = r"(?iu)^\(?(\d[\d\s .,]*(?:\s*(?:тыс|млн|k|к)\.?)?)\s*(?:отзыв(?:а|ов)?|оцен(?:ка|ки|ок)|reviews?|ratings?)\)?$"
-SCORE = r"^[0-5](?:[.,]\d+)?$"
+SCORE = re.compile(r"[0-5](?:[.,][0-9]+)?")
+#: How both begin, and what is a number as it stands.
+NUMBERS, DIGITS = frozenset("(0123456789"), r"^[0-9]{1,18}$"
 #: A title that a site has cut off.
 CUT_OFF = r"(?:…|\.\.\.)\s*$"
 
 
-def tiles(pages: DataFrame, link: str, key: str = "page_id", within: str = "body") -> DataFrame:
+def tiles(pages: DataFrame, link: str, key: str = "page_id", within: str = "body", body: str = "html") -> DataFrame:
     """A row for each tile: key, place, listing_id (group 1 of `link` in the address), href, title, reviews, rating, problem.
 
-    Tiles lie in the elements that `within` selects; links elsewhere are none.
+    Pages have their markup in `body`, or a `tree`. Tiles lie in the elements that `within` selects; links elsewhere are none.
     The longest text among the links of a tile is its title. A tile with two counters or two ratings that differ has a
     problem and neither value; so has one without a title. A product that stands in two tiles gives two rows.
     """
-    tree = F.col("tree")
-    links = F.filter(M.select(tree, "a[href]"), lambda a: a["attrs"]["href"].rlike(link))
-    marked = F.transform(links, lambda a: F.struct(a["id"].alias("id"), F.regexp_extract(a["attrs"]["href"], link, 1).alias("product"), a["attrs"]["href"].alias("href"), F.coalesce(M.text_of(tree, a), F.lit("")).alias("text")))
+    whole, known_as = "tree" in pages.columns, dict(pages.dtypes)[key]
+    pages, address = pages.select(key, "tree" if whole else body), re.compile(link, re.ASCII)
+    M.parsed_selector(within)  # a wrong one fails here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch,) if whole else E.parts(batch, body):
+                for elements in (E.of_column(part.column("tree")),) if whole else E.read(part.column(body)):
+                    page, columns = tiles_of(elements, address, within)
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(page), *columns], names=[key, *COLUMNS])
+
+    rows = pages.mapInArrow(run, f"`{key}` {known_as}, " + ", ".join(f"{n} {t}" for n, t in COLUMNS.items()))
+    told = F.filter(F.transform("labels", lambda t: F.regexp_extract(t, COUNTER, 1)), lambda t: t != "")
+    counts = F.transform(told, lambda t: F.when(t.rlike(DIGITS), t.cast("long")).otherwise(compact_count(F.regexp_replace(t, r"(?<=\d)[\s ](?=\d)", ""))))
+    scores = F.transform("scores", lambda t: F.replace(t, F.lit(","), F.lit(".")).cast("double"))
+    rows = rows.withColumns({"_counts": counts, "_scores": scores})
+    several = lambda c: F.array_max(c) != F.array_min(c)
+    problem = F.when(several("_counts"), "several counters").when(several("_scores"), "several ratings").when(F.trim("title") == "", "no title")
+    sole = lambda c: F.when(problem.isNull(), F.array_max(c))
+    return rows.select(key, "place", "listing_id", "href", F.nullif(F.trim("title"), F.lit("")).alias("title"), sole("_counts").alias("reviews"), sole("_scores").alias("rating"), problem.alias("problem"))
+
+
+#: What is found of a tile in a batch of pages; `labels` are the texts in it that begin as numbers do and are no scores.
+COLUMNS = {"place": "int", "listing_id": "string", "href": "string", "title": "string", "labels": "array<string>", "scores": "array<string>"}
+
+
+def tiles_of(elements: E.Elements, link: re.Pattern, within: str) -> tuple[pa.Array, list[pa.Array]]:
+    """The page of each tile, and COLUMNS. All is counted along the order of elements, so its cost is that of reading them."""
+    addresses, search = elements.values("href"), link.search
+    products = pa.array([m[1] or "" if a is not None and t == "a" and (m := search(a)) else None for t, a in zip(elements.tags.tolist(), addresses, strict=True)], pa.string()).dictionary_encode()
+    product = products.indices.fill_null(-1).to_numpy()[elements.kind]
+    links = np.flatnonzero(product >= 0)
+    before = np.concatenate([[0], np.cumsum(product >= 0)])
+    changes = np.concatenate([[0], np.cumsum(np.diff(product[links]) != 0)])
 
     # Elements of the grid whose links are of one product; the outermost of them are tiles.
-    range_ = lambda n: F.struct(n["id"].alias("id"), n["last"].alias("last"), n["parent"].alias("parent"))
-    placed = F.transform(F.filter(tree["nodes"], lambda n: F.exists("_grids", lambda g: M.contains(g, n))), range_)
-    in_ = lambda n: F.filter("_links", lambda a: (n["id"] <= a["id"]) & (a["id"] <= n["last"]))
-    of_one = lambda mine: (F.size(mine) > 0) & ~F.exists(mine, lambda a: a["product"] != F.get(mine, F.lit(0))["product"])
-    alone = F.filter(placed, lambda n: M.let(in_(n), of_one))
-    outermost = M.let(alone, lambda s: M.let(F.transform(s, lambda n: n["id"]), lambda ids: F.filter(s, lambda n: ~F.array_contains(ids, n["parent"]))))
+    placed = np.flatnonzero(elements.within(elements.select(within)))
+    low, high = before[placed], before[elements.last[placed] + 1]
+    placed, low, high = (x[low < high] for x in (placed, low, high))
+    alone = changes[low] == changes[high - 1]
+    placed, low, high = placed[alone], low[alone], high[alone]
+    outermost = placed > np.concatenate([[-1], np.maximum.accumulate(elements.last[placed])[:-1]]) if len(placed) else alone[:0]
+    placed, low, high = placed[outermost], low[outermost], high[outermost]
+
     # Texts of elements that hold no others: counters and scores stand there.
-    leaves = F.transform(F.filter(tree["nodes"], lambda n: (n["id"] == n["last"]) & (n["stop"] > n["begin"])), lambda n: F.struct(n["id"].alias("id"), M.text_of(tree, n).alias("text")))
-    shown = F.filter(leaves, lambda n: n["text"].rlike(COUNTER) | n["text"].rlike(SCORE))
-
-    def tile(n: Column, mine: Column) -> Column:
-        inside = F.filter("_shown", lambda t: (t["id"] >= n["id"]) & (t["id"] <= n["last"]))
-        title = F.array_max(F.transform(mine, lambda a: F.struct(F.length(a["text"]).alias("n"), a["text"].alias("text"))))["text"]
-        return F.struct(n["id"].alias("place"), F.get(mine, F.lit(0))["product"].alias("listing_id"), F.array_min(F.transform(mine, lambda a: a["href"])).alias("href"), title.alias("title"), F.transform(inside, lambda t: t["text"]).alias("inside"))
-
-    # What a page has never leaves its row.
-    rows = pages.withColumns({"_grids": F.transform(M.select(tree, within), range_), "_links": marked, "_shown": shown})
-    rows = rows.select(key, F.explode(F.transform(outermost, lambda n: M.let(in_(n), lambda mine: tile(n, mine)))).alias("t")).select(key, "t.*")
-    values = lambda pattern, read: F.array_distinct(F.transform(F.filter("inside", lambda t: t.rlike(pattern)), read))
-    counts = values(COUNTER, lambda t: compact_count(F.regexp_replace(F.regexp_extract(t, COUNTER, 1), r"(?<=\d)[\s ](?=\d)", "")))
-    rows = rows.withColumns({"_counts": counts, "_scores": values(SCORE, plain_number)})
-    problem = F.when(F.size("_counts") > 1, "several counters").when(F.size("_scores") > 1, "several ratings").when(F.trim("title") == "", "no title")
-    sole = lambda c: F.when(problem.isNull(), F.get(c, F.lit(0)))
-    return rows.select(key, "place", "listing_id", "href", F.nullif(F.trim("title"), F.lit("")).alias("title"), sole("_counts").alias("reviews"), sole("_scores").alias("rating"), problem.alias("problem"))
+    leaves = np.flatnonzero((elements.last == np.arange(len(elements.last))) & elements.within(E.marks(len(elements.last), placed)))
+    texts = elements.texts(leaves)
+    shown = [i for i, t in enumerate(texts) if t[:1] in NUMBERS]
+    score = np.array([texts[i][-1] in NUMBERS and SCORE.fullmatch(texts[i]) is not None for i in shown], bool)
+
+    def listed(chosen: np.ndarray) -> pa.ListArray:
+        """The chosen ones of those texts, by tile."""
+        at = np.array(shown, np.int64)[chosen]
+        tile = np.searchsorted(placed, leaves[at], "right") - 1
+        ends = np.concatenate([[0], np.cumsum(np.bincount(tile, minlength=len(placed)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([texts[i] for i in at.tolist()], pa.string()))
+
+    told, hrefs = elements.texts(links), [addresses[k] for k in elements.kind[links].tolist()]
+    mine = list(zip(low.tolist(), high.tolist(), strict=True))
+    columns = [
+        pa.array(placed - np.searchsorted(elements.page, elements.page[placed]), pa.int32()), products.dictionary.take(pa.array(product[links[low]])),
+        pa.array([min(hrefs[a:b]) for a, b in mine], pa.string()), pa.array([max((len(t), t) for t in told[a:b])[1] for a, b in mine], pa.string()),
+    ]
+    return pa.array(elements.page[placed], pa.int64()), [*columns, listed(~score), listed(score)]
 
 
 # Titles
